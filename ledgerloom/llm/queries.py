@@ -7,9 +7,11 @@ import importlib
 #: Query name: its module here.
 MODULES = {
     "op2_token_records": "records",
+    "op6_quality": "quality",
     "op7_token_counts": "prefix_counts",
     "op8_packing": "packing",
     "op9_sharding": "sharding",
+    "op10_substring_dedup": "substrings",
 }
 
 
