@@ -7,6 +7,7 @@ import importlib
 #: Query name: its module here.
 MODULES = {
     "op2_token_records": "records",
+    "op5_decontamination": "contamination",
     "op6_quality": "quality",
     "op7_token_counts": "prefix_counts",
     "op8_packing": "packing",
