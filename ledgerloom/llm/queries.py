@@ -7,6 +7,7 @@ import importlib
 #: Query name: its module here.
 MODULES = {
     "op2_token_records": "records",
+    "op3_embeddings": "embeddings",
     "op4_minhash": "minhash",
     "op5_decontamination": "contamination",
     "op6_quality": "quality",
