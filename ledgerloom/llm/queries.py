@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: its module here.
 MODULES = {
+    "op1_toxicity": "toxicity",
     "op2_token_records": "records",
     "op3_embeddings": "embeddings",
     "op4_minhash": "minhash",
