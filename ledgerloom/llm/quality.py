@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 from .labelled import held_out, training_rows
@@ -176,25 +177,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", remainder:
 
 
 def score(docs: DataFrame, model: Additive, score_col: str = "score", text_col: str = "text") -> DataFrame:
-    """docs with a score from 0 to 1: how likely label 1 is."""
-    rows = docs.withColumn("_text", F.col(text_col))
-    names = docs.columns
+    """docs with a score from 0 to 1: how likely label 1 is. A column that has the score's name is replaced."""
+    docs = docs.drop(score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in slices(batch, column="_text"):
-                x = np.array(list(map(features, part.column("_text").to_pylist())), float)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(model.scores(x))], [*names, score_col])
+            for _, part in slices(batch, column=text_col):
+                x = np.array(list(map(features, part.column(text_col).to_pylist())), float)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(x))], [*part.schema.names, score_col])
 
-    from pyspark.sql import types as T
-
-    return rows.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(score_col, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **training) -> DataFrame:
     """The rows of docs whose score is at least `least`, with the columns of docs."""
     model = train(docs, labels, **training)
-    return score(docs, model, "_score").where(F.col("_score") >= least).drop("_score")
+    name = max(docs.columns, key=len) + "_"  # longer than any column's, so that none is it
+    return score(docs, model, name).where(F.col(name) >= least).drop(name)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

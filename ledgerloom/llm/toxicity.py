@@ -290,9 +290,11 @@ def _excess(slots: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fit(texts: list[str | None], y: np.ndarray, check: float = 0.25, **how) -> Model:
-    """A model of texts with labels y in {0, 1}; every share of them as `check` says only sets the threshold."""
+    """A model of texts with labels y in {0, 1}; a share `check` of each label's texts only sets the threshold."""
     y = np.asarray(y, np.float64)
-    apart = np.arange(len(y)) % max(2, round(1 / check)) == 0
+    apart = np.zeros(len(y), bool)
+    for label in (0, 1):
+        apart[np.flatnonzero(y == label)[:: max(2, round(1 / check))][1:]] = True  # never a label's first one
     model = _fit([t for t, x in zip(texts, apart, strict=True) if not x], y[~apart], **how)
     if model.constant is None and 0 < y[apart].sum() < apart.sum():
         logits, firsts = model.logits([words(t) for t, x in zip(texts, apart, strict=True) if x])
@@ -311,7 +313,7 @@ def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float((x[max(k - 1, 0)] + x[min(k, len(x) - 1)]) / 2)
 
 
-def _fit(texts: list[str | None], y: np.ndarray, rounds: int = 3, passes: int = 2, batch: int = 64, rate: float = 0.01, trim: float = 0.2, seed: int = 7) -> Model:
+def _fit(texts: list[str | None], y: np.ndarray, rounds: int = 3, passes: int = 2, least_steps: int = 200, batch: int = 64, rate: float = 0.01, trim: float = 0.2, seed: int = 7) -> Model:
     y = np.asarray(y, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(new_parameters(), np.zeros(PRIORS, np.float32), np.zeros(PRIORS, np.float32), float(y.mean()) if len(y) else 0.5)
@@ -368,7 +370,8 @@ def _fit(texts: list[str | None], y: np.ndarray, rounds: int = 3, passes: int =
         at = np.full((len(chosen), WINDOW), -1)
         for i, ws in enumerate(chosen):
             at[i, : len(ws)] = [vocabulary[w] for w in ws]
-        for _ in range(passes):
+        # Small samples are gone through more often, so that each round takes least_steps steps.
+        for _ in range(max(passes, -(-least_steps * batch // max(1, len(chosen))))):
             order = r.permutation(len(chosen))
             for low in range(0, len(order), batch):
                 some = order[low : low + batch]
@@ -425,7 +428,8 @@ def _model(raw: bytes) -> Model:
 
 
 def score(docs: DataFrame, model: Model, score_col: str = "score", text_col: str = "text") -> DataFrame:
-    """docs with a score from 0 to 1: how likely label 1 is. The model (about 1 MB, whatever the data) goes by broadcast."""
+    """docs with a score from 0 to 1: how likely label 1 is. The model (about 1 MB, whatever the data) goes by broadcast. A column that has the score's name is replaced."""
+    docs = docs.drop(score_col)
     raw = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(score_col, T.DoubleType())])
 
