@@ -26,7 +26,7 @@ def month_number(name: Column) -> Column:
 def from_parts(day: Column, month: Column, year: Column) -> Column:
     """A calendar date of the years allowed; null for 31/02 and the like. Parts may be text."""
     d, m, y = (x.try_cast("int") for x in (day, month, year))
-    date = F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")))
+    date = F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
     return F.when(y.between(FIRST_YEAR, LAST_YEAR) & m.between(1, 12) & d.between(1, 31), date)
 
 
@@ -123,7 +123,7 @@ def resolved_year(yy: Column, end_year: Column) -> Column:
 def end_year(period_end: Column, default: int) -> Column:
     """The year in a period's end as text: four digits at its end, else anywhere; else default."""
     t = F.trim(period_end)
-    return F.coalesce(_part(t, r"(\d{4})\z", 1), _part(t, r"\b(\d{4})\b", 1)).try_cast("int") if default is None else F.coalesce(F.coalesce(_part(t, r"(\d{4})\z", 1), _part(t, r"\b(\d{4})\b", 1)).try_cast("int"), F.lit(default))
+    return F.coalesce(F.coalesce(_part(t, r"(\d{4})\z", 1), _part(t, r"\b(\d{4})\b", 1)).try_cast("int"), F.lit(default))
 
 
 def from_description(c: Column, last_year: Column) -> Column:

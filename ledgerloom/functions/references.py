@@ -46,5 +46,4 @@ def token_digest(c: Column) -> Column:
 def form_fields(body: Column) -> Column:
     """A URL-encoded form as a map."""
     raw = F.str_to_map(body, F.lit("&"), F.lit("="))
-    decode = lambda x: F.try_url_decode(F.coalesce(x, F.lit(""))) if hasattr(F, "try_url_decode") else F.url_decode(F.coalesce(x, F.lit("")))
-    return F.transform_values(raw, lambda k, v: decode(v))
+    return F.transform_values(raw, lambda k, v: F.try_url_decode(F.coalesce(v, F.lit(""))))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money
-from ..functions.text import clean, replace_first, squeeze, title_case
+from ..functions.text import clean, contains_any, replace_first, squeeze, title_case
 from ..operators import classify as K
 from ..operators import ledger as L
 from ..operators import metadata as M
@@ -136,8 +136,6 @@ def standard_bank(docs: DataFrame) -> DataFrame:
     rows = rows.where(~K.skipped_block(F.col("words"), F.col("reference"))).where(~L.reversed_rows(F.col("n1"), F.col("n2"), K.reference_line, K.reversal_line))
     rows = rows.withColumn("description", squeeze(F.concat_ws(" ", "words", "reference")))
     upper = F.upper("description")
-    from ..functions.text import contains_any
-
     rows = rows.where(~contains_any(upper, (K.REVERSAL, *K.SUMMARY_PHRASES)) & ~upper.isin(*K.FEE_FOLLOWUPS)).where((F.abs("amount_c") <= 500_000_000) & (F.abs("printed_c") <= 10_000_000_000))
     edges = docs.select("doc_id", M.period(F.col("text")).alias("p")).select("doc_id", dates.period_date(F.col("p.start")).alias("start"), dates.period_date(F.col("p.end")).alias("end"))
     rows = rows.join(edges, "doc_id").withColumn("day", F.coalesce(*(dates.best_date(F.col(c), F.col("start"), F.col("end")) for c in ("description", "reference", "words")))).withColumnRenamed("line_no", "row_idx")
