@@ -102,16 +102,20 @@ def best_date(c: Column, start: Column, end: Column) -> Column:
 
     def readings(x: Column, i: Column) -> Column:
         a, b, d = (F.substring(x, n, 2) for n in (1, 3, 5))
-
-        def scored(day: Column, month: Column, year: Column, place: int, bonus: int) -> Column:
-            date = from_parts(day, month, F.concat(F.lit("20"), year))
-            away = F.least(F.abs(F.datediff(date, start)), F.abs(F.datediff(date, end)))
-            score = F.when(start.isNull() | end.isNull(), 0).when(date.between(start, end), 1000).otherwise(-away) + bonus
-            return F.struct(F.when(date.isNotNull(), score).alias("score"), (-(i * 2 + place)).alias("place"), date.alias("date"))
-
-        return F.array(scored(d, b, a, 0, 10), scored(a, b, d, 1, 0))
-
-    return F.array_max(F.filter(F.flatten(F.transform(found, readings)), lambda r: r["date"].isNotNull()))["date"]
+        year = lambda y: F.concat(F.lit("20"), y)
+        return F.array(
+            F.struct(from_parts(d, b, year(a)).alias("date"), F.lit(10).alias("bonus"), (-2 * i).alias("place")),
+            F.struct(from_parts(a, b, year(d)).alias("date"), F.lit(0).alias("bonus"), (-2 * i - 1).alias("place")),
+        )
+
+    def scored(r: Column) -> Column:
+        date = r["date"]
+        away = F.least(F.abs(F.datediff(date, start)), F.abs(F.datediff(date, end)))
+        score = F.when(start.isNull() | end.isNull(), 0).when(date.between(start, end), 1000).otherwise(-away) + r["bonus"]
+        return F.struct(score.alias("score"), r["place"].alias("place"), date.alias("date"))
+
+    real = F.filter(F.flatten(F.transform(found, readings)), lambda r: r["date"].isNotNull())
+    return F.array_max(F.transform(real, scored))["date"]
 
 
 def resolved_year(yy: Column, end_year: Column) -> Column:

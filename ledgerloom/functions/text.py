@@ -22,11 +22,15 @@ def squeeze_blanks(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, " ", " "), r"[ \t]+", " "))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with value computed once, however often it is used there; lambdas would compute it anew for each use."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+
+
 def title_case(c: Column) -> Column:
     """Lower case with a capital wherever a word begins (also after / and -), and bank acronyms in capitals."""
-    letters = F.split(F.lower(c), "")
     word = r"^[A-Za-z0-9_]$"
-    cased = F.transform(letters, lambda x, i: F.when(x.rlike(word) & ~F.coalesce(F.get(letters, i - 1).rlike(word), F.lit(False)), F.upper(x)).otherwise(x))
+    cased = bind(F.split(F.lower(c), ""), lambda letters: F.transform(letters, lambda x, i: F.when(x.rlike(word) & ~F.coalesce(F.get(letters, i - 1).rlike(word), F.lit(False)), F.upper(x)).otherwise(x)))
     return F.regexp_replace(F.regexp_replace(F.array_join(cased, ""), r"\bAbsa\b", "ABSA"), r"\bFnb\b", "FNB")
 
 
