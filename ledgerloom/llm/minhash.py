@@ -6,11 +6,15 @@ registers name the buckets in which documents meet. Two documents' registers, wi
 likelihood of each similarity; pairs for which the threshold is far less likely than the best value are dropped, and
 the rest are verified on full sets.
 
-Documents of equal sets are one class from the start, so copies are never paired. Classes are linked in two passes:
+Documents of equal sets are one class from the start, so copies are never paired. Classes are linked in passes:
   1. in each bucket all classes are paired with one hub, the one that shares the most buckets; each class is verified
      with the hub that it meets most often, and components are formed;
-  2. buckets that still hold several components pair classes of different components, in tiles of TILE classes.
-A link inside a component changes nothing, so this finds what comparing all pairs of each bucket would find. With 32
+  2. twice, each class in a bucket of several components is verified with its likeliest partner of another one;
+  3. in buckets that still hold several components, the classes that are likely enough for one of another component
+     come together with their full sets; all such pairs are verified there, likeliest first, and only those links leave
+     that join components.
+Buckets are compared in tiles of TILE classes. A link inside a component changes nothing, so this finds what comparing
+all pairs of each bucket would find, without listing the pairs of a large group. With 32
 bands, a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and kept; a text of fewer
@@ -34,6 +38,9 @@ from .components import components
 REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
 TILE = 2048
+#: So many pairs are looked at at a time.
+PAIRS = 200_000
+TILE_BYTES = 32_000_000
 #: A side of at most so many ids is broadcast (32 MB); a larger one is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: A pair is dropped if the likelihood at the threshold is e**-9 of the best or less, and the best lies below.
@@ -136,90 +143,153 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        keep = [_similar(x, y, percent) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b: classes) whose full sets are similar enough."""
-    spark = docs.sparkSession
-    pairs = saved(pairs)
-    ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+def _full_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """class, set (its shingles, from its text anew) of some classes."""
     wanted = saved(classes.join(ids, "class").select("class", "least", "digest"))
     few = wanted.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"] == wanted["least"])
     # Repeated rows of an id would give a class its set twice.
-    sets = saved(texts.select("class", "digest", "text").mapInArrow(lambda b: _sets(b, k), "class long, set binary").groupBy("class").agg(F.first("set").alias("set")))
-    joined = (
-        pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    )
-    with_small_batches = joined.mapInArrow(lambda b: _verify(b, percent), "a long, b long")
-    return saved(with_small_batches)
-
-
-def _tiled(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components within each tile; rows come sorted by tile."""
-    rest = None
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        # A tile pairs its left rows with its right ones; on the diagonal all rows are both.
-        tile = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-        starts = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(1)]))
-        ends = np.append(starts[1:], len(tile))
-        ids, comps, n = (rows.column(c).to_numpy() for c in ("class", "component", "n_shingles"))
-        own = rows.column("t").to_numpy()
-        table = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        found = []
-        left, right = [], []
-
-        def test() -> None:
-            a, b = np.concatenate(left), np.concatenate(right)
-            left.clear(), right.clear()
-            ok = (comps[a] != comps[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
-            a, b = a[ok], b[ok]
-            for at in range(0, len(a), 20_000):
-                x, y = a[at : at + 20_000], b[at : at + 20_000]
-                p, q = table[x], table[y]
-                good = likely((p > q).sum(1), (p < q).sum(1), n[x].astype(float), n[y].astype(float), threshold)
-                found.append(np.stack([ids[x[good]], ids[y[good]]], 1))
-
-        size = 0
-        for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
-            if tile[low, 1] == tile[low, 2]:
-                x, y = np.triu_indices(high - low, 1)
-                x, y = x + low, y + low
-            else:
-                l, r = (low + np.flatnonzero(own[low:high] == side) for side in tile[low, 1:])
-                x, y = np.repeat(l, len(r)), np.tile(r, len(l))
-            left.append(x), right.append(y)
-            size += len(x)
-            if size > 1_000_000:
-                test()
-                size = 0
-        if left:
-            test()
-        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        out = np.unique(np.sort(out, 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 1]), pa.array(out[:, 0])], ["a", "b"])
+    return saved(texts.select("class", "digest", "text").mapInArrow(lambda b: _sets(b, k), "class long, set binary").groupBy("class").agg(F.first("set").alias("set")))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b: classes) whose full sets are similar enough."""
+    pairs = saved(pairs)
+    sets = _full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), docs, classes, k)
+    joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    return saved(joined.mapInArrow(lambda b: _verify(b, percent), "a long, b long"))
 
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by tile, in tables of whole tiles."""
+    names, rest = ("key", "i", "j"), None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rest = rows if rest is None else pa.concat_tables([rest, rows])
-        if rest.num_rows < 4 * TILE:
+        if rest.num_rows < 2 * TILE and rest.nbytes < TILE_BYTES:
             continue
-        last = [rest.column(c)[-1].as_py() for c in ("key", "i", "j")]
-        same = np.logical_and.reduce([rest.column(c).to_numpy() == x for c, x in zip(("key", "i", "j"), last, strict=True)])
-        whole = int(np.argmax(same))
-        if whole:
-            yield pairs(rest.slice(0, whole))
+        last = [rest.column(c)[-1].as_py() for c in names]
+        same = np.logical_and.reduce([rest.column(c).to_numpy() == x for c, x in zip(names, last, strict=True)])
+        if whole := int(np.argmax(same)):
+            yield rest.slice(0, whole).combine_chunks()
             rest = rest.slice(whole)
     if rest is not None and rest.num_rows:
-        yield pairs(rest)
+        yield rest.combine_chunks()
+
+
+def _likely_pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, equal registers): places of rows that a tile holds both, of different components, and likely enough."""
+    # A tile pairs its left rows with its right ones; on the diagonal all rows are both.
+    tile = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+    starts = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(1)]))
+    ends = np.append(starts[1:], len(tile))
+    comps, n, own, band = (rows.column(c).to_numpy() for c in ("component", "n_shingles", "t", "band"))
+    table = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+    def test(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ok = (comps[a] != comps[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
+        a, b = a[ok], b[ok]
+        for at in range(0, len(a), 20_000):
+            x, y = a[at : at + 20_000], b[at : at + 20_000]
+            p, q = table[x], table[y]
+            # Each pair counts in the first band that it shares, and in no other.
+            new = (p == q).reshape(len(x), -1, BAND).all(2).argmax(1) == band[x]
+            x, y, p, q = x[new], y[new], p[new], q[new]
+            more, less = (p > q).sum(1), (p < q).sum(1)
+            good = likely(more, less, n[x].astype(float), n[y].astype(float), threshold)
+            yield x[good], y[good], REGISTERS - (more + less)[good]
+
+    left, right, size = [], [], 0
+    for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
+        all_ = np.arange(low, high)
+        same = tile[low, 1] == tile[low, 2]
+        first, second = (all_, all_) if same else (all_[own[low:high] == side] for side in tile[low, 1:])
+        step = max(1, PAIRS // max(1, len(second)))
+        for at in range(0, len(first), step):
+            x, y = np.repeat(first[at : at + step], len(second)), np.tile(second, len(first[at : at + step]))
+            if same:
+                x, y = x[x < y], y[x < y]
+            left.append(x), right.append(y)
+            size += len(x)
+            if size > PAIRS:
+                yield from test(np.concatenate(left), np.concatenate(right))
+                left, right, size = [], [], 0
+    if left:
+        yield from test(np.concatenate(left), np.concatenate(right))
+
+
+def _best(found: np.ndarray) -> np.ndarray:
+    """Of pairs (a, b, equal registers) each class's with the most equal ones."""
+    both = np.concatenate([found, found[:, [1, 0, 2]]])
+    both = both[np.lexsort((both[:, 1], -both[:, 2], both[:, 0]))]
+    return both[np.concatenate([[True], both[1:, 0] != both[:-1, 0]])] if len(both) else both
+
+
+def _best_partners(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    for rows in _whole_tiles(batches):
+        ids, best = rows.column("class").to_numpy(), np.zeros((0, 3), np.int64)
+        for x, y, equal in _likely_pairs(rows, threshold):
+            best = _best(np.concatenate([best, np.stack([ids[x], ids[y], equal], 1)]))
+        yield pa.RecordBatch.from_arrays([pa.array(best[:, k]) for k in range(3)], ["a", "b", "equal"])
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows that are in a likely pair of their tile."""
+    for rows in _whole_tiles(batches):
+        hit = np.zeros(rows.num_rows, bool)
+        for x, y, _ in _likely_pairs(rows, threshold):
+            hit[x] = hit[y] = True
+        yield from rows.filter(pa.array(hit)).to_batches()
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links that join components, by full sets (column set): likeliest pairs first, none within what is joined already."""
+    for rows in _whole_tiles(batches):
+        ids, comps, sets, parent = rows.column("class").to_numpy(), rows.column("component").to_numpy(), rows.column("set"), {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        a, b = [], []
+        for x, y, equal in _likely_pairs(rows, percent / 100):
+            order = np.argsort(-equal, kind="stable")
+            for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                p, q = root(int(comps[i])), root(int(comps[j]))
+                if p != q and _similar(sets[i], sets[j], percent):
+                    parent[max(p, q)] = min(p, q)
+                    a.append(ids[i])
+                    b.append(ids[j])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b)], ["a", "b"])
+
+
+def _similar(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
+    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _tiles(met: DataFrame, groups: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, by tile: a class is in each tile of its bucket once."""
+    placed = met.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    return _by_tile(
+        placed.join(mixed, "key").join(sketched, "class")
+        .withColumn("t", F.pmod(F.xxhash64("class"), tiles).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        .select("key", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "t", "band", "class", "component", "n_shingles", "registers")
+    )
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,13 +297,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     docs is read twice, but need not give its rows in the same order.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = saved(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda b: _sketch(b, k), SKETCH))
     usable = sketches.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = saved(usable.groupBy("digest").agg(F.min("row").alias("class"), F.min("doc_id").alias("least")))
     heads = usable.join(classes.select(F.col("class").alias("row")), "row").select(F.col("row").alias("class"), "n_shingles", "registers", "bands")
-    met = heads.select("class", F.explode("bands").alias("key"))
+    met = heads.select("class", F.posexplode("bands").alias("band", "key"))
     shared = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = saved(met.join(shared, "key"))
     weight = met.groupBy("class").agg(F.sum("size").alias("weight"))
@@ -241,20 +310,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     spokes = met.select("key", "class").join(hubs, "key").where("class <> hub").groupBy("class", "hub").count()
     first = spokes.groupBy("class").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("b")).select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
     first = saved(first)
-    linked = _verified(first, docs, classes, k, percent)
-    groups = saved(components(linked))
-    placed = met.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    open_ = (
-        placed.join(mixed, "key").join(heads.select("class", "n_shingles", "registers"), "class")
-        .withColumn("t", F.pmod(F.xxhash64("class"), tiles).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("key", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "t", "class", "component", "n_shingles", "registers")
-        .repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    )
-    second = open_.mapInArrow(lambda b: _tiled(b, percent / 100), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    linked = linked.union(_verified(second, docs, classes, k, percent))
+    tested, linked = first, _verified(first, docs, classes, k, percent)
+    sketched = heads.select("class", "n_shingles", "registers")
+    for _ in range(2):
+        partners = _tiles(met, components(linked), sketched).mapInArrow(lambda b: _best_partners(b, percent / 100), "a long, b long, equal long")
+        pairs = partners.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
+        pairs = saved(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
+        linked = linked.union(_verified(pairs, docs, classes, k, percent))
+    tiles = _tiles(met, components(linked), sketched)
+    still = saved(tiles.mapInArrow(lambda b: _open_rows(b, percent / 100), tiles.schema))
+    sets = _full_sets(still.select("class").distinct(), docs, classes, k)
+    linked = linked.union(saved(_by_tile(still.join(sets, "class")).mapInArrow(lambda b: _tile_links(b, percent), "a long, b long")))
     groups = components(linked).withColumnRenamed("node", "class")
     grouped = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
