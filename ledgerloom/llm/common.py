@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -38,6 +41,29 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch at most: texts may be long, and a batch is in memory on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_ROWS where it is larger or unlimited. No result depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def tidied(batches: Iterator) -> Iterator:
+    """The same batches; after the last one the worker, which Spark keeps, gives memory that it no longer uses back."""
+    yield from batches
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -58,7 +84,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word (str or bytes), remembered; forgets everything when it holds `most` words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -73,9 +99,8 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-#: ASCII white space; words of the shingle and window operators are runs of everything else.
-SPACES = " \t\n\x0b\x0c\r"
-_SPACE_TABLE = bytes.maketrans(bytes(range(0x09, 0x0E)), b"     ")
+#: One table per worker process, whichever operators it runs.
+WORD_HASHES = WordHashes()
 
 
 def ascii_words(text: str) -> list[bytes]:
@@ -122,7 +147,7 @@ class ChunkEncoder:
     Two generations of at most `most` chunks are kept, so frequent chunks stay while rare ones are forgotten.
     """
 
-    def __init__(self, tokenizer: str, most: int = 250_000):
+    def __init__(self, tokenizer: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, saved, shared_dir, slices, text_or_empty
+from .common import partitions, saved, shared_dir, slices, small_batches, text_or_empty, tidied
 from .substrings import cut_words
 
 SLICE = 100_000
@@ -255,20 +255,21 @@ def _judge(batches: Iterator[pa.RecordBatch], paths: list[str], text_col: str, d
 def phrase_slices(benchmark: DataFrame, width: int) -> list[str]:
     """The files of the benchmark's windows; their number is that of windows over SLICE, and a file for each task."""
     spark = benchmark.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark) + "/phrases"
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     # One task takes small benchmarks; each further one takes some 100,000 items.
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
     tasks = max(1, min(partitions(spark), items.count() // 100_000))
-    return [r.path for r in saved(items.repartition(tasks).mapInArrow(lambda b: _write_slices(b, folder, width), "path string")).collect()]
+    return [r.path for r in saved(items.repartition(tasks).mapInArrow(lambda b: tidied(_write_slices(b, folder, width)), "path string")).collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for each row of docs."""
     paths = sorted(phrase_slices(benchmark, width))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        lambda b: _judge(b, paths, "text", True), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+        lambda b: tidied(_judge(b, paths, "text", True)), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     )
 
 
@@ -276,7 +277,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_c
     """docs with the benchmark's passages cut from their texts."""
     paths = sorted(phrase_slices(benchmark, width))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.mapInArrow(lambda b: _judge(b, paths, text_col, False), schema)
+    return docs.mapInArrow(lambda b: tidied(_judge(b, paths, text_col, False)), schema)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

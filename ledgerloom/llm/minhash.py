@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, U64, WordHashes, ascii_lower, mix, partitions, saved, slices
+from .common import MULTIPLIER, U64, WORD_HASHES, ascii_lower, mix, partitions, saved, slices, small_batches, tidied
 from .components import components
 
 REGISTERS, BAND = 128, 4
@@ -48,7 +48,7 @@ SLACK = 9.0
 _rng = np.random.default_rng(20240601)
 _A = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * U64(2) + U64(1)
 _B = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64)
-_HASHES = WordHashes()
+_HASHES = WORD_HASHES
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def _full_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> D
     few = wanted.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"] == wanted["least"])
     # Repeated rows of an id would give a class its set twice.
-    return saved(texts.select("class", "digest", "text").mapInArrow(lambda b: _sets(b, k), "class long, set binary").groupBy("class").agg(F.first("set").alias("set")))
+    return saved(texts.select("class", "digest", "text").mapInArrow(lambda b: tidied(_sets(b, k)), "class long, set binary").groupBy("class").agg(F.first("set").alias("set")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     pairs = saved(pairs)
     sets = _full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), docs, classes, k)
     joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    return saved(joined.mapInArrow(lambda b: _verify(b, percent), "a long, b long"))
+    return saved(joined.mapInArrow(lambda b: tidied(_verify(b, percent)), "a long, b long"))
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -297,8 +297,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     docs is read twice, but need not give its rows in the same order.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = saved(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda b: _sketch(b, k), SKETCH))
+    sketches = saved(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda b: tidied(_sketch(b, k)), SKETCH))
     usable = sketches.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = saved(usable.groupBy("digest").agg(F.min("row").alias("class"), F.min("doc_id").alias("least")))
     heads = usable.join(classes.select(F.col("class").alias("row")), "row").select(F.col("row").alias("class"), "n_shingles", "registers", "bands")
@@ -313,15 +314,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     tested, linked = first, _verified(first, docs, classes, k, percent)
     sketched = heads.select("class", "n_shingles", "registers")
     for _ in range(2):
-        partners = _tiles(met, components(linked), sketched).mapInArrow(lambda b: _best_partners(b, percent / 100), "a long, b long, equal long")
+        partners = _tiles(met, components(linked), sketched).mapInArrow(lambda b: tidied(_best_partners(b, percent / 100)), "a long, b long, equal long")
         pairs = partners.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
         pairs = saved(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
         linked = linked.union(_verified(pairs, docs, classes, k, percent))
     tiles = _tiles(met, components(linked), sketched)
-    still = saved(tiles.mapInArrow(lambda b: _open_rows(b, percent / 100), tiles.schema))
+    still = saved(tiles.mapInArrow(lambda b: tidied(_open_rows(b, percent / 100)), tiles.schema))
     sets = _full_sets(still.select("class").distinct(), docs, classes, k)
-    linked = linked.union(saved(_by_tile(still.join(sets, "class")).mapInArrow(lambda b: _tile_links(b, percent), "a long, b long")))
+    linked = linked.union(saved(_by_tile(still.join(sets, "class")).mapInArrow(lambda b: tidied(_tile_links(b, percent)), "a long, b long")))
     groups = components(linked).withColumnRenamed("node", "class")
     grouped = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))

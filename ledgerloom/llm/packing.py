@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder, slices, text_or_empty
+from .common import encoder, slices, small_batches, text_or_empty
 
 TIERS = (128, 256, 512, 1024)
 #: Windows of a task have numbers from task * WINDOWS on.
@@ -120,6 +120,7 @@ def pack_documents(
 
     A sequence's length is its tier; step groups hold step_tokens / tier sequences of one tier.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, tokenizer_path
+from .common import slices, small_batches, text_or_empty, tokenizer_path
 
 #: The pattern by which this vocabulary's words are cut.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -182,6 +182,7 @@ def counter(tokenizer: str) -> PrefixCounter:
 
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", with_table: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and, if asked for, table: the counts at every prefix (little-endian 32-bit, by characters)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 from .labelled import held_out, training_rows
 
 FEATURES = ("log_bytes", "log_words", "word_length", "distinct_words", "top_word", "doubled_words", "upper", "digits", "marks", "stress", "symbols", "beyond_ascii", "line_length", "distinct_lines", "long_words", "distinct_bytes", "sentence_words", "short_words", "links")
@@ -169,6 +169,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", remainder: int = 1, of: int = 3, most: int = MOST) -> Additive:
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label, remainder, of, most).select("y", "text").mapInArrow(_featured, "y int, x array<double>").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(rows.column("y").to_pylist(), float)
@@ -179,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", remainder:
 def score(docs: DataFrame, model: Additive, score_col: str = "score", text_col: str = "text") -> DataFrame:
     """docs with a score from 0 to 1: how likely label 1 is. A column that has the score's name is replaced."""
     docs = docs.drop(score_col)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

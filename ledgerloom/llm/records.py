@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, partitions, saved, shared_dir, slices, text_or_empty
+from .common import encoder, partitions, saved, shared_dir, slices, small_batches, text_or_empty
 
 MAGIC = b"LLIX0001"
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
@@ -101,6 +101,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.j
     same id are all written, in the order of reading. An empty table gives no file and an empty manifest.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("tie"))
         .repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id"), "tie")

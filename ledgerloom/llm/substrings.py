@@ -26,26 +26,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MULTIPLIER, WordHashes, ascii_words, mix, partitions, saved, shared_dir, slices
+from .common import MULTIPLIER, WORD_HASHES, ascii_words, mix, partitions, saved, shared_dir, small_batches, tidied
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-BLOCK_BYTES = 8_000_000
-_HASHES = WordHashes()
+BLOCK_BYTES = 3_000_000
+_HASHES = WORD_HASHES
 _NO_ID = np.iinfo(np.int64).max
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The rows of a task in runs of about BLOCK_BYTES of text, numbered across tasks. Runs end with Arrow's batches, so they are the same in each scan."""
-    base, k = TaskContext.get().partitionId() << 24, 0
+    """The rows of a task in runs that end with the row that brings their texts to BLOCK_BYTES, numbered across tasks.
+
+    Where runs end depends on the texts alone, so they are the same in each scan whatever other columns there are.
+    """
+    number, parts, size = TaskContext.get().partitionId() << 24, [], 0
     for batch in batches:
-        for _, rows in slices(batch, BLOCK_BYTES, text_col):
-            yield base + k, rows
-            k += 1
+        ends, start = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text_col)), 0), np.int64)), 0
+        while start < batch.num_rows:
+            done = int(ends[start - 1]) if start else 0
+            stop = int(np.searchsorted(ends, done + BLOCK_BYTES - size)) + 1
+            parts.append(batch.slice(start, stop - start))
+            size += int(ends[min(stop, batch.num_rows) - 1]) - done
+            start = stop
+            if size >= BLOCK_BYTES:
+                yield number, pa.concat_batches(parts)
+                number, parts, size = number + 1, [], 0
+    if parts:
+        yield number, pa.concat_batches(parts)
 
 
 class _Windows:
@@ -238,16 +251,17 @@ def remove_repeats(docs: DataFrame, width: int = 13, digest: bool = False, id_co
     if width < 1:
         raise ValueError("width must be positive")
     spark = docs.sparkSession
+    small_batches(spark)
     folder, buckets = shared_dir(spark) + "/answers", 2 * partitions(spark)
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
-    sent = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _send(b, width, buckets, folder), PACKED)
+    sent = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: tidied(_send(b, width, buckets, folder)), PACKED)
     told = sent.groupBy("bucket").applyInArrow(_meet, "block long, at binary, least binary")
     saved(told.groupBy("block").applyInArrow(lambda t: _answer(t, folder), "block long, n long"))
     if digest:
-        return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(lambda b: _cut(b, width, folder, id_col, text_col, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(lambda b: tidied(_cut(b, width, folder, id_col, text_col, True)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.mapInArrow(lambda b: _cut(b, width, folder, id_col, text_col, False), schema)
+    return docs.mapInArrow(lambda b: tidied(_cut(b, width, folder, id_col, text_col, False)), schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

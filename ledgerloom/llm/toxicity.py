@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 from .labelled import held_out, training_rows
 
 WINDOW, STEP = 32, 16
@@ -430,6 +430,7 @@ def _model(raw: bytes) -> Model:
 def score(docs: DataFrame, model: Model, score_col: str = "score", text_col: str = "text") -> DataFrame:
     """docs with a score from 0 to 1: how likely label 1 is. The model (about 1 MB, whatever the data) goes by broadcast. A column that has the score's name is replaced."""
     docs = docs.drop(score_col)
+    small_batches(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(score_col, T.DoubleType())])
 
