@@ -96,11 +96,11 @@ def pair_scan(spark, d) -> DataFrame:
 
 
 def neighbour_context(spark, d) -> DataFrame:
-    """Each first line of five with the length of the line before and after it."""
+    """Each line with the length of the line before and after it."""
     rows = S.lines(table(spark, d, "documents").select("doc_id", "text"), keep_empty=True)
     w = S.by_line()
     rows = rows.withColumns({"before": F.octet_length(F.lag("line").over(w)), "after": F.octet_length(F.lead("line").over(w))})
-    return rows.where("line_no % 5 = 0").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce("before", F.lit(-1)).cast("long").alias("before"), F.coalesce("after", F.lit(-1)).cast("long").alias("after"))
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce("before", F.lit(-1)).cast("long").alias("before"), F.coalesce("after", F.lit(-1)).cast("long").alias("after"))
 
 
 def cell_unzip(spark, d) -> DataFrame:
