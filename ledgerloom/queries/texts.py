@@ -94,7 +94,7 @@ def year_resolve(spark, d) -> DataFrame:
 
 def text_normalise(spark, d) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(X.squeeze(t), "UTF-8")).alias("squeezed"), X.title_case(F.substring(F.regexp_replace(t, "[^A-Za-z /-]", ""), 1, 60)).alias("title"), F.md5(F.encode(X.clean(t, (("[aeiou]+", "v"), (r"\d", ""))), "UTF-8")).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(X.squeeze(t), "UTF-8")).alias("squeezed"), F.md5(F.encode(X.title_case(t), "UTF-8")).alias("title"), F.md5(F.encode(X.clean(t, (("[aeiou]+", "v"), (r"\d", ""))), "UTF-8")).alias("cleaned"))
 
 
 def reference_split(spark, d) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries that read and return all of their table, against plain versions."""
 
+import hashlib
 import os
 import re
 
@@ -28,3 +29,15 @@ def test_neighbour_context_has_every_line(spark):
         sizes = [len(x.strip(" ").encode()) for x in re.split("\r\n?|\n", r["text"])] if r["text"] is not None else []
         want += [(r["doc_id"], i, sizes[i - 1] if i else -1, sizes[i + 1] if i + 1 < len(sizes) else -1) for i in range(len(sizes))]
     assert got(spark, "neighbour_context", "doc_id", "line_no", "before", "after") == sorted(want)
+
+
+def title_cased(text):
+    low, word = text.lower(), re.compile("[a-z0-9_]")
+    out = "".join(x.upper() if word.match(x) and not (i and word.match(low[i - 1])) else x for i, x in enumerate(low))
+    return re.sub(r"\bFnb\b", "FNB", re.sub(r"\bAbsa\b", "ABSA", out))
+
+
+@tables
+def test_text_normalise_title_cases_whole_texts(spark):
+    want = sorted((r["doc_id"], hashlib.md5(title_cased(r["text"]).encode()).hexdigest()) for r in rows_of("documents"))
+    assert got(spark, "text_normalise", "doc_id", "title") == want
