@@ -68,10 +68,9 @@ def money_parse(spark, d) -> DataFrame:
 
 
 def date_disambiguate(spark, d) -> DataFrame:
-    """Order dates of 2000 and 2001 as ddmmyy, with a period that holds half of them."""
-    day = F.col("o_orderdate").cast("date")
-    o = table(spark, d, "orders").where(F.year("o_orderdate").isin(2000, 2001)).withColumn("day", day)
-    found = dates.best_date(F.concat(F.lit("CARD ROL"), F.date_format("day", "ddMMyy")), F.lit("2001-01-01").cast("date"), F.lit("2001-12-31").cast("date"))
+    """All order dates, ten years later as in ledger(), as ddmmyy, with the period 2011; and as yymmdd without a period."""
+    o = table(spark, d, "orders").withColumn("day", F.add_months(F.col("o_orderdate").cast("date"), 120))
+    found = dates.best_date(F.concat(F.lit("CARD ROL"), F.date_format("day", "ddMMyy")), F.lit("2011-01-01").cast("date"), F.lit("2011-12-31").cast("date"))
     return o.select("o_orderkey", found.cast("string").alias("found"), dates.best_date(F.date_format("day", "yyMMdd"), F.lit(None).cast("date"), F.lit(None).cast("date")).cast("string").alias("free"))
 
 

@@ -1,5 +1,6 @@
 """Queries that read and return all of their table, against plain versions."""
 
+import datetime
 import hashlib
 import os
 import re
@@ -41,3 +42,24 @@ def title_cased(text):
 def test_text_normalise_title_cases_whole_texts(spark):
     want = sorted((r["doc_id"], hashlib.md5(title_cased(r["text"]).encode()).hexdigest()) for r in rows_of("documents"))
     assert got(spark, "text_normalise", "doc_id", "title") == want
+
+
+def real_date(*parts):
+    try:
+        return datetime.date(*parts)
+    except ValueError:
+        return None
+
+
+@tables
+def test_date_disambiguate_reads_every_order(spark):
+    start, end = datetime.date(2011, 1, 1), datetime.date(2011, 12, 31)
+    want = []
+    for r in rows_of("orders"):
+        # 29 February is the 28th ten years later.
+        day = real_date((o := r["o_orderdate"]).year + 10, o.month, o.day) or datetime.date(o.year + 10, 2, 28)
+        readings = ((real_date(2000 + day.day, day.month, day.year % 100), 10), (day, 0))
+        score = lambda x, bonus: bonus + (1000 if start <= x <= end else -min(abs((x - start).days), abs((x - end).days)))
+        found = max((x for x in readings if x[0]), key=lambda x: score(*x))[0]
+        want.append((r["o_orderkey"], str(found), str(day)))
+    assert got(spark, "date_disambiguate", "o_orderkey", "found", "free") == sorted(want)
