@@ -34,7 +34,7 @@ def capitec(docs: DataFrame) -> DataFrame:
     """Rows between two marks, each led by a date and perhaps wrapped; the last amount is the balance, amounts are differences."""
     section = docs.select("doc_id", S.between(F.col("text"), "Transaction History", "* Includes VAT").alias("text")).where("text is not null")
     rows = S.blocks(S.lines(section), F.col("line").rlike(DATED))
-    body = F.trim(F.substring("text", 11, 100_000))
+    body = F.trim(F.substr("text", F.lit(11)))
     rows = rows.withColumns({"date": F.substring("text", 1, 10), "body": body, "found": money.tokens(body)}).where(F.size("found") > 0)
     rows = rows.withColumns({"balance_c": money.leading_sign(F.element_at("found", -1)), "first_c": F.when(F.size("found") > 1, money.leading_sign(F.element_at("found", -2))).otherwise(0)})
     rows = L.deltas(rows, first=F.col("first_c"))

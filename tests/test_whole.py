@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from ledgerloom import queries as engine
+from ledgerloom.plans import layouts as P
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,3 +64,11 @@ def test_date_disambiguate_reads_every_order(spark):
         found = max((x for x in readings if x[0]), key=lambda x: score(*x))[0]
         want.append((r["o_orderkey"], str(found), str(day)))
     assert got(spark, "date_disambiguate", "o_orderkey", "found", "free") == sorted(want)
+
+
+def test_capitec_reads_long_rows_to_their_end(spark):
+    words = "\n".join(["word " * 20] * 1100)
+    text = f"Transaction History\n01/02/2020 Shop 1.00\n{words}\nlast 20.00 300.00\n02/02/2020 Shop 5.00 305.00\n* Includes VAT"
+    rows = P.capitec(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("row_idx").collect()
+    assert [(r["amount_c"], r["balance_c"]) for r in rows] == [(2000, 30000), (500, 30500)]
+    assert rows[0]["description"].endswith("word last")
