@@ -14,8 +14,9 @@ Documents of equal sets are one class from the start, so copies are never paired
      come together with their full sets; all such pairs are verified there, likeliest first, and only those links leave
      that join components.
 Buckets are compared in tiles of TILE classes. A link inside a component changes nothing, so this finds what comparing
-all pairs of each bucket would find, without listing the pairs of a large group. With 32
-bands, a pair at similarity 0.8 shares no bucket with probability 5e-8.
+all pairs of each bucket would find, without listing the pairs of a large group, but for what the likelihoods drop. With
+32 bands, a pair at similarity 0.8 shares no bucket with probability 5e-8; one of equal set sizes that shares one is
+dropped by its likelihood with probability 9e-9.
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and kept; a text of fewer
 words than a shingle is one shingle; rows with a null id are linked with nothing, have no component and are kept;
@@ -43,8 +44,8 @@ PAIRS = 200_000
 TILE_BYTES = 32_000_000
 #: A side of at most so many ids is broadcast (32 MB); a larger one is joined by shuffle.
 BROADCAST_IDS = 2_000_000
-#: A pair is dropped if the likelihood at the threshold is e**-9 of the best or less, and the best lies below.
-SLACK = 9.0
+#: A pair is dropped if the likelihood at the threshold is e**-16 of the best or less, and the best lies below.
+SLACK = 16.0
 _rng = np.random.default_rng(20240601)
 _A = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * U64(2) + U64(1)
 _B = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64)
