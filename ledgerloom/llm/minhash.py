@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MULTIPLIER, U64, WORD_HASHES, ascii_lower, mix, partitions, saved, slices, small_batches, tidied
@@ -115,7 +115,7 @@ def likely(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
     return (top >= threshold) & (at(np.minimum(threshold, top)) > best - SLACK)
 
 
-SKETCH = "row long, doc_id long, n_shingles long, digest binary, registers binary, bands array<bigint>"
+SKETCH = "row long, doc_id long, mark long, n_shingles long, digest binary, registers binary, bands array<bigint>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -129,8 +129,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 for i, r, b in zip(full, table, bands(table).tolist(), strict=True):
                     digests[i], raw[i], keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), r.tobytes(), b
             yield pa.RecordBatch.from_arrays(
-                [rows.column("row"), rows.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["row", "doc_id", "n_shingles", "digest", "registers", "bands"],
+                [rows.column("row"), rows.column("doc_id"), rows.column("mark"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["row", "doc_id", "mark", "n_shingles", "digest", "registers", "bands"],
             )
 
 
@@ -293,14 +293,16 @@ def _tiles(met: DataFrame, groups: DataFrame, sketched: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of docs. Linked: Jaccard similarity of at least percent / 100.
+def _mark() -> Column:
+    """Names a row by doc_id and text; null without an id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
 
-    docs is read twice, but need not give its rows in the same order.
-    """
+
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows' doc_id, mark, n_shingles and digest; and digest, component, component_id."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = saved(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda b: tidied(_sketch(b, k)), SKETCH))
+    sketches = saved(docs.withColumns({"row": F.monotonically_increasing_id(), "mark": _mark()}).mapInArrow(lambda b: tidied(_sketch(b, k)), SKETCH))
     usable = sketches.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = saved(usable.groupBy("digest").agg(F.min("row").alias("class"), F.min("doc_id").alias("least")))
     heads = usable.join(classes.select(F.col("class").alias("row")), "row").select(F.col("row").alias("class"), "n_shingles", "registers", "bands")
@@ -327,22 +329,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     groups = components(linked).withColumnRenamed("node", "class")
     grouped = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = saved(grouped.join(least, "component").select("digest", "component_id"))
+    found = saved(grouped.join(least, "component").select("digest", "component", "component_id"))
+    return sketches.select("doc_id", "mark", "n_shingles", "digest"), found
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each row of docs. Linked: Jaccard similarity of at least percent / 100.
+
+    docs is read twice, but need not give its rows in the same order. Rows of one id are kept or not by their id.
+    """
+    sketches, found = _grouped(docs, k, percent, id_col, text_col)
     alone = F.col("doc_id")
     return (
-        sketches.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
+        sketches.join(found, "digest", "left")
         .withColumn("component_id", F.when(alone.isNotNull(), F.coalesce("component_id", "doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """One document of each component, with the columns of docs; rows without an id stay."""
-    gone = near_duplicates(docs, k, percent, id_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    gone = saved(gone)
+    """One document of each component, with the columns of docs; rows without an id or words stay.
+
+    It is a text of the least id. Where an id has several texts, each stays or goes with its own component; equal rows
+    stay or go together. Rows are told apart by a 64-bit hash of id and text.
+    """
+    sketches, found = _grouped(docs, k, percent, id_col, "text")
+    rows = sketches.where("doc_id is not null").join(found, "digest").select("component", "doc_id", "mark").distinct()
+    heads = rows.groupBy("component").agg(F.min(F.struct("doc_id", "mark"))["mark"].alias("head"))
+    gone = saved(rows.join(heads, "component").where("mark <> head").select("mark"))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, id_col, "left_anti")
+    marked = docs.withColumn("_mark", F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), "text")))
+    return marked.join(gone, F.col("_mark") == F.col("mark"), "left_anti").drop("_mark")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
