@@ -23,10 +23,12 @@ MULTIPLIER = U64(0x9E3779B97F4A7C15)
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor can reach.
 
-    Only where the session names none (tests, local mode) is a temporary folder made and set.
+    Only in local mode, where the session names none, is a temporary folder made and set; a cluster's session must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and base.startswith("/"):
@@ -41,6 +43,33 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """The tables that an operator writes on its way; at its end all but the kept ones are removed, if it ended well."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.spare, self.n = spark, shared_dir(spark), [], 0
+
+    def saved(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        """As saved(), in the operator's own folder. keep: for tables that its result reads."""
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        if not keep:
+            self.spare.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            from pyarrow.fs import FileSystem
+
+            for path in self.spare:
+                store, where = FileSystem.from_uri(path)
+                store.delete_dir(where)
+
+
 #: Rows of an Arrow batch at most: texts may be long, and a batch is in memory on both sides.
 BATCH_ROWS = 1000
 

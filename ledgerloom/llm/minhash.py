@@ -6,21 +6,25 @@ registers name the buckets in which documents meet. Two documents' registers, wi
 likelihood of each similarity; pairs for which the threshold is far less likely than the best value are dropped, and
 the rest are verified on full sets.
 
-Documents of equal sets are one class from the start, so copies are never paired. Classes are linked in passes:
-  1. in each bucket all classes are paired with one hub, the one that shares the most buckets; each class is verified
-     with the hub that it meets most often, and components are formed;
-  2. twice, each class in a bucket of several components is verified with its likeliest partner of another one;
-  3. in buckets that still hold several components, the classes that are likely enough for one of another component
-     come together with their full sets; all such pairs are verified there, likeliest first, and only those links leave
-     that join components.
-Buckets are compared in tiles of TILE classes. A link inside a component changes nothing, so this finds what comparing
-all pairs of each bucket would find, without listing the pairs of a large group, but for what the likelihoods drop. With
-32 bands, a pair at similarity 0.8 shares no bucket with probability 5e-8; one of equal set sizes that shares one is
-dropped by its likelihood with probability 9e-9.
+Documents of equal sets are one class from the start, so copies are never paired. Then:
+  1. each class is verified with one hub, the smallest class of most of its buckets. Links to hubs point to smaller
+     classes, so following them twice gives each class a label, and classes of one label are linked;
+  2. buckets of one label are done. In every other one, each class outside its largest label is compared with all
+     classes of other labels by registers, in tiles of TILE by TILE rows: members of the largest label are never paired
+     with each other. Pairs already verified are left out. Rows of likely pairs get their full sets, and each tile
+     verifies such pairs, likeliest first, and gives the links that join labels;
+  3. labels and those links, a far smaller graph, form the components.
+A link inside a component changes nothing, so this finds what comparing all pairs of each bucket would find, without
+listing the pairs of a large group, but for what the likelihoods drop. With 32 bands, a pair at similarity 0.8 shares no
+bucket with probability 5e-8; one of equal set sizes that shares one is dropped by its likelihood with probability 9e-9.
+
+Texts are scanned twice: for all sketches, and for the full sets of classes that share a bucket with another one
+(drop_near_duplicates scans them once more, for its result). A hub's set is copied for each SPOKES of its classes.
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and kept; a text of fewer
-words than a shingle is one shingle; rows with a null id are linked with nothing, have no component and are kept;
-repeated rows are copies of each other; an empty table gives no rows; extra columns are ignored.
+words than a shingle is one shingle; a text is in memory whole, with its shingles' hashes, some 16 bytes a word; rows
+with a null id are linked with nothing, have no component and are kept; repeated rows are copies of each other; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,17 +37,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, U64, WORD_HASHES, ascii_lower, mix, partitions, saved, slices, small_batches, tidied
+from .common import MULTIPLIER, U64, WORD_HASHES, Workspace, ascii_lower, mix, partitions, slices, small_batches, tidied
 from .components import components
 
 REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
-TILE = 2048
+TILE = 512
 #: So many pairs are looked at at a time.
 PAIRS = 200_000
 TILE_BYTES = 32_000_000
-#: A side of at most so many ids is broadcast (32 MB); a larger one is joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: So many classes are verified with one copy of their hub.
+SPOKES = 256
+#: A side of at most so many rows is broadcast (some 50 MB as a hash table); a larger one is joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: A pair is dropped if the likelihood at the threshold is e**-16 of the best or less, and the best lies below.
 SLACK = 16.0
 _rng = np.random.default_rng(20240601)
@@ -148,21 +154,27 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _full_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """class, set (its shingles, from its text anew) of some classes."""
-    wanted = saved(classes.join(ids, "class").select("class", "least", "digest"))
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"] == wanted["least"])
+def _few(df: DataFrame) -> DataFrame:
+    """df (a saved table), to be broadcast if its rows are counted to be few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _full_sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """class, set (its shingles, from its text anew) of nodes."""
+    wanted = _few(nodes.select("class", "least", "digest"))
+    texts = docs.join(wanted, docs["doc_id"] == wanted["least"]).select("class", "digest", "text")
     # Repeated rows of an id would give a class its set twice.
-    return saved(texts.select("class", "digest", "text").mapInArrow(lambda b: tidied(_sets(b, k)), "class long, set binary").groupBy("class").agg(F.first("set").alias("set")))
+    return texts.mapInArrow(lambda b: tidied(_sets(b, k)), "class long, set binary").groupBy("class").agg(F.first("set").alias("set"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b: classes) whose full sets are similar enough."""
-    pairs = saved(pairs)
-    sets = _full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), docs, classes, k)
-    joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    return saved(joined.mapInArrow(lambda b: tidied(_verify(b, percent)), "a long, b long"))
+def _hub_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Nodes (a) that are similar enough to their hubs (b). A hub of many nodes is copied, so that no task has them all."""
+    spokes = nodes.where("hub is not null").select("class", "hub")
+    hubs = spokes.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("copies"))
+    spokes = spokes.join(hubs, "hub").select(F.col("class").alias("a"), F.col("hub").alias("b"), F.pmod(F.xxhash64("class"), "copies").cast("int").alias("copy"))
+    ends = hubs.select(F.col("hub").alias("b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    joined = spokes.join(sets.toDF("a", "set_a"), "a").join(ends.join(sets.toDF("b", "set_b"), "b"), ["b", "copy"])
+    return joined.select("a", "b", "set_a", "set_b").mapInArrow(lambda b: tidied(_verify(b, percent)), "a long, b long")
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -183,16 +195,17 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _likely_pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, y, equal registers): places of rows that a tile holds both, of different components, and likely enough."""
-    # A tile pairs its left rows with its right ones; on the diagonal all rows are both.
+    """(x, y, equal registers): places of a left and a right row of one tile, of different labels, not verified yet and likely enough."""
     tile = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], 1)
     starts = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(1)]))
     ends = np.append(starts[1:], len(tile))
-    comps, n, own, band = (rows.column(c).to_numpy() for c in ("component", "n_shingles", "t", "band"))
+    ids, labels, hubs, n, band, side, apart = (rows.column(c).to_numpy() for c in ("class", "label", "hub", "n_shingles", "band", "on_left", "apart"))
     table = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
     def test(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        ok = (comps[a] != comps[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
+        # Rows outside the largest label are on both sides: their pairs are taken once.
+        ok = (labels[a] != labels[b]) & (~apart[a] | (ids[a] < ids[b])) & (hubs[a] != ids[b]) & (hubs[b] != ids[a])
+        ok &= np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
         a, b = a[ok], b[ok]
         for at in range(0, len(a), 20_000):
             x, y = a[at : at + 20_000], b[at : at + 20_000]
@@ -206,16 +219,13 @@ def _likely_pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray
 
     left, right, size = [], [], 0
     for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
-        all_ = np.arange(low, high)
-        same = tile[low, 1] == tile[low, 2]
-        first, second = (all_, all_) if same else (all_[own[low:high] == side] for side in tile[low, 1:])
+        here, mine = np.arange(low, high), side[low:high]
+        first, second = here[mine], here[~mine]
         step = max(1, PAIRS // max(1, len(second)))
         for at in range(0, len(first), step):
-            x, y = np.repeat(first[at : at + step], len(second)), np.tile(second, len(first[at : at + step]))
-            if same:
-                x, y = x[x < y], y[x < y]
-            left.append(x), right.append(y)
-            size += len(x)
+            left.append(np.repeat(first[at : at + step], len(second)))
+            right.append(np.tile(second, len(first[at : at + step])))
+            size += len(left[-1])
             if size > PAIRS:
                 yield from test(np.concatenate(left), np.concatenate(right))
                 left, right, size = [], [], 0
@@ -223,21 +233,6 @@ def _likely_pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray
         yield from test(np.concatenate(left), np.concatenate(right))
 
 
-def _best(found: np.ndarray) -> np.ndarray:
-    """Of pairs (a, b, equal registers) each class's with the most equal ones."""
-    both = np.concatenate([found, found[:, [1, 0, 2]]])
-    both = both[np.lexsort((both[:, 1], -both[:, 2], both[:, 0]))]
-    return both[np.concatenate([[True], both[1:, 0] != both[:-1, 0]])] if len(both) else both
-
-
-def _best_partners(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for rows in _whole_tiles(batches):
-        ids, best = rows.column("class").to_numpy(), np.zeros((0, 3), np.int64)
-        for x, y, equal in _likely_pairs(rows, threshold):
-            best = _best(np.concatenate([best, np.stack([ids[x], ids[y], equal], 1)]))
-        yield pa.RecordBatch.from_arrays([pa.array(best[:, k]) for k in range(3)], ["a", "b", "equal"])
-
-
 def _open_rows(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """The rows that are in a likely pair of their tile."""
     for rows in _whole_tiles(batches):
@@ -248,9 +243,9 @@ def _open_rows(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
 
 
 def _tile_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links that join components, by full sets (column set): likeliest pairs first, none within what is joined already."""
+    """Labels that full sets (column set) link: likeliest pairs first, none within what is joined already."""
     for rows in _whole_tiles(batches):
-        ids, comps, sets, parent = rows.column("class").to_numpy(), rows.column("component").to_numpy(), rows.column("set"), {}
+        labels, sets, parent = rows.column("label").to_numpy(), rows.column("set"), {}
 
         def root(x: int) -> int:
             while (up := parent.get(x, x)) != x:
@@ -262,11 +257,11 @@ def _tile_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         for x, y, equal in _likely_pairs(rows, percent / 100):
             order = np.argsort(-equal, kind="stable")
             for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                p, q = root(int(comps[i])), root(int(comps[j]))
+                p, q = root(int(labels[i])), root(int(labels[j]))
                 if p != q and _similar(sets[i], sets[j], percent):
                     parent[max(p, q)] = min(p, q)
-                    a.append(ids[i])
-                    b.append(ids[j])
+                    a.append(labels[i])
+                    b.append(labels[j])
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b)], ["a", "b"])
 
 
@@ -280,17 +275,26 @@ def _by_tile(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _tiles(met: DataFrame, groups: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, by tile: a class is in each tile of its bucket once."""
-    placed = met.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    return _by_tile(
-        placed.join(mixed, "key").join(sketched, "class")
-        .withColumn("t", F.pmod(F.xxhash64("class"), tiles).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("key", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "t", "band", "class", "component", "n_shingles", "registers")
+def _tiles(nodes: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several labels, by tile.
+
+    A row of the bucket's largest label is on the left of as many tiles as the other rows fill; each other row is there
+    too, and on the right of as many tiles as all rows fill.
+    """
+    met = nodes.select("class", "label", "hub", F.inline("met"))
+    by_label = met.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.max_by("hub", "class").alias("high_hub"))
+    buckets = by_label.groupBy("key").agg(
+        F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.min("low").alias("low"), F.max_by("high_hub", "high").alias("high_hub")
     )
+    # A bucket of two classes of which one is the other's hub is verified already.
+    buckets = buckets.where("labels > 1 and not (size = 2 and coalesce(high_hub = low, false))")
+    across, down, h = F.ceil((F.col("size") - F.col("most")) / TILE).cast("int"), F.ceil(F.col("size") / TILE).cast("int"), F.xxhash64("class")
+    left = F.transform(F.sequence(F.lit(0), across - 1), lambda j: F.struct(F.pmod(h, down).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("on_left")))
+    right = F.transform(F.sequence(F.lit(0), down - 1), lambda i: F.struct(i.alias("i"), F.pmod(h, across).cast("int").alias("j"), F.lit(False).alias("on_left")))
+    apart = F.col("label") != F.col("main")
+    placed = met.join(buckets, "key").select("key", "band", "class", apart.alias("apart"), F.when(apart, F.concat(left, right)).otherwise(left).alias("places"))
+    wide = placed.join(nodes.select("class", "label", F.coalesce("hub", F.lit(-1)).alias("hub"), "n_shingles", "registers"), "class")
+    return _by_tile(wide.select("key", F.inline("places"), "band", "class", "label", "hub", "apart", "n_shingles", "registers"))
 
 
 def _mark() -> Column:
@@ -302,41 +306,38 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     """Rows' doc_id, mark, n_shingles and digest; and digest, component, component_id."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = saved(docs.withColumns({"row": F.monotonically_increasing_id(), "mark": _mark()}).mapInArrow(lambda b: tidied(_sketch(b, k)), SKETCH))
-    usable = sketches.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = saved(usable.groupBy("digest").agg(F.min("row").alias("class"), F.min("doc_id").alias("least")))
-    heads = usable.join(classes.select(F.col("class").alias("row")), "row").select(F.col("row").alias("class"), "n_shingles", "registers", "bands")
-    met = heads.select("class", F.posexplode("bands").alias("band", "key"))
-    shared = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = saved(met.join(shared, "key"))
-    weight = met.groupBy("class").agg(F.sum("size").alias("weight"))
-    hubs = met.join(weight, "class").groupBy("key").agg(F.max_by("class", F.struct("weight", -F.col("class"))).alias("hub"))
-    spokes = met.select("key", "class").join(hubs, "key").where("class <> hub").groupBy("class", "hub").count()
-    first = spokes.groupBy("class").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("b")).select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
-    first = saved(first)
-    tested, linked = first, _verified(first, docs, classes, k, percent)
-    sketched = heads.select("class", "n_shingles", "registers")
-    for _ in range(2):
-        partners = _tiles(met, components(linked), sketched).mapInArrow(lambda b: tidied(_best_partners(b, percent / 100)), "a long, b long, equal long")
-        pairs = partners.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
-        pairs = saved(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(pairs)
-        linked = linked.union(_verified(pairs, docs, classes, k, percent))
-    tiles = _tiles(met, components(linked), sketched)
-    still = saved(tiles.mapInArrow(lambda b: tidied(_open_rows(b, percent / 100)), tiles.schema))
-    sets = _full_sets(still.select("class").distinct(), docs, classes, k)
-    linked = linked.union(saved(_by_tile(still.join(sets, "class")).mapInArrow(lambda b: tidied(_tile_links(b, percent)), "a long, b long")))
-    groups = components(linked).withColumnRenamed("node", "class")
-    grouped = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = saved(grouped.join(least, "component").select("digest", "component", "component_id"))
+    with Workspace(docs.sparkSession) as work:
+        sketches = work.saved(docs.withColumns({"row": F.monotonically_increasing_id(), "mark": _mark()}).mapInArrow(lambda b: tidied(_sketch(b, k)), SKETCH), keep=True)
+        usable = sketches.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+        # Rows of one digest have the same set, and so the same registers.
+        classes = work.saved(usable.groupBy("digest").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "registers", "bands"))))
+        met = classes.select("class", F.posexplode("bands").alias("band", "key"))
+        shared = met.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("least")).where("size > 1").select("key", "least")
+        hub = F.mode(F.when(F.col("least") != F.col("class"), F.col("least")), True)
+        meeting = met.join(shared, "key").groupBy("class").agg(hub.alias("hub"), F.collect_list(F.struct("key", "band")).alias("met"))
+        nodes = work.saved(classes.drop("bands").join(meeting, "class"))
+        sets = work.saved(_full_sets(nodes, docs, k))
+        up = work.saved(_hub_links(nodes, sets, percent)).toDF("class", "one")
+        labels = work.saved(up.join(up.toDF("one", "two"), "one", "left").select("class", F.coalesce("two", "one").alias("label")))
+        labelled = work.saved(nodes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
+        tiles = _tiles(labelled)
+        likely_rows = work.saved(tiles.mapInArrow(lambda b: tidied(_open_rows(b, percent / 100)), tiles.schema))
+        joining = _by_tile(likely_rows.join(sets, "class")).mapInArrow(lambda b: tidied(_tile_links(b, percent)), "a long, b long")
+        # Labels that are linked to a hub themselves.
+        chains = up.join(labels.select(F.col("label").alias("class")).distinct(), "class").toDF("a", "b")
+        groups = components(joining.union(chains), work).toDF("label", "component")
+        grouped = labelled.select("class", "least", "label").join(groups, "label", "left").select("class", "least", F.coalesce("component", "label").alias("component"))
+        least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = grouped.join(least, "component").select("class", "component", "component_id")
+        found = classes.select("class", "digest", "least").join(named, "class", "left")
+        found = work.saved(found.select("digest", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "least").alias("component_id")), keep=True)
     return sketches.select("doc_id", "mark", "n_shingles", "digest"), found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs. Linked: Jaccard similarity of at least percent / 100.
 
-    docs is read twice, but need not give its rows in the same order. Rows of one id are kept or not by their id.
+    docs need not give its rows in the same order twice. Rows of one id are kept or not by their id.
     """
     sketches, found = _grouped(docs, k, percent, id_col, text_col)
     alone = F.col("doc_id")
@@ -354,11 +355,10 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     stay or go together. Rows are told apart by a 64-bit hash of id and text.
     """
     sketches, found = _grouped(docs, k, percent, id_col, "text")
-    rows = sketches.where("doc_id is not null").join(found, "digest").select("component", "doc_id", "mark").distinct()
-    heads = rows.groupBy("component").agg(F.min(F.struct("doc_id", "mark"))["mark"].alias("head"))
-    gone = saved(rows.join(heads, "component").where("mark <> head").select("mark"))
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    with Workspace(docs.sparkSession) as work:
+        rows = sketches.where("doc_id is not null").join(found, "digest").select("component", "doc_id", "mark").distinct()
+        heads = rows.groupBy("component").agg(F.min(F.struct("doc_id", "mark"))["mark"].alias("head"))
+        gone = _few(work.saved(rows.join(heads, "component").where("mark <> head").select("mark"), keep=True))
     marked = docs.withColumn("_mark", F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), "text")))
     return marked.join(gone, F.col("_mark") == F.col("mark"), "left_anti").drop("_mark")
 
