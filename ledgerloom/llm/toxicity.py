@@ -1,18 +1,23 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over word and character inputs.
 
-A word enters as a hashed embedding of itself, the mean of hashed embeddings of its character grams (3 to 5 bytes,
-with its edges), and how unevenly it and its grams were spread over the classes of the training rows. A window of
-WINDOW words runs through a gated recurrent unit in each direction; attention weighs the states, and their mean gives
-the window's logit. A text's score is that of its highest window; windows start every STEP words and the last one ends
-with the text, so each word is in one and nearly all are in two.
-
-Trained in numpy on a bounded sample (MOST, first by a hash of the id), with one label for a text of many windows: each
-round scores all windows of all training texts, takes each text's highest one, and fits the network to those by Adam.
-Words' input projections are remembered by worker, so a batch of windows costs two small products a step.
-
-Defined results: null, empty and wordless texts have one empty window and its score; a null id is not held out; repeated
-rows are scored each; without rows of both labels every score is the share of label 1 (0.5 without any); extra
-columns are ignored.
+A word enters as an embedding of itself (one shared by all words that few training texts hold) and the mean of hashed
+embeddings of its character grams (3 to 5 bytes, with its edges); all are learnt with the network, and nothing else is
+known of a word. A window of WINDOW words runs through a gated recurrent unit in each direction; attention weighs the
+states, and their mean gives the window's logit. A text's score is that of its highest window; windows start every STEP
+words and the last one ends with the text, so each word is in one and nearly all are in two.
+
+Trained in numpy with one label for a text of many windows: first on random windows of all training texts, then, round
+by round, on each text's highest window by the network so far, and on random ones of texts of label 0. Adam, a loss in
+which both labels weigh the same, and words hidden at random. A word's input projections are remembered by worker, so a
+batch of windows costs two small products a step.
+
+Training is bounded: at most MOST labelled rows, the first by a hash of the id, and of each the first BYTES of its text
+(the sample that is fitted, never what is scored). A share CHECK of them is not fitted but sets the threshold, that of
+the highest F-beta (beta 0.5); scores are shifted so that it lies at 0.5.
+
+Defined results: null, empty and wordless texts have one empty window and its score; a very long text is scored whole,
+all its windows in memory a thousand at a time; a null id is not held out; repeated rows are scored each; without rows
+of both labels every score is the share of label 1 (0.5 without any); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +38,14 @@ from .labelled import held_out, training_rows
 WINDOW, STEP = 32, 16
 #: Largest number of labelled rows that a model is fitted on.
 MOST = 3_000
-HIDDEN, WIDTH, ATTENTION = 8, 8, 8
-SLOTS, PRIORS = 1 << 13, 1 << 18
-INPUTS = 2 * WIDTH + 3
+#: Bytes of a training text at most; 3,000 such texts are 96 MB on the driver.
+BYTES = 32_000
+CHECK = 0.2
+#: Words of at least so many training texts have embeddings of their own.
+TEXTS = 4
+HIDDEN, WIDTH, ATTENTION = 8, 16, 8
+GRAMS = 1 << 13
+INPUTS = 2 * WIDTH
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -62,6 +72,10 @@ def grams(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out)[order].astype(np.int64), np.searchsorted(of[order], np.arange(len(some)))
 
 
+def hashes(some: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, some), np.uint64, len(some))
+
+
 def _tanh(x: np.ndarray) -> np.ndarray:
     return np.tanh(x)
 
@@ -70,12 +84,12 @@ def _gate(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def new_parameters(seed: int = 7) -> dict[str, np.ndarray]:
+def new_parameters(seed: int = 7, n_words: int = 1) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     at = lambda *s, scale=0.3: (r.standard_normal(s) * scale).astype(np.float32)
     zero = lambda *s: np.zeros(s, np.float32)
     return {
-        "word": at(SLOTS, WIDTH, scale=0.1), "gram": at(SLOTS, WIDTH, scale=0.1), "into": at(2, INPUTS, 3 * HIDDEN), "bias": zero(2, 3 * HIDDEN),
+        "word": at(n_words, WIDTH, scale=0.1), "gram": at(GRAMS, WIDTH, scale=0.1), "into": at(2, INPUTS, 3 * HIDDEN), "bias": zero(2, 3 * HIDDEN),
         "back": at(2, HIDDEN, 3 * HIDDEN), "look": at(2 * HIDDEN, ATTENTION), "look0": zero(ATTENTION), "care": at(ATTENTION), "out": at(2 * HIDDEN), "out0": zero(1),
     }
 
@@ -168,14 +182,14 @@ def _windows(sizes: list[int], pad: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Parameters, class priors of words and grams, and remembered input projections."""
+    """Parameters, the hashes of words that have embeddings (ascending), and remembered input projections."""
 
-    def __init__(self, parameters: dict, word_prior: np.ndarray, gram_prior: np.ndarray, constant: float | None = None):
-        self.p, self.word_prior, self.gram_prior, self.constant = parameters, word_prior, gram_prior, constant
+    def __init__(self, parameters: dict, vocabulary: np.ndarray, constant: float | None = None):
+        self.p, self.vocabulary, self.constant = parameters, vocabulary, constant
         self.forget()
 
     def __getstate__(self):
-        return {"p": self.p, "word_prior": self.word_prior, "gram_prior": self.gram_prior, "constant": self.constant}
+        return {"p": self.p, "vocabulary": self.vocabulary, "constant": self.constant}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -185,18 +199,19 @@ class Model:
         self.known: dict[bytes, int] = {}
         self.table = np.zeros((2, 1024, 3 * HIDDEN), np.float32)  # place 0 is padding
 
-    def slots(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word slot, gram slots, first gram and the three prior figures of words."""
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, some), np.uint64, len(some))
+    def slots(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word row (0 if it has none), gram rows and first gram of words."""
+        h = hashes(some)
+        at = np.searchsorted(self.vocabulary, h)
+        own = at < len(self.vocabulary)
+        own[own] = self.vocabulary[at[own]] == h[own]
         g, first = grams(some)
-        prior = self.gram_prior[g & (PRIORS - 1)]
-        figures = np.stack([self.word_prior[(h >> np.uint64(20)).astype(np.int64) & (PRIORS - 1)], np.maximum.reduceat(prior, first), np.minimum.reduceat(prior, first)], 1)
-        return (h & np.uint64(SLOTS - 1)).astype(np.int64), g & (SLOTS - 1), first, figures
+        return np.where(own, at + 1, 0), g & (GRAMS - 1), first
 
     def inputs(self, some: list[bytes]) -> np.ndarray:
-        word, g, first, figures = self.slots(some)
+        word, g, first = self.slots(some)
         counts = np.diff(np.append(first, len(g)))
-        return np.concatenate([self.p["word"][word], np.add.reduceat(self.p["gram"][g], first) / counts[:, None], figures], 1).astype(np.float32)
+        return np.concatenate([self.p["word"][word], np.add.reduceat(self.p["gram"][g], first) / counts[:, None]], 1).astype(np.float32)
 
     def places(self, texts: list[list[bytes]]) -> np.ndarray:
         """Rows of the table for all words of texts; new words are projected."""
@@ -204,7 +219,7 @@ class Model:
             self.forget()
         every = [w for ws in texts for w in ws]
         known = self.known
-        if new := list(set(every).difference(known)):
+        if new := [w for w in dict.fromkeys(every) if w not in known]:  # in order, so that training is the same each time
             low = len(known) + 1
             while self.table.shape[1] < low + len(new):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
@@ -234,23 +249,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(top, -30, 30)))
 
 
-def gradients(p: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict, np.ndarray]:
-    """Mean logistic loss of windows with inputs x (windows, WINDOW, INPUTS), its gradient by parameter and by x."""
+def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by their place among n."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    order = np.argsort(at, kind="stable")
+    places = at[order]
+    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+    out[places[first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
+def gradients(p: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight_of: np.ndarray | float = 1.0) -> tuple[float, dict, np.ndarray]:
+    """Mean weighted logistic loss of windows with inputs x (windows, WINDOW, INPUTS), its gradient by parameter and by x."""
     n, h3 = len(x), HIDDEN
     projected = np.stack([x @ p["into"][s] + p["bias"][s] for s in range(2)])
     kept: list = []
     states = _run(p, projected, mask, kept)
     seen, weight, pooled, logit = _pool(p, states, mask)
     prob = 1 / (1 + np.exp(-logit))
-    loss = float(np.mean(np.logaddexp(0, logit) - y * logit))
-    d = ((prob - y) / n).astype(np.float32)
+    loss = float(np.mean(weight_of * (np.logaddexp(0, logit) - y * logit)))
+    d = (weight_of * (prob - y) / n).astype(np.float32)
     g = {"out": pooled.T @ d, "out0": d.sum(keepdims=True)}
     d_pooled = d[:, None] * p["out"]
     d_weight = (states * d_pooled[:, None]).sum(2)
     d_e = weight * (d_weight - (weight * d_weight).sum(1, keepdims=True))
     d_seen = d_e[:, :, None] * p["care"] * (1 - seen**2)
     g["care"] = np.einsum("nt,nta->a", d_e, seen)
-    g["look"], g["look0"] = np.einsum("nth,nta->ha", states, d_seen), d_seen.sum((0, 1))
+    g["look"], g["look0"] = states.reshape(-1, 2 * h3).T @ d_seen.reshape(-1, ATTENTION), d_seen.sum((0, 1))
     d_states = weight[:, :, None] * d_pooled[:, None] + d_seen @ p["look"].T
     d_projected, g["back"] = np.zeros_like(projected), np.zeros_like(p["back"])
     carry = np.zeros((n, h3), np.float32)
@@ -268,28 +293,12 @@ def gradients(p: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[
         d_g = np.concatenate([dz, dr, dc * r], 1)
         g["back"][side] += h.T @ d_g
         carry = dh * z + d_g @ p["back"][side].T + carry * ~live
-    g["into"] = np.stack([np.einsum("nti,nto->io", x, d_projected[s]) for s in range(2)])
+    g["into"] = np.stack([x.reshape(-1, INPUTS).T @ d_projected[s].reshape(-1, 3 * h3) for s in range(2)])
     g["bias"] = d_projected.sum((1, 2))
     return loss, g, sum(d_projected[s] @ p["into"][s].T for s in range(2))
 
 
-def _excess(slots: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each slot, in how many more texts of label 1 it is than its share, in fifths of a standard error, up to 20 of them:
-    among all texts, and as it looks to one of its texts of label 0 or of label 1 without that text itself."""
-    one, every = np.zeros(PRIORS), np.zeros(PRIORS)
-    for s, label in zip(slots, y, strict=True):
-        every[s] += 1
-        one[s] += label
-    share = y.mean()
-
-    def table(one: np.ndarray, every: np.ndarray) -> np.ndarray:
-        expected = every.clip(0) * share
-        return (np.clip((one - expected) / np.sqrt(expected * (1 - share) + 1), -20, 20) / 5).astype(np.float32)
-
-    return table(one, every), table(one, every - 1), table(one - 1, every - 1)
-
-
-def fit(texts: list[str | None], y: np.ndarray, check: float = 0.25, **how) -> Model:
+def fit(texts: list[str | None], y: np.ndarray, check: float = CHECK, **how) -> Model:
     """A model of texts with labels y in {0, 1}; a share `check` of each label's texts only sets the threshold."""
     y = np.asarray(y, np.float64)
     apart = np.zeros(len(y), bool)
@@ -302,96 +311,88 @@ def fit(texts: list[str | None], y: np.ndarray, check: float = 0.25, **how) -> M
     return model
 
 
-def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """The logit that parts the labels with the fewest errors; the middle of the widest such gap."""
+def _threshold(logits: np.ndarray, y: np.ndarray, beta: float = 0.5) -> float:
+    """The logit above which F-beta is highest (precision weighs more than recall); the middle of the widest such gap."""
     order = np.argsort(logits, kind="stable")
     x, one = logits[order].astype(float), y[order]
-    errors = np.concatenate([[0], np.cumsum(one)]) + np.concatenate([[0], np.cumsum(1 - one)])[-1] - np.concatenate([[0], np.cumsum(1 - one)])
+    caught = one.sum() - np.concatenate([[0], np.cumsum(one)])  # above each gap
+    f = (1 + beta**2) * caught / (beta**2 * one.sum() + len(x) - np.arange(len(x) + 1))
     gaps = np.diff(np.concatenate([[x[0]], x, [x[-1]]]))
-    best = np.flatnonzero(errors == errors.min())
+    best = np.flatnonzero(f >= f.max() - 1e-9)
     k = int(best[np.argmax(gaps[best])])
     return float((x[max(k - 1, 0)] + x[min(k, len(x) - 1)]) / 2)
 
 
-def _fit(texts: list[str | None], y: np.ndarray, rounds: int = 3, passes: int = 2, least_steps: int = 200, batch: int = 64, rate: float = 0.01, trim: float = 0.2, seed: int = 7) -> Model:
+def _vocabulary(cut: list[list[bytes]]) -> np.ndarray:
+    """Ascending hashes of the words of at least TEXTS texts."""
+    each = [np.unique(hashes(list(set(ws)))) for ws in cut if ws]
+    found, count = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
+    return found[count >= TEXTS]
+
+
+def _chosen(model: Model, cut: list[list[bytes]], y: np.ndarray, turn: int, r: np.random.Generator) -> tuple[list[list[bytes]], np.ndarray]:
+    """Windows to learn from, with their texts' labels: random ones first, later each text's highest one, and for label 0 a random one too."""
+    picked, labels = [], []
+    for low in range(0, len(cut), 256):
+        some = cut[low : low + 256]
+        logits, firsts = model.logits(some) if turn else (None, None)
+        for k, (ws, label) in enumerate(zip(some, y[low : low + 256], strict=True)):
+            first = starts(len(ws))
+            at = r.integers(len(first), size=1 if turn else 3 if label else 2)
+            if turn:
+                top = int(np.argmax(logits[firsts[k] : firsts[k] + len(first)]))
+                at = [top] if label or len(first) == 1 else {top, int(at[0])}
+            for i in sorted(set(map(int, at))):
+                picked.append(ws[first[i] : first[i] + WINDOW])
+                labels.append(float(label))
+    return picked, np.array(labels)
+
+
+def _fit(texts: list[str | None], y: np.ndarray, rounds: int = 4, passes: int = 3, least_steps: int = 150, batch: int = 64, rate: float = 0.01, hide: float = 0.1, soft: float = 0.03, seed: int = 7) -> Model:
     y = np.asarray(y, np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(new_parameters(), np.zeros(PRIORS, np.float32), np.zeros(PRIORS, np.float32), float(y.mean()) if len(y) else 0.5)
+        return Model(new_parameters(), np.zeros(0, np.uint64), float(y.mean()) if len(y) else 0.5)
     cut = [words(t) for t in texts]
-    word_slots, gram_slots = [], []
-    for ws in cut:
-        own = list(set(ws))
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
-        word_slots.append(np.unique((h >> np.uint64(20)).astype(np.int64) & (PRIORS - 1)))
-        gram_slots.append(np.unique(grams(own)[0] & (PRIORS - 1)) if own else np.zeros(0, np.int64))
-    word_priors, gram_priors = _excess(word_slots, y), _excess(gram_slots, y)
-    model = Model(new_parameters(seed), word_priors[0], gram_priors[0])
-    by_label = [np.flatnonzero(y == label) for label in (0, 1)]
+    vocabulary = _vocabulary(cut)
+    model = Model(new_parameters(seed, len(vocabulary) + 1), vocabulary)
     p, r = model.p, np.random.default_rng(seed)
-    p["out0"][0] = np.log(y.mean() / (1 - y.mean()))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for turn in range(rounds):
-        chosen, labels, figures_of = [], [], []
-        for label, own in enumerate(by_label):
-            # To itself a text looks as it would if the priors had been counted without it.
-            model.word_prior, model.gram_prior = word_priors[1 + label], gram_priors[1 + label]
-            model.forget()
-            picked, tops = [], []
-            for low in range(0, len(own), 256):
-                some = [cut[i] for i in own[low : low + 256]]
-                if turn:
-                    logits, firsts = model.logits(some)
-                else:  # the network knows nothing yet: a window's largest word prior
-                    rows = np.append(np.concatenate([_prior_of(model, ws) for ws in some]), -9)
-                    at, firsts = _windows(list(map(len, some)), len(rows) - 1)
-                    logits = rows[at].max(1)
-                for ws, (a, b) in zip(some, zip(firsts, np.append(firsts[1:], len(logits)), strict=True), strict=True):
-                    first = starts(len(ws))
-                    picked.append(ws[(k := first[int(np.argmax(logits[a:b]))]) : k + WINDOW])
-                    if not label and b - a > 1:  # one more, at random, so that plain windows are known
-                        picked.append(ws[(k := first[int(r.integers(b - a))]) : k + WINDOW])
-                    tops.append(float(logits[a:b].max()))
-            if label:  # the least likely texts of label 1 may be labelled wrongly
-                order = np.argsort(tops, kind="stable")[int(trim * len(tops)) :]
-                picked = [picked[i] for i in np.sort(order)]
-            chosen += picked
-            labels += [float(label)] * len(picked)
-            figures_of += [model.slots(ws)[3] if ws else np.zeros((0, 3), np.float32) for ws in picked]
-        labels = np.array(labels)
-        figures = np.zeros((len(chosen), WINDOW, 3), np.float32)
-        for i, f in enumerate(figures_of):
-            figures[i, : len(f)] = f
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in chosen for w in ws))}
-        if not vocabulary:
+        model.forget()
+        chosen, labels = _chosen(model, cut, y, turn, r)
+        every = {w: i for i, w in enumerate(dict.fromkeys(w for ws in chosen for w in ws))}
+        if not every:
             break
-        word, g_of, first_of, _ = model.slots(list(vocabulary))
+        share = labels.mean()
+        weights = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+        word, g_of, first_of = model.slots(list(every))
         counts = np.diff(np.append(first_of, len(g_of)))
         at = np.full((len(chosen), WINDOW), -1)
         for i, ws in enumerate(chosen):
-            at[i, : len(ws)] = [vocabulary[w] for w in ws]
+            at[i, : len(ws)] = [every[w] for w in ws]
         # Small samples are gone through more often, so that each round takes least_steps steps.
-        for _ in range(max(passes, -(-least_steps * batch // max(1, len(chosen))))):
+        for _ in range(max(passes, -(-least_steps * batch // len(chosen)))):
             order = r.permutation(len(chosen))
             for low in range(0, len(order), batch):
                 some = order[low : low + batch]
-                rows, mask = at[some], at[some] >= 0
-                used, back = np.unique(rows[mask], return_inverse=True)
+                rows = np.where(r.random((len(some), WINDOW)) < hide, -1, at[some])
+                mask = at[some] >= 0
+                seen = rows >= 0  # a hidden word is there, with inputs of zero
+                used, back = np.unique(rows[seen], return_inverse=True)
                 if not len(used):
                     continue
                 sizes = counts[used]
-                g_rows = g_of[np.arange(int(sizes.sum())) + np.repeat(first_of[used] - (np.cumsum(sizes) - sizes), sizes)]
                 edge = np.cumsum(sizes) - sizes
+                g_rows = g_of[np.arange(int(sizes.sum())) + np.repeat(first_of[used] - edge, sizes)]
                 vectors = np.concatenate([p["word"][word[used]], np.add.reduceat(p["gram"][g_rows], edge) / sizes[:, None]], 1).astype(np.float32)
                 x = np.zeros((*rows.shape, INPUTS), np.float32)
-                x[..., : 2 * WIDTH][mask] = vectors[back]
-                x[..., 2 * WIDTH :] = figures[some]
-                _, g, dx = gradients(p, x, mask, labels[some].astype(np.float32))
-                d = np.zeros_like(vectors)
-                np.add.at(d, back, dx[mask][:, : 2 * WIDTH])
-                g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-                np.add.at(g["word"], word[used], d[:, :WIDTH])
-                np.add.at(g["gram"], g_rows, np.repeat(d[:, WIDTH : 2 * WIDTH] / sizes[:, None], sizes, 0))
+                x[seen] = vectors[back]
+                target = labels[some] * (1 - 2 * soft) + soft
+                _, g, dx = gradients(p, x, mask, target.astype(np.float32), weights[some].astype(np.float32))
+                d = _summed(back, dx[seen], len(used))
+                g["word"] = _summed(word[used], d[:, :WIDTH], len(p["word"]))
+                g["gram"] = _summed(g_rows, np.repeat(d[:, WIDTH:] / sizes[:, None], sizes, 0), GRAMS)
                 step += 1
                 for k, (m, v) in moments.items():
                     m *= 0.9
@@ -399,18 +400,12 @@ def _fit(texts: list[str | None], y: np.ndarray, rounds: int = 3, passes: int =
                     v *= 0.999
                     v += 0.001 * g[k] ** 2
                     p[k] -= (rate * 0.6**turn) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model.word_prior, model.gram_prior = word_priors[0], gram_priors[0]
     model.forget()
     return model
 
 
-def _prior_of(model: Model, ws: list[bytes]) -> np.ndarray:
-    """For each word, the larger of its prior and its grams' largest."""
-    return model.slots(ws)[3][:, :2].max(1) if ws else np.zeros(0, np.float32)
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", remainder: int = 0, of: int = 5, most: int = MOST) -> Model:
-    rows = training_rows(docs, labels, label, remainder, of, most).select("doc_id", "y", "text").toArrow()
+    rows = training_rows(docs, labels, label, remainder, of, most).select("doc_id", "y", F.substr("text", F.lit(1), F.lit(BYTES)).alias("text")).toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")  # the order of collected rows is not fixed
     texts, y = rows.column("text").to_pylist(), rows.column("y").to_numpy()
     return fit([texts[i] for i in order], y[order])
