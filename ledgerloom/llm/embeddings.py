@@ -1,15 +1,17 @@
 """Embedding near-dedup: randomised-rotation binary codes with stored correction factors.
 
-A unit vector o is rotated by a random orthogonal matrix and kept as the signs of its coordinates, with the factor
-f = <code, rotated o>. For any unit vector q, <code, rotated q> / f is an unbiased estimate of <o, q>, with an error of
-about sqrt((1 - f*f) / (f*f * (d - 1))); a pair whose estimate plus EPSILON such errors is under the threshold is
-dropped, and every other one is computed again in double precision.
-
-Vectors meet in tables keyed by parts of such codes. The number of bits grows with the logarithm of the number of
-vectors and the number of tables follows from it: a pair at the threshold meets in none with probability MISS. A pair
-is counted in the first table in which it meets, so links are summed without a list of pairs: a bucket gives one row
-of link counts per vector and a spanning forest. Equal vectors are one class with a weight; buckets over TILE classes
-are compared in tiles.
+A unit vector o is rotated by a random orthogonal matrix. Its code is stored once: the signs of the rotated coordinates,
+the factor f = <signs, rotated o> / sqrt(d), and the rotated coordinates in four bits each (rounded at random, so that
+they are right on average), as bit planes. For any other q, <signs of o, coordinates of q> / f, which takes bit counts of
+five words for each 64 dimensions, is an unbiased estimate of <o, q>. Its error is about sqrt((1 - f*f) / (f*f * (d - 1)))
+with that of the rounding; a pair whose estimate plus EPSILON such errors is under the threshold is dropped.
+
+Vectors meet in tables keyed by signs under further rotations. The number of bits grows with the logarithm of the number
+of vectors and the number of tables follows from it: a pair at the threshold meets in none with probability MISS, and is
+then not counted. Only codes travel to the tables. Rows with a pair that its bounds leave open come together again with
+their full vectors, and such pairs are computed in double precision. A pair is counted in the first table in which it
+meets, so links are summed without a list of pairs: a bucket gives one row of link counts per vector and a spanning
+forest. Equal vectors are one class with a weight; buckets over TILE classes are compared in tiles, pairs of tile sides.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, are
 linked with nothing and kept (component: their id); vectors of different lengths are never linked; repeated rows link
@@ -19,19 +21,22 @@ with each other; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, mix, partitions, saved
+from .common import MULTIPLIER, Workspace, mix, partitions
 from .components import components
 
 MISS = 1e-5
 EPSILON = 5.0
 TILE = 2048
+#: Bits of a rotated coordinate in a code.
+PLANES = 4
 _ROTATIONS: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -44,8 +49,8 @@ def rotation(d: int, k: int) -> np.ndarray:
 
 
 def tables(n: int, threshold: float) -> tuple[int, int]:
-    """Bits of a key and number of tables for n vectors."""
-    bits = min(24, max(4, round(math.log2(max(n, 2))) - 6))
+    """Bits of a key and number of tables for n vectors: some 256 vectors to a bucket."""
+    bits = max(4, round(math.log2(max(n, 2))) - 8)
     met = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(MISS) / math.log1p(-min(met, 1 - 1e-9))))
 
@@ -59,33 +64,156 @@ def units(vectors: np.ndarray) -> np.ndarray:
 def keys(v: np.ndarray, bits: int, n_tables: int) -> np.ndarray:
     """The bucket of each unit vector in each table."""
     d = v.shape[1]
-    signs = np.concatenate([v @ rotation(d, k).T > 0 for k in range(-(-bits * n_tables // d))], 1)[:, : bits * n_tables]
+    signs = np.concatenate([v @ rotation(d, k + 1).T > 0 for k in range(-(-bits * n_tables // d))], 1)[:, : bits * n_tables]
     part = signs.reshape(len(v), n_tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
     return mix((part.astype(np.uint64) * np.uint64(4096) + np.arange(n_tables, dtype=np.uint64)) * MULTIPLIER + np.uint64(d)).view(np.int64)
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    raw = np.packbits(bits, axis=1, bitorder="little")
+    return np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
+
+
+class Codes:
+    """Stored codes of vectors of d dimensions: sign words, words of each bit plane, factors and rounding steps."""
+
+    def __init__(self, d: int, signs: np.ndarray, planes: np.ndarray, factor: np.ndarray, step: np.ndarray):
+        self.d, self.signs, self.planes, self.factor, self.step = d, signs, planes, factor, step
+
+    @classmethod
+    def of(cls, v: np.ndarray) -> Codes:
+        d = v.shape[1]
+        z = v @ rotation(d, 0).T
+        step = 2 * np.abs(z).max(1) / (2**PLANES - 1)
+        dither = np.random.default_rng([d, 999]).random(d)
+        level = np.clip(np.floor(z / step[:, None] + (2**PLANES - 1) / 2 + dither), 0, 2**PLANES - 1).astype(np.uint8)
+        planes = np.stack([_packed(level >> b & 1) for b in range(PLANES)], 1)
+        return cls(d, _packed(z > 0), planes, (np.abs(z).sum(1) / math.sqrt(d)).clip(1e-6, 1).astype(np.float32), step.astype(np.float32))
+
+    def stored(self) -> list[bytes]:
+        parts = (np.full((len(self.signs), 1), self.d, "<u4"), self.factor[:, None], self.step[:, None], self.signs, self.planes.reshape(len(self.signs), -1))
+        rows = np.concatenate([np.ascontiguousarray(p).view(np.uint8) for p in parts], 1)
+        return [r.tobytes() for r in rows]
+
+    @classmethod
+    def read(cls, stored: list[bytes]) -> Codes:
+        """Of codes of one length."""
+        raw = np.frombuffer(b"".join(stored), np.uint8).reshape(len(stored), -1)
+        d = int(raw[0, :4].copy().view("<u4")[0])
+        words = np.ascontiguousarray(raw[:, 12:]).view(np.uint64)
+        n = -(-d // 64)
+        factor, step = (np.ascontiguousarray(raw[:, k : k + 4]).view(np.float32)[:, 0] for k in (4, 8))
+        return cls(d, words[:, :n], words[:, n:].reshape(len(raw), PLANES, n), factor, step)
+
+    def take(self, at: np.ndarray) -> Codes:
+        return Codes(self.d, self.signs[at], self.planes[at], self.factor[at], self.step[at])
+
+    def estimates(self, other: Codes) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products of these with others, and for each of these the error of its estimates at most."""
+        high = (2**PLANES - 1) / 2
+        both = np.zeros((len(self.signs), len(other.signs)), np.float32)
+        whole = np.zeros(len(other.signs), np.float32)
+        for b in range(PLANES):
+            for w in range(self.signs.shape[1]):
+                both += np.bitwise_count(self.signs[:, w, None] & other.planes[None, :, b, w]) * np.float32(1 << b)
+            whole += np.bitwise_count(other.planes[:, b]).sum(1, dtype=np.float32) * (1 << b)
+        ones = np.bitwise_count(self.signs).sum(1, dtype=np.float32)
+        # A coordinate is step * (level - high); signs are 2 * bit - 1.
+        both *= 2
+        both -= (2 * high * ones)[:, None]
+        both -= (whole - high * self.d)[None]
+        both *= (other.step / math.sqrt(self.d))[None]
+        both /= self.factor[:, None]
+        f = self.factor.astype(np.float64)
+        rounding = float(other.step.max(initial=0)) / 2 / f
+        return both, np.sqrt((1 - f**2).clip(0) / (f**2 * max(1, self.d - 1)) + rounding**2)
+
+
 def estimates(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of coded v with w, and each code's error."""
-    d = v.shape[1]
-    p = rotation(d, 0)
-    z = v @ p.T
-    code = np.where(z > 0, 1.0, -1.0).astype(np.float32) / np.float32(math.sqrt(d))
-    factor = (np.abs(z).sum(1) / math.sqrt(d)).clip(1e-6, 1)
-    error = np.sqrt((1 - factor**2).clip(0) / (factor**2 * max(1, d - 1)))
-    return (code / factor[:, None].astype(np.float32)) @ (w @ p.T).astype(np.float32).T, error
+    """Estimated inner products of coded unit vectors v with w, and the error of each of v."""
+    return Codes.of(v).estimates(Codes.of(w))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], bits: int, n_tables: int) -> Iterator[pa.RecordBatch]:
+def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the vectors of each length, and those vectors."""
+    sizes, flat = pc.list_value_length(column).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield at, flat[(ends[at] - d)[:, None] + np.arange(d)]
+
+
+def _coded(batches: Iterator[pa.RecordBatch], bits: int, n_tables: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column("embedding")
-        out = [None] * batch.num_rows
-        by_size: dict[int, list[int]] = {}
-        for i, x in enumerate(rows := column.to_pylist()):
-            by_size.setdefault(len(x), []).append(i)
-        for some in by_size.values():
-            for i, k in zip(some, keys(units(np.array([rows[i] for i in some])), bits, n_tables).tolist(), strict=True):
-                out[i] = k
-        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(out, pa.list_(pa.int64()))], ["class", "keys"])
+        code, every = [b""] * batch.num_rows, np.zeros((batch.num_rows, n_tables), np.int64)
+        for at, vectors in _matrices(batch.column("embedding")):
+            v = units(vectors)
+            every[at] = keys(v, bits, n_tables)
+            for i, c in zip(at.tolist(), Codes.of(v).stored(), strict=True):
+                code[i] = c
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n_tables, pa.int32()), pa.array(every.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column("class"), lists, pa.array(code, pa.binary())], ["class", "keys", "code"])
+
+
+def _open_pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one tile's rows that the bounds of their codes leave open."""
+    stored, own = rows.column("code").to_pylist(), rows.column("t").to_numpy()
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    left, right = (np.arange(len(own)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+    if len({c[:4] for c in stored}) > 1:  # of several lengths: those never meet but by chance
+        d = np.array([int.from_bytes(c[:4], "little") for c in stored])
+        for one in np.unique(d):
+            part = np.flatnonzero(d == one)
+            for a, b in _open_pairs(rows.take(part), threshold):
+                yield part[a], part[b]
+        return
+    codes = Codes.read(stored)
+    second = codes.take(right)
+    for at in range(0, len(left), 256):
+        x = left[at : at + 256]
+        about, error = codes.take(x).estimates(second)
+        p, q = np.nonzero(about + EPSILON * error[:, None] >= threshold)
+        a, b = x[p], right[q]
+        ok = a < b if i == j else np.ones(len(a), bool)
+        yield a[ok], b[ok]
+
+
+def _by_tiles(batches: Iterator[pa.RecordBatch], answer: Callable[[list[pa.Table]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """answer(whole tiles of two rows or more) for rows that come sorted by tile."""
+    rest = None
+
+    def whole(table: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
+        tile = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+        starts = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(1)])).tolist()
+        ends = [*starts[1:], len(tile)]
+        n = len(starts) - (not last)
+        return [table.slice(s, e - s) for s, e in zip(starts[:n], ends[:n], strict=True) if e - s > 1], None if last else table.slice(starts[n])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        groups, rest = whole(table.combine_chunks(), False)
+        yield answer(groups)
+    if rest is not None and rest.num_rows:
+        yield answer(whole(rest.combine_chunks(), True)[0])
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """key, i, j, t, table, class of the rows that are in an open pair of their tile."""
+
+    def answer(tiles: list[pa.Table]) -> pa.RecordBatch:
+        out = []
+        for rows in tiles:
+            hit = np.zeros(rows.num_rows, bool)
+            for a, b in _open_pairs(rows, threshold):
+                hit[a] = hit[b] = True
+            if hit.any():
+                out.append(rows.drop_columns(["code"]).filter(pa.array(hit)))
+        schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("t", pa.int32()), ("table", pa.int32()), ("class", pa.int64())])
+        return pa.concat_tables([schema.empty_table(), *(x.cast(schema) for x in out)]).combine_chunks().to_batches()[0] if out else pa.RecordBatch.from_pylist([], schema)
+
+    yield from _by_tiles(batches, answer)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -105,30 +233,28 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _group(rows: pa.Table, threshold: float) -> tuple[list, list, list]:
+def _links(rows: pa.Table, threshold: float) -> tuple[list, list, list]:
     """(class, class or None, weight of links) of one tile; a second class makes the row a link of the forest."""
     ids, weight = rows.column("class").to_numpy(), rows.column("weight").to_numpy()
-    v = units(np.array(rows.column("embedding").to_pylist()))
-    every = np.array(rows.column("keys").to_pylist(), np.int64)
+    every = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     table = int(rows.column("table")[0].as_py())
-    t, i, j = rows.column("t").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    left, right = (np.arange(len(ids)),) * 2 if i == j else (np.flatnonzero(t == i), np.flatnonzero(t == j))
+    v: list = [None] * rows.num_rows
+    for at, vectors in _matrices(rows.column("embedding").combine_chunks()):
+        for i, u in zip(at.tolist(), units(vectors), strict=True):
+            v[i] = u
+    if len({len(u) for u in v}) == 1:
+        v = np.array(v)
     found_a, found_b = [], []
-    for at in range(0, len(left), 512):
-        x = left[at : at + 512]
-        about, error = estimates(v[x], v[right])
-        p, q = np.nonzero(about + EPSILON * error[:, None] >= threshold)
-        a, b = x[p], right[q]
-        ok = a < b if i == j else np.ones(len(a), bool)
-        a, b = a[ok], b[ok]
+    for a, b in _open_pairs(rows, threshold):
         for low in range(0, len(a), 100_000):
             c, e = a[low : low + 100_000], b[low : low + 100_000]
             new = (every[c] == every[e]).argmax(1) == table
             c, e = c[new], e[new]
-            linked = np.einsum("ij,ij->i", v[c], v[e]) >= threshold
+            x, y = (v[c], v[e]) if isinstance(v, np.ndarray) else (np.array([v[k] for k in c]), np.array([v[k] for k in e]))
+            linked = np.einsum("ij,ij->i", x, y) >= threshold if len(c) else np.zeros(0, bool)
             found_a.append(c[linked])
             found_b.append(e[linked])
-    if not found_a or not sum(map(len, found_a)):
+    if not sum(map(len, found_a)):
         return [], [], []
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
@@ -142,60 +268,48 @@ def _group(rows: pa.Table, threshold: float) -> tuple[list, list, list]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    names = ("key", "i", "j")
-    rest = None
+    def answer(tiles: list[pa.Table]) -> pa.RecordBatch:
+        parts = [_links(rows, threshold) for rows in tiles]
+        return pa.RecordBatch.from_arrays([pa.array([x for p in parts for x in p[k]], pa.int64()) for k in range(3)], ["a", "b", "w"])
 
-    def whole(table: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
-        tile = np.stack([table.column(c).to_numpy() for c in names], 1)
-        starts = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(1)])).tolist()
-        ends = [*starts[1:], len(tile)]
-        n = len(starts) - (not last)
-        return [table.slice(s, e - s) for s, e in zip(starts[:n], ends[:n], strict=True) if e - s > 1], None if last else table.slice(starts[n])
+    yield from _by_tiles(batches, answer)
 
-    def answer(groups: list) -> pa.RecordBatch:
-        parts = [_group(g, threshold) for g in groups]
-        return pa.RecordBatch.from_arrays([pa.array([x for p in parts for x in p[k]], pa.int64()) for k in range(3)], ["a", "b", "w"])
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        groups, rest = whole(table.combine_chunks(), False)
-        yield answer(groups)
-    if rest is not None and rest.num_rows:
-        yield answer(whole(rest.combine_chunks(), True)[0])
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of vectors. Linked: cosine of at least threshold."""
-    spark = vectors.sparkSession
     v = F.col("embedding")
     usable = F.coalesce(
         F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0), F.lit(False)
     )
-    rows = saved(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).withColumn("row", F.monotonically_increasing_id()).withColumn("usable", usable))
-    # Zeros of either sign are one value here, as in the grouping of floats.
-    classes = saved(rows.where("usable").groupBy("embedding").agg(F.min("row").alias("class"), F.count("*").alias("weight"), F.min("vec_id").alias("least")))
-    bits, n_tables = tables(classes.count(), threshold)
-    keyed = saved(classes.select("class", "embedding").mapInArrow(lambda b: _keyed(b, bits, n_tables), "class long, keys array<bigint>"))
-    met = keyed.select("class", F.posexplode("keys").alias("table", "key"))
-    sizes = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    paired = (
-        met.join(sizes, "key").join(classes.select("class", "weight", "embedding"), "class").join(keyed, "class")
-        .withColumn("t", F.pmod(F.xxhash64("class"), tiles).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("key", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "t", "table", "class", "weight", "embedding", "keys")
-        .repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    )
-    found = saved(paired.mapInArrow(lambda b: _compare(b, threshold), "a long, b long, w long"))
-    links = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("w").alias("links"))
-    groups = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "class")
-    grouped = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = grouped.join(least, "component").join(links, "class", "left").select("class", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    # Classes reach rows by the vector itself, spread over partitions with the rows of large classes split by a salt.
-    salts = F.ceil(F.col("weight") / TILE).cast("int")
-    named = classes.join(known, "class").withColumn("salt", F.explode(F.sequence(F.lit(0), F.least(salts, F.lit(64)) - 1))).select(F.xxhash64("embedding").alias("hash"), "embedding", "salt", "component_id", "n_links", F.least(salts, F.lit(64)).alias("salts"))
+    with Workspace(vectors.sparkSession) as work:
+        rows = work.saved(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).withColumn("row", F.monotonically_increasing_id()).withColumn("usable", usable), keep=True)
+        # Zeros of either sign are one value here, as in the grouping of floats.
+        classes = work.saved(rows.where("usable").groupBy("embedding").agg(F.min("row").alias("class"), F.count("*").alias("weight"), F.min("vec_id").alias("least")), keep=True)
+        bits, n_tables = tables(classes.count(), threshold)
+        coded = work.saved(classes.select("class", "embedding").mapInArrow(lambda b: _coded(b, bits, n_tables), "class long, keys array<bigint>, code binary"))
+        met = coded.select("class", "code", F.posexplode("keys").alias("table", "key"))
+        # Buckets of more than a tile are few: a share of 1 / TILE of the rows at most.
+        large = work.saved(met.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > TILE).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
+        tiles = F.coalesce("tiles", F.lit(1))
+        t = F.pmod(F.xxhash64("class"), tiles).cast("int")
+        tiled = met.join(large, "key", "left").select("key", t.alias("t"), "table", "class", "code", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+        tiled = _by_tile(tiled.select("key", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "t", "table", "class", "code"))
+        still = work.saved(tiled.mapInArrow(lambda b: _open_rows(b, threshold), "key long, i int, j int, t int, table int, class long"))
+        whole = classes.select("class", "weight", "embedding").join(coded, "class").join(still.select("class").distinct(), "class", "left_semi")
+        found = work.saved(_by_tile(still.join(whole, "class")).mapInArrow(lambda b: _compare(b, threshold), "a long, b long, w long"))
+        links = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("w").alias("links"))
+        groups = components(found.where("b is not null").select("a", "b"), work).withColumnRenamed("node", "class")
+        grouped = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+        known = grouped.join(least, "component").join(links, "class", "left")
+        # Classes reach rows by the vector itself; the rows of large classes are split by a salt.
+        salts = F.ceil(F.col("weight") / TILE).cast("int")
+        named = known.select(F.xxhash64("embedding").alias("hash"), "embedding", salts.alias("salts"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        named = work.saved(named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), keep=True)
     widths = named.where("salts > 1").select("hash", "salts").distinct()
     wide = rows.withColumn("hash", F.when(F.col("usable"), F.xxhash64("embedding"))).join(widths, "hash", "left").withColumn("salt", F.when(F.col("usable"), F.pmod(F.col("row"), F.coalesce("salts", F.lit(1))).cast("int"))).drop("salts")
     return (
