@@ -3,8 +3,10 @@
 A unit vector o is rotated by a random orthogonal matrix. Its code is stored once: the signs of the rotated coordinates,
 the factor f = <signs, rotated o> / sqrt(d), and the rotated coordinates in four bits each (rounded at random, so that
 they are right on average), as bit planes. For any other q, <signs of o, coordinates of q> / f, which takes bit counts of
-five words for each 64 dimensions, is an unbiased estimate of <o, q>. Its error is about sqrt((1 - f*f) / (f*f * (d - 1)))
-with that of the rounding; a pair whose estimate plus EPSILON such errors is under the threshold is dropped.
+five words for each 64 dimensions, is an unbiased estimate of s = <o, q>. What it is off by is the part of q beside o
+along a random direction, so its error is about sqrt((1 - s*s) * (1 - f*f) / (f*f * (d - 1))), with that of the rounding.
+For s at the threshold or above, this is largest at the threshold; a pair whose estimate is more than EPSILON such errors
+under the threshold is dropped.
 
 Vectors meet in tables keyed by signs under further rotations. The number of bits grows with the logarithm of the number
 of vectors and the number of tables follows from it: a pair at the threshold meets in none with probability MISS, and is
@@ -109,8 +111,14 @@ class Codes:
     def take(self, at: np.ndarray) -> Codes:
         return Codes(self.d, self.signs[at], self.planes[at], self.factor[at], self.step[at])
 
-    def estimates(self, other: Codes) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products of these with others, and for each of these the error of its estimates at most."""
+    def errors(self, other: Codes, least: float = 0.0) -> np.ndarray:
+        """For each of these the error of its estimates with others, where the inner product is at least `least`."""
+        f = self.factor.astype(np.float64)
+        rounding = float(other.step.max(initial=0)) / 2 / f
+        return np.sqrt((1 - least**2) * (1 - f**2).clip(0) / (f**2 * max(1, self.d - 1)) + rounding**2)
+
+    def estimates(self, other: Codes) -> np.ndarray:
+        """Estimated inner products of these with others."""
         high = (2**PLANES - 1) / 2
         both = np.zeros((len(self.signs), len(other.signs)), np.float32)
         whole = np.zeros(len(other.signs), np.float32)
@@ -125,14 +133,13 @@ class Codes:
         both -= (whole - high * self.d)[None]
         both *= (other.step / math.sqrt(self.d))[None]
         both /= self.factor[:, None]
-        f = self.factor.astype(np.float64)
-        rounding = float(other.step.max(initial=0)) / 2 / f
-        return both, np.sqrt((1 - f**2).clip(0) / (f**2 * max(1, self.d - 1)) + rounding**2)
+        return both
 
 
 def estimates(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products of coded unit vectors v with w, and the error of each of v."""
-    return Codes.of(v).estimates(Codes.of(w))
+    a, b = Codes.of(v), Codes.of(w)
+    return a.estimates(b), a.errors(b)
 
 
 def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -172,8 +179,9 @@ def _open_pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray,
     second = codes.take(right)
     for at in range(0, len(left), 256):
         x = left[at : at + 256]
-        about, error = codes.take(x).estimates(second)
-        p, q = np.nonzero(about + EPSILON * error[:, None] >= threshold)
+        some = codes.take(x)
+        least = threshold - EPSILON * some.errors(second, min(1.0, max(0.0, threshold)))
+        p, q = np.nonzero(some.estimates(second) >= least[:, None])
         a, b = x[p], right[q]
         ok = a < b if i == j else np.ones(len(a), bool)
         yield a[ok], b[ok]
