@@ -6,12 +6,14 @@ as sorted differences: some nine bytes a window, where a row of a shuffle takes
 several blocks hold and answers each block that has not the smallest doc_id. In a second scan a block marks the words
 covered by windows that start in a document with a smaller doc_id, merges them into maximal intervals and cuts them.
 
-Texts are never shuffled. A window that half the corpus holds is one entry per block, so there are no hot keys.
-Answers lie in files of the shared folder, one per block that got any; each scan task leaves a list of what it read,
-and the second scan stops with an error if its rows differ (write such a table first). Of N windows a share of about
-N / 2**64 is taken for another by its hash.
-
-Defined results: null and empty texts have no words and stay as they are; a text shorter than a window keeps all;
+Texts are never shuffled. A window that half the corpus holds is one entry per block, so there are no hot keys. The
+number of buckets follows from the bytes of all texts, which a first pass sums up, so that a bucket holds BUCKET_BYTES of
+text or so and one fits in memory at any size of the corpus. Answers lie in files of the shared folder, one per block that
+got any; each scan task leaves a hash of the ids and texts that it read, and the second scan stops with an error if its
+rows differ (write such a table first). Of N windows a share of about N / 2**64 is taken for another by its hash.
+
+Defined results: null and empty texts have no words and stay as they are; a text shorter than a window keeps all; a very
+long text is a block of its own, in memory whole with its windows' hashes, some 40 bytes a word;
 rows with a null id are left whole and make no other row lose words; rows with one id never make each other lose
 words; an empty table gives an empty result; extra columns pass through or are ignored.
 """
@@ -21,12 +23,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ from .common import MULTIPLIER, WORD_HASHES, ascii_words, mix, partitions, saved
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCK_BYTES = 3_000_000
+#: Bytes of text whose windows' hashes meet in a bucket; these are about 1.6 times as many bytes.
+BUCKET_BYTES = 12_000_000
 _HASHES = WORD_HASHES
 _NO_ID = np.iinfo(np.int64).max
 
@@ -110,7 +114,12 @@ def _wide(width: int, raw: bytes) -> np.ndarray:
 
 
 def _mark(ids: list, texts: list) -> int:
-    return zlib.crc32(json.dumps([ids, [len(t) if t else 0 for t in texts]]).encode())
+    """A hash of a block's ids and texts."""
+    h = xxhash.xxh3_64(json.dumps([ids, [None if t is None else len(t) for t in texts]]))
+    for t in texts:
+        if t:
+            h.update(t.encode("utf-8", "surrogatepass"))
+    return h.intdigest()
 
 
 def _store(folder: str):
@@ -252,11 +261,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, digest: bool = False, id_co
         raise ValueError("width must be positive")
     spark = docs.sparkSession
     small_batches(spark)
-    folder, buckets = shared_dir(spark) + "/answers", 2 * partitions(spark)
+    folder, size = shared_dir(spark) + "/answers", docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(2 * partitions(spark), -(-size // BUCKET_BYTES))
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     sent = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: tidied(_send(b, width, buckets, folder)), PACKED)
-    told = sent.groupBy("bucket").applyInArrow(_meet, "block long, at binary, least binary")
+    # Two buckets a partition, so that their number follows the data too.
+    told = sent.repartition(-(-buckets // 2), "bucket").groupBy("bucket").applyInArrow(_meet, "block long, at binary, least binary")
     saved(told.groupBy("block").applyInArrow(lambda t: _answer(t, folder), "block long, n long"))
     if digest:
         return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(lambda b: tidied(_cut(b, width, folder, id_col, text_col, True)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
