@@ -4,13 +4,19 @@ Each document (its token ids and an end id) is routed by length: whole long wind
 to the smallest context tier that holds it. Tiers are packed from the longest down: the longest piece opens a window of
 its tier, and the gap is filled with the longest pieces of the same or shorter tiers that fit; when none fits, a piece
 is cut to the gap and its rest is routed again. So each window is full but the last of a task, which is split into
-windows of powers of two. Windows of one tier form step groups of equal token numbers.
+windows of powers of two.
+
+Windows of one tier form step groups. They are dealt out DEALT groups at a time: the windows whose attention costs most
+(the sum of their pieces' squared lengths) first, to and fro over the groups, so that groups have as many windows, one
+more or less, and nearly the same cost. A task's last windows of a tier are dealt to as many groups as they need.
 
 Texts are never shuffled: each task packs the rows that it reads, `buffer` tokens at a time, which bounds its memory.
-Numbers of sequences hold the task's number, so a task that runs again gives the same ones.
+Numbers of sequences and groups hold the task's number, so a task that runs again gives the same ones; which documents
+share a sequence depends on how files are split into tasks.
 
-Defined results: a null or empty text is its end id alone; a null id is kept as null; repeated rows are packed each;
-an empty table gives no rows; extra columns are ignored.
+Defined results: a null or empty text is its end id alone; a very long text is cut into whole windows and a rest, its ids
+in memory at once; a null id is kept as null; repeated rows are packed each; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from .common import encoder, slices, small_batches, text_or_empty
 TIERS = (128, 256, 512, 1024)
 #: Windows of a task have numbers from task * WINDOWS on.
 WINDOWS = 1 << 36
+DEALT = 8
 
 
 class TierPacker:
@@ -110,6 +117,15 @@ class TierPacker:
                 yield size, window
 
 
+def deal(costs: list[int], n_groups: int) -> list[int]:
+    """A group for each window: dearest first, to and fro over the groups. Their sizes differ by one at most."""
+    out = [0] * len(costs)
+    for k, window in enumerate(sorted(range(len(costs)), key=lambda i: (-costs[i], i))):
+        turn, at = divmod(k, n_groups)
+        out[window] = n_groups - 1 - at if turn % 2 else at
+    return out
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -118,7 +134,7 @@ def pack_documents(
 ) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence, its tier and step group, and its ids if asked for.
 
-    A sequence's length is its tier; step groups hold step_tokens / tier sequences of one tier.
+    A sequence's length is its tier; step groups hold up to step_tokens / tier sequences of one tier.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -129,27 +145,34 @@ def pack_documents(
         base = TaskContext.get().partitionId() * WINDOWS
         waiting: dict[int, tuple[int | None, bytes, int]] = {}
         left: dict[int, int] = {}  # tokens of a waiting document that have no place yet
-        groups: dict[int, tuple[int, int]] = {}
+        undealt: dict[int, list[list[tuple]]] = {}  # by tier, windows as lists of pieces
         out: list[tuple] = []
         n_docs = n_windows = n_groups = 0
 
+        def deal_out(tier: int) -> None:
+            nonlocal n_groups
+            windows = undealt.pop(tier)
+            n = -(-len(windows) // max(1, step_tokens // tier))
+            for window, group in zip(windows, deal([sum(x[2] ** 2 for x in w) for w in windows], n), strict=True):
+                out.extend((*x[:8], base + n_groups + group, *x[8:]) for x in window)
+            n_groups += n
+
         def place(windows) -> None:
-            nonlocal n_windows, n_groups
+            nonlocal n_windows
             for tier, window in windows:
-                group, room = groups.get(tier, (0, 0))
-                if room < tier:
-                    group, room, n_groups = base + n_groups, step_tokens, n_groups + 1
-                groups[tier] = group, room - tier
-                offset = 0
+                offset, pieces = 0, []
                 for key, start, length in window:
                     doc_id, ids, total = waiting[key]
                     piece = ids[4 * start : 4 * (start + length)]
-                    out.append((doc_id, start, length, zlib.crc32(piece), total, base + n_windows, offset, tier, group, *([piece] if with_ids else [])))
+                    pieces.append((doc_id, start, length, zlib.crc32(piece), total, base + n_windows, offset, tier, *([piece] if with_ids else [])))
                     offset += length
                     left[key] -= length
                     if not left[key]:
                         del waiting[key], left[key]
                 n_windows += 1
+                undealt.setdefault(tier, []).append(pieces)
+                if len(undealt[tier]) >= DEALT * max(1, step_tokens // tier):
+                    deal_out(tier)
 
         def flush() -> pa.RecordBatch:
             kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()] + [pa.binary()] * with_ids
@@ -171,6 +194,8 @@ def pack_documents(
                 if out:
                     yield flush()
         place(packer.pack(last=True))
+        for tier in list(undealt):
+            deal_out(tier)
         if out:
             yield flush()
 
