@@ -42,7 +42,7 @@ from .components import components
 
 REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
-TILE = 512
+TILE = 256
 #: So many pairs are looked at at a time.
 PAIRS = 200_000
 TILE_BYTES = 32_000_000
