@@ -82,7 +82,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def tidied(batches: Iterator) -> Iterator:
-    """The same batches; after the last one the worker, which Spark keeps, gives memory that it no longer uses back."""
+    """The same batches; after the last one the worker, which Spark keeps, gives memory that it no longer uses back.
+
+    Before the first one it forgets encoders, which operators that come here don't use.
+    """
+    _ENCODERS.clear()
     yield from batches
     import pyarrow as pa
 
@@ -176,7 +180,7 @@ class ChunkEncoder:
     Two generations of at most `most` chunks are kept, so frequent chunks stay while rare ones are forgotten.
     """
 
-    def __init__(self, tokenizer: str, most: int = 400_000):
+    def __init__(self, tokenizer: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
