@@ -26,8 +26,9 @@ def month_number(name: Column) -> Column:
 def from_parts(day: Column, month: Column, year: Column) -> Column:
     """A calendar date of the years allowed; null for 31/02 and the like. Parts may be text."""
     d, m, y = (x.try_cast("int") for x in (day, month, year))
-    date = F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
-    return F.when(y.between(FIRST_YEAR, LAST_YEAR) & m.between(1, 12) & d.between(1, 31), date)
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    longest = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when(y.between(FIRST_YEAR, LAST_YEAR) & m.between(1, 12) & (d >= 1) & (d <= longest), F.make_date(y, m, d))
 
 
 def _part(c: Column, pattern: str, group: int) -> Column:
@@ -79,12 +80,13 @@ def pivot_year(yy: Column) -> Column:
 def normal_token(c: Column) -> Column:
     """ROLddmmyy, ddmmyy or d/m/y anywhere in a text, as dd/MM/yyyy text; the first form that is there. Not calendar-checked."""
     t = squeeze(c)
-    out = F.lit(None).cast("string")
-    for p in (r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b", r"\b(\d{2})(\d{2})(\d{2})\b", r"(?i)\bROL(\d{2})(\d{2})(\d{2})\b"):
+
+    def read(p: str) -> Column:
         y = _part(t, p, 3)
         year = F.when(F.length(y) == 2, pivot_year(y).cast("string")).otherwise(y)
-        out = F.coalesce(F.concat(F.lpad(_part(t, p, 1), 2, "0"), F.lit("/"), F.lpad(_part(t, p, 2), 2, "0"), F.lit("/"), year), out)
-    return out
+        return F.concat(F.lpad(_part(t, p, 1), 2, "0"), F.lit("/"), F.lpad(_part(t, p, 2), 2, "0"), F.lit("/"), year)
+
+    return F.coalesce(*map(read, (r"(?i)\bROL(\d{2})(\d{2})(\d{2})\b", r"\b(\d{2})(\d{2})(\d{2})\b", r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b")))
 
 
 def best_date(c: Column, start: Column, end: Column) -> Column:

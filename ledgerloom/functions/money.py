@@ -13,7 +13,7 @@ AMOUNT = r"(?<!\d)-?(?:\d{1,3}(?: \d{3})+|\d{1,3}(?:,\d{3})+|\d+)\.\d{2}"
 
 def cents(number: Column) -> Column:
     """Cents of a plain decimal text (digits, dot, sign), rounded half up; null if it is none."""
-    return F.round(number.try_cast("decimal(24,6)") * 100, 0).cast("long")
+    return (number.try_cast("decimal(20,2)") * 100).cast("long")
 
 
 def as_text(c: Column, thousands: str = ",") -> Column:

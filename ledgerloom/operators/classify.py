@@ -197,10 +197,8 @@ def skipped_block(description: Column, reference: Column) -> Column:
 
 
 def strip_footer(text: Column) -> Column:
-    """What stands before each footer phrase, one phrase after the other."""
-    for phrase in FOOTERS:
-        text = F.regexp_replace(text, r"(?is)\Q" + phrase + r"\E.*\z", "")
-    return text
+    """What stands before the earliest footer phrase."""
+    return F.regexp_replace(text, "(?is)(?:" + "|".join(rf"\Q{phrase}\E" for phrase in FOOTERS) + r").*\z", "")
 
 
 def other_text(description: Column) -> Column:

@@ -35,6 +35,7 @@ CLIENT_PATTERNS = (
 NOT_A_CLIENT = r"(?i)date\s*transaction\s*description|charge\s*debit\s*amount\s*credit\s*amount\s*balance|absa bank limited"
 OPENING_LABELS = ("opening balance", "balance brought forward", "bal brought forward")
 CLOSING_LABELS = ("closing balance", "final balance", "current balance", "Month-end BalanceR?")
+CLOSING_LINE = r"(?im)\bBalance[: \t]*R?[ \t]*([0-9][0-9,. ]*-?)[ \t]*$"
 _DAY = r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}"
 PERIOD_PATTERNS = (
     rf"statement period[:\s]+({_DAY})\s+(?:to|-)\s+({_DAY})",
@@ -67,7 +68,7 @@ def opening_balance(text: Column) -> Column:
 
 
 def closing_balance(text: Column) -> Column:
-    return _labelled(text, CLOSING_LABELS, money.loose)
+    return F.coalesce(_labelled(text, CLOSING_LABELS, money.loose), money.loose(blank_to_null(F.trim(F.regexp_extract(text, CLOSING_LINE, 1)))))
 
 
 def mended_opening(text: Column) -> Column:

@@ -110,7 +110,10 @@ def lex_csv(c: Column | str) -> Column:
 
 
 def unzipped_cells(docs: DataFrame) -> DataFrame:
-    """doc_id, row_idx, text: cells of several lines as parallel rows, each row's cells joined by blanks; empty rows left out."""
+    """doc_id, row_idx, text: cells of several lines as parallel rows, each row's cells joined by blanks; empty rows left out.
+
+    row_idx orders the rows: the record's number, then the line's inside it (31 bits).
+    """
     cells = docs.select("doc_id", F.posexplode(lex_csv("text")).alias("record", "cells"))
     months = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
     turned = F.regexp_replace(F.get("cells", 0), rf"(?i){months}\s+(20\d{{2}})\s+(\d{{1,2}})", "$3 $1 $2")
@@ -119,7 +122,7 @@ def unzipped_cells(docs: DataFrame) -> DataFrame:
     deepest = F.array_max(F.transform("parts", lambda p: F.size(p)))
     rows = cells.where(F.size("parts") > 0).withColumn("k", F.explode(F.sequence(F.lit(0), deepest - 1))).withColumn("row", F.transform("parts", lambda p: F.coalesce(F.get(p, F.col("k")), F.lit(""))))
     rows = rows.where(F.exists("row", lambda c: c != "")).withColumn("text", F.trim(F.array_join("row", " ")))
-    return rows.select("doc_id", (F.col("record") * 1_000_000 + F.col("k")).alias("row_idx"), "text")
+    return rows.select("doc_id", (F.shiftleft(F.col("record").cast("long"), 31) + F.col("k")).alias("row_idx"), "text")
 
 
 #: One printed row: date, text, amount, balance.

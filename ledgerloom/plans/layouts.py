@@ -122,23 +122,24 @@ def standard_bank(docs: DataFrame) -> DataFrame:
     w = S.by_line()
     rows = S.lines(docs).withColumn("line", squeeze(F.col("line"))).where("line <> ''")
     amount, balance = money_pair(F.col("line"))
-    rows = rows.withColumns({"amount_c": amount, "printed_c": balance, "text_line": ~K.header_line(F.col("line")) & amount.isNull() & ~K.reversal_line(F.col("line")), "ref_line": K.reference_line(F.col("line"))})
+    rows = rows.withColumns({"amount_c": amount, "printed_c": balance, "text": ~K.header_line(F.col("line")), "ref_line": K.reference_line(F.col("line")), "gone_line": K.reversal_line(F.col("line")), "mark_line": K.marker_line(F.col("line"))})
+    rows = rows.withColumn("text_line", F.col("text") & F.col("amount_c").isNull() & ~F.col("gone_line")).drop("text")
     rows = rows.withColumns({
         "p1": F.lag("line", 1).over(w), "p2": F.lag("line", 2).over(w), "t1": F.lag("text_line", 1).over(w), "t2": F.lag("text_line", 2).over(w),
-        "n1": F.lead("line", 1).over(w), "n2": F.lead("line", 2).over(w), "n1_money": F.lead("amount_c", 1).over(w),
-        "back": F.collect_list(F.when(F.col("ref_line") & ~K.reversal_line(F.col("line")), F.col("line"))).over(w.rowsBetween(-6, -1)),
+        "m1": F.lag("mark_line", 1).over(w), "n1": F.lead("line", 1).over(w), "n1_money": F.lead("amount_c", 1).over(w), "n1_ref": F.lead("ref_line", 1).over(w), "n1_gone": F.lead("gone_line", 1).over(w), "n2_gone": F.lead("gone_line", 2).over(w),
+        "back": F.collect_list(F.when(F.col("ref_line") & ~F.col("gone_line"), F.col("line"))).over(w.rowsBetween(-6, -1)),
     }).where("amount_c is not null")
     lit = F.lit("")
-    description = F.coalesce(F.when(K.marker_line(F.col("p1")), F.when(F.col("t2"), F.col("p2"))).otherwise(F.when(F.col("t1"), F.col("p1"))), lit)
+    description = F.coalesce(F.when(F.col("m1"), F.when(F.col("t2"), F.col("p2"))).otherwise(F.when(F.col("t1"), F.col("p1"))), lit)
     rows = rows.withColumn("words", description)
-    following = F.when(K.reference_line(F.col("n1")) & F.col("n1_money").isNull(), F.col("n1"))
+    following = F.when(F.col("n1_ref") & F.col("n1_money").isNull(), F.col("n1"))
     rows = rows.withColumn("reference", F.coalesce(following, F.when(F.upper(squeeze(F.col("words"))).isin(*K.FEE_FOLLOWUPS), F.element_at(F.concat(F.array(lit), "back"), -1)), lit))
-    rows = rows.where(~K.skipped_block(F.col("words"), F.col("reference"))).where(~L.reversed_rows(F.col("n1"), F.col("n2"), K.reference_line, K.reversal_line))
+    rows = rows.where(~K.skipped_block(F.col("words"), F.col("reference"))).where(~(F.coalesce("n1_gone", F.lit(False)) | (F.coalesce("n1_ref", F.lit(False)) & F.coalesce("n2_gone", F.lit(False)))))
     rows = rows.withColumn("description", squeeze(F.concat_ws(" ", "words", "reference")))
     upper = F.upper("description")
     rows = rows.where(~contains_any(upper, (K.REVERSAL, *K.SUMMARY_PHRASES)) & ~upper.isin(*K.FEE_FOLLOWUPS)).where((F.abs("amount_c") <= 500_000_000) & (F.abs("printed_c") <= 10_000_000_000))
     edges = docs.select("doc_id", M.period(F.col("text")).alias("p")).select("doc_id", dates.period_date(F.col("p.start")).alias("start"), dates.period_date(F.col("p.end")).alias("end"))
-    rows = rows.join(edges, "doc_id").withColumn("day", F.coalesce(*(dates.best_date(F.col(c), F.col("start"), F.col("end")) for c in ("description", "reference", "words")))).withColumnRenamed("line_no", "row_idx")
+    rows = rows.join(edges, "doc_id").withColumn("day", F.coalesce(*(F.when(F.col(c).rlike(r"\d{6}"), dates.best_date(F.col(c), F.col("start"), F.col("end"))) for c in ("description", "reference", "words")))).withColumnRenamed("line_no", "row_idx")
     return _final(L.carry_dates(L.running(rows), "day").withColumn("date", dates.printed(F.col("day"))))
 
 

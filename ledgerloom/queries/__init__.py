@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("ledgers", "texts", "layouts", "validation", "accounts")
+FAMILIES = ("ledgers", "texts", "headers", "layouts", "validation", "accounts")
 
 
 def _all(what: str) -> dict:

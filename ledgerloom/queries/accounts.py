@@ -133,7 +133,8 @@ def first_hit_windows(spark, d) -> DataFrame:
 
 
 def once_per_reference(spark, d) -> DataFrame:
-    return streaming.once(payments(spark, d), "reference").groupBy().agg(F.count("*").alias("n"))
+    """The first notice of each reference."""
+    return streaming.once(payments(spark, d), "reference", order=("ts", "event_id")).select("reference", "event_id", "status", "amount")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -199,5 +200,5 @@ ORACLES = {
           UNION ALL
           SELECT o.c, o.event_id, o.n, CASE WHEN o.ts >= f.s + INTERVAL 15 MINUTE THEN o.ts ELSE f.s END, CASE WHEN o.ts >= f.s + INTERVAL 15 MINUTE THEN 1 ELSE f.h + 1 END FROM fold f JOIN o ON o.c = f.c AND o.n = f.n + 1
         ) SELECT event_id, {_STAMP.format('s')} AS window_start, h > 2 AS refused FROM fold""",
-    "once_per_reference": f"WITH {_PAYMENTS} SELECT count(DISTINCT reference) AS n FROM payments",
+    "once_per_reference": f"WITH {_PAYMENTS} SELECT reference, event_id, status, amount FROM payments QUALIFY row_number() OVER (PARTITION BY reference ORDER BY ts, event_id) = 1",
 }

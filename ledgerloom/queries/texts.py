@@ -171,10 +171,10 @@ ORACLES = {
     "money_parse": """WITH t AS (SELECT l_orderkey, CAST(floor(l_extendedprice) AS BIGINT) AS c FROM lineitem)
         SELECT l_orderkey, CAST(sum(c) AS BIGINT) AS cents, CAST(-sum(c) AS BIGINT) AS "either", CAST(-sum(c) AS BIGINT) AS leading, CAST(sum(c) AS BIGINT) AS rand, CAST(-sum(c) AS BIGINT) AS trailing, CAST(-sum(c) AS BIGINT) AS strict, CAST(-sum(c) AS BIGINT) AS loose,
           CAST(sum(c) AS BIGINT) AS second_last, CAST(sum(c) AS BIGINT) AS repaired, max(CAST(CAST(c AS DECIMAL(20,2)) / 100 AS DECIMAL(20,2))::VARCHAR) AS normal FROM t GROUP BY l_orderkey""",
-    "date_disambiguate": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE year(o_orderdate) IN (2000, 2001)),
+    "date_disambiguate": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 10 YEAR AS DATE) AS d FROM orders),
         two AS (SELECT o_orderkey, d, CAST(try_strptime('20' || strftime(d, '%d') || '-' || strftime(d, '%m') || '-' || strftime(d, '%y'), '%Y-%m-%d') AS DATE) AS x FROM o),
-        s AS (SELECT *, CASE WHEN year(d) = 2001 THEN 1000 ELSE -least(abs(date_diff('day', DATE '2001-01-01', d)), abs(date_diff('day', DATE '2001-12-31', d))) END AS sd,
-          CASE WHEN year(x) = 2001 THEN 1010 ELSE 10 - least(abs(date_diff('day', DATE '2001-01-01', x)), abs(date_diff('day', DATE '2001-12-31', x))) END AS sx FROM two)
+        s AS (SELECT *, CASE WHEN year(d) = 2011 THEN 1000 ELSE -least(abs(date_diff('day', DATE '2011-01-01', d)), abs(date_diff('day', DATE '2011-12-31', d))) END AS sd,
+          CASE WHEN year(x) = 2011 THEN 1010 ELSE 10 - least(abs(date_diff('day', DATE '2011-01-01', x)), abs(date_diff('day', DATE '2011-12-31', x))) END AS sx FROM two)
         SELECT o_orderkey, CAST(CASE WHEN x IS NOT NULL AND sx >= sd THEN x ELSE d END AS VARCHAR) AS found, CAST(d AS VARCHAR) AS free FROM s""",
     "date_validity": """WITH t AS (SELECT o_orderkey, o_orderkey % 33 AS d, o_orderkey % 14 AS m, 1995 + o_orderkey % 8 AS y FROM orders)
         SELECT o_orderkey, CASE WHEN y >= 2000 THEN CAST(CAST(try_strptime(printf('%02d/%02d/%04d', d, m, y), '%d/%m/%Y') AS DATE) AS VARCHAR) END AS day, d BETWEEN 1 AND 31 AND m BETWEEN 1 AND 12 AND y >= 2000 AS plausible,

@@ -43,12 +43,12 @@ def csv_statements(rows: DataFrame, statements: DataFrame, currency: str = "ZAR"
     return statements.join(body, "doc_id", "left").select("doc_id", F.concat_ws("\n", head, F.coalesce("csv", F.lit("Date,Description,Debit,Credit,Fee,Balance"))).alias("csv"))
 
 
-def csv_table(rows: DataFrame, columns: list[str], key: str | None = None) -> DataFrame:
-    """Any columns as one CSV text per key, in the order of the columns; the first row names them."""
+def csv_table(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Any columns as one CSV text per key, in the order of the columns; the first row names them. A whole table is written by write_csv."""
     order = F.struct(*columns)
     line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    out = rows.groupBy(*([key] if key else [])).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))).alias("l"))
-    return out.select(*([key] if key else []), F.concat_ws("\n", F.lit(",".join(columns)), F.array_join("l.line", "\n")).alias("csv"))
+    out = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))).alias("l"))
+    return out.select(key, F.concat_ws("\n", F.lit(",".join(columns)), F.array_join("l.line", "\n")).alias("csv"))
 
 
 def json_documents(rows: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def rate_windows(events: DataFrame, key: str, limit: int, watermark: str | None
 def first_hit_windows(events: DataFrame, key: str, limit: int, seconds: int = 900) -> DataFrame:
     """events with window_start and refused: windows that begin with a key's first hit after the last one ended.
 
-    Where a window begins depends on the one before, so each key's hits are gone through in order.
+    Where a window begins depends on the one before, so each key's hits are gone through in order: those of one key are
+    one task's, in memory at once (some 100 bytes each).
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -44,11 +45,11 @@ def first_hit_windows(events: DataFrame, key: str, limit: int, seconds: int = 90
     return picked.groupBy(key).applyInPandas(run, schema)
 
 
-def once(notices: DataFrame, key: str, watermark: str | None = None) -> DataFrame:
-    """The first of the notices of each key; on a stream, keys are remembered as long as the watermark says."""
+def once(notices: DataFrame, key: str, watermark: str | None = None, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """The first of the notices of each key, by the columns of order; on a stream the first to arrive, and keys are remembered as long as the watermark says."""
     if watermark:
         return notices.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
-    return notices.dropDuplicates([key])
+    return notices.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*notices.columns), F.struct(*order)).alias("first")).select("first.*")
 
 
 _STATE = "hits long, start timestamp"
