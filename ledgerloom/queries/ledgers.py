@@ -213,7 +213,7 @@ ORACLES = {
         SELECT doc_id, row_idx, CAST(strlen(t) AS BIGINT) AS n_bytes, md5(t) AS md5 FROM j""",
     "pair_scan": f"WITH {LEDGER_SQL} SELECT doc_id, row_idx, abs(amount_c) AS size_c, abs(balance_c) AS balance_c, CASE WHEN balance_c < 0 THEN 'Dr' ELSE 'Cr' END AS side FROM ledger",
     "neighbour_context": f"""WITH l AS ({_LINES}) SELECT doc_id, line_no, before, after FROM (
-          SELECT doc_id, line_no, CAST(coalesce(lag(strlen(line)) OVER w, -1) AS BIGINT) AS before, CAST(coalesce(lead(strlen(line)) OVER w, -1) AS BIGINT) AS after FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) WHERE line_no % 5 = 0""",
+          SELECT doc_id, line_no, CAST(coalesce(lag(strlen(line)) OVER w, -1) AS BIGINT) AS before, CAST(coalesce(lead(strlen(line)) OVER w, -1) AS BIGINT) AS after FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))""",
     "cell_unzip": f"WITH {LEDGER_SQL} SELECT doc_id, row_idx, o_orderkey, amount_c FROM ledger",
     "line_regex_rows": f"WITH {LEDGER_SQL} SELECT doc_id, row_idx, CAST(day AS VARCHAR) AS day, amount_c, balance_c FROM ledger",
     "doc_totals": f"""WITH {LEDGER_SQL} SELECT doc_id, count(*) AS n_transactions, CAST(coalesce(sum(amount_c) FILTER (WHERE amount_c > 0), 0) AS BIGINT) AS credits_c, CAST(coalesce(-sum(amount_c) FILTER (WHERE amount_c <= 0), 0) AS BIGINT) AS debits_c,

@@ -181,9 +181,9 @@ ORACLES = {
           printf('%02d/%02d/%04d', d, m, y) AS token FROM t""",
     "year_resolve": """SELECT o_orderkey, strftime(o_orderdate, '%d/%m/') || CASE WHEN 2000 + year(o_orderdate) % 100 BETWEEN 1998 AND 2001 THEN 2000 + year(o_orderdate) % 100 ELSE 1999 END AS described,
         CASE WHEN year(o_orderdate) >= 2000 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS worded, CASE WHEN year(o_orderdate) >= 2000 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS short, CAST(year(o_orderdate) AS INT) AS end_year, 'UNSUPPORTED_DATE_FORMAT' AS error FROM orders""",
-    "text_normalise": """WITH c AS (SELECT doc_id, text, lower(substr(regexp_replace(text, '[^A-Za-z /-]', '', 'g'), 1, 60)) AS s FROM documents)
+    "text_normalise": """WITH c AS (SELECT doc_id, text, string_split(lower(text), '') AS l FROM documents)
         SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS squeezed, md5(regexp_replace(regexp_replace(text, '[aeiou]+', 'v', 'g'), '\\d', '', 'g')) AS cleaned,
-          array_to_string(list_transform(string_split(s, ''), lambda x, i: CASE WHEN regexp_matches(x, '[a-z]') AND (i = 1 OR NOT regexp_matches(substr(s, i - 1, 1), '[a-z]')) THEN upper(x) ELSE x END), '') AS title FROM c""",
+          md5(regexp_replace(regexp_replace(array_to_string(list_transform(l, lambda x, i: CASE WHEN regexp_matches(x, '^[a-z0-9_]$') AND (i = 1 OR NOT regexp_matches(l[i - 1], '^[a-z0-9_]$')) THEN upper(x) ELSE x END), ''), '\\bAbsa\\b', 'ABSA', 'g'), '\\bFnb\\b', 'FNB', 'g')) AS title FROM c""",
     "reference_split": """SELECT event_id, CAST(user_id AS VARCHAR) AS "user", upper(event_type) || '_10' AS plan, CAST(NULL AS VARCHAR) AS "none", 'LL-' || right(CAST(event_id + 1700000000000 AS VARCHAR), 10) AS bank, CAST(CAST(CAST(event_id AS DECIMAL(20,2)) / 100 AS DECIMAL(20,2)) AS VARCHAR) AS price FROM events""",
     "token_digest": "SELECT event_id, sha256(event_type || '-' || event_id) AS digest FROM events",
     "payload_parse": "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS status, 'A b' AS name, event_id AS id, 1 AS n FROM events",
