@@ -140,6 +140,11 @@ def convert_kind(path: Column) -> Column:
     return F.when(p.endswith(".pdf"), "pdf").when(p.endswith(".xls") | p.endswith(".xlsx"), "excel")
 
 
+def convert_error(path: Column, n_rows: Column) -> Column:
+    """Why a file is not converted; null if it is. Without a path there is no file."""
+    return F.when(path.isNull(), "NO_FILE").when(convert_kind(path).isNull(), "UNSUPPORTED_FILE_TYPE").when(F.coalesce(n_rows, F.lit(0)) == 0, "NO_TRANSACTIONS")
+
+
 def request_error(n_files: Column, bank: Column, n_transactions: Column) -> Column:
     """Why a request is turned down; null if it isn't."""
     return F.when(F.coalesce(n_files, F.lit(0)) == 0, "NO_FILES").when(bank.isin("UNSUPPORTED_BANK", "UNKNOWN_BANK"), bank).when(F.coalesce(n_transactions, F.lit(0)) == 0, "NO_TRANSACTIONS")

@@ -5,6 +5,8 @@ What is missing is null, never a word for it. Balances are cents.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,31 @@ PERIOD_PATTERNS = (
     r"Statement from\s+([0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4})\s+to\s+([0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4})",
     r"Your transactions\s*([0-9]{1,2}\s+[A-Za-z]{3,9}\s+[0-9]{4})\s*to\s*([0-9]{1,2}\s+[A-Za-z]{3,9}\s+[0-9]{4})",
 )
+_ABSA_NUMBER, _ABSA_DAY = r"([0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{4})", r"\d{1,2}\s+[A-Za-z]{3}\s+\d{4}"
+ABSA_ACCOUNT = (rf"(?i)Cheque\s+Account\s+Number[:\s]*{_ABSA_NUMBER}", rf"(?i)Account\s+Number[:\s]*{_ABSA_NUMBER}", r"\b(\d{10})\b", r"\b(\d{2}[-\s]?\d{4}[-\s]?\d{4})\b")
+ABSA_CLIENT = (r"(?i)Cheque account statement\s+([A-Z0-9&.,'()\-/ ]+?)\s+\d{2}[-\s]?\d{4}[-\s]?\d{4}", r"\b([A-Z][A-Z0-9&.,'()\-/ ]{5,})\s+\d{2}[-\s]?\d{4}[-\s]?\d{4}\b")
+ABSA_PERIOD = rf"(?i)\b({_ABSA_DAY})\s+to\s+({_ABSA_DAY})\b"
+# A date may follow the amount on its line; it is no part of it.
+ABSA_OPENING = r"(?i)Bal(?:ance)?\s+Brought\s+Forward\s+(-?[0-9][0-9 ]*(?:[.,][0-9]{2})-?)"
+CAPITEC_ACCOUNT = (r"(?i)Account\s*\n\s*(\d{10,})", r"\b(\d{10,11})\b")
+CAPITEC_CLIENT = (r"(?i)Main Account Statement\s*\n\s*((?:MR|MRS|MS|DR)[ \t]+[A-Z \t]+)", r"\b((?:MR|MRS|MS|DR)\s+[A-Z]+\s+[A-Z]+)")
+CAPITEC_ID = r"(?i)Unique Document No\.:\s*([a-f0-9\-]+)"
+FNB_ACCOUNT = (r"(?i)Gold Business Account\s*:\s*(\d+)", r"(?i)Account\D*?(\d{11})", r"(\d{11})")
+FNB_CLIENT = (r"\*(.+?)\s{2,}", r"\*(.+?)\n")
+FNB_ID = r"(?i)Tax Invoice/Statement Number\s*:\s*(\d+)"
+FNB_DATE = r"(?i)Statement Date\s*:\s*(.+)"
+FNB_PERIOD = r"(?i)Statement Period\s*:\s*(.+?)\s*to\s*(.+)"
+FNB_VAT = rf"(?i)Total VAT.*?({money.AMOUNT})\s*(Dr|Cr)"
+FNB_YEAR = r"(20\d{2})/\d{2}/\d{2}"
+NEDBANK_ACCOUNT = (r"(?i)Account\s*number[^\n\d]*(\d{10})", r"(?i)Account\s*number[^\n]*\n\s*(\d{10})\s*(?:\n|\z)", r"(1605\d{6})")
+NEDBANK_CLIENT = r"(?i)((?:Mr|Mrs|Ms|Dr|Prof)[ \t]+[A-Z \t]{5,})"
+NEDBANK_CLOSING = r"(?im)^[ \t]*\d{2}/\d{2}/\d{4}[^\n]*Closing\s*balance[^\n]*"
+_RAND = r"(-?\s?R[\d\s,.]+\.\d{2})"
+DISCOVERY_ACCOUNT = r"(?i)Transaction Account[^\d]*(\d{10,15})"
+DISCOVERY_CLIENT = r"((?:Mr|Mrs|Ms|Dr|Prof)[ \t]+[A-Za-z \t]+)"
+DISCOVERY_OPENING, DISCOVERY_CLOSING = (rf"(?i){edge} balance[^\d-]*?{_RAND}" for edge in ("Opening", "Closing"))
+STANDARD_ACCOUNT = r"(?i)account number[ \t]*([\d \t]+)"
+STANDARD_CLIENT = r"(?i)(mr\.[ \t]+[a-z \t]+)"
 # End of fixed values.
 
 
@@ -106,77 +133,110 @@ def _crdr(text: Column, label: str) -> Column:
     return F.when(F.lower(F.regexp_extract(text, p, 2)) == "cr", size).otherwise(-F.abs(size))
 
 
+def absa_fields(t: Column) -> dict[str, Column]:
+    opening = first_match(t, (ABSA_OPENING,))
+    return {
+        "account_number": _digits(first_match(t, ABSA_ACCOUNT)), "client_name": squeeze(first_match(t, ABSA_CLIENT)),
+        "period_start": blank_to_null(F.regexp_extract(t, ABSA_PERIOD, 1)), "period_end": blank_to_null(F.regexp_extract(t, ABSA_PERIOD, 2)),
+        "opening_c": F.when(opening.isNotNull(), money.either_separator(opening)),
+    }
+
+
+def capitec_fields(t: Column) -> dict[str, Column]:
+    return {"account_number": first_match(t, CAPITEC_ACCOUNT), "client_name": squeeze(first_match(t, CAPITEC_CLIENT)), "statement_id": first_match(t, (CAPITEC_ID,))}
+
+
+def fnb_fields(t: Column) -> dict[str, Column]:
+    vat_c = money.plain(blank_to_null(F.regexp_extract(t, FNB_VAT, 1)))
+    return {
+        "account_number": first_match(t, FNB_ACCOUNT), "client_name": F.trim(first_match(t, FNB_CLIENT)), "statement_id": first_match(t, (FNB_ID,)), "statement_date": F.trim(first_match(t, (FNB_DATE,))),
+        "period_start": F.trim(first_match(t, (FNB_PERIOD,), 1)), "period_end": F.trim(first_match(t, (FNB_PERIOD,), 2)),
+        "opening_c": _crdr(t, "Opening Balance"), "closing_c": _crdr(t, "Closing Balance"), "total_vat_c": F.when(F.lower(F.regexp_extract(t, FNB_VAT, 2)) == "cr", vat_c).otherwise(-vat_c),
+        "year": first_match(t, (FNB_YEAR,)).cast("int"),
+    }
+
+
+def nedbank_fields(t: Column) -> dict[str, Column]:
+    return {"account_number": first_match(t, NEDBANK_ACCOUNT), "client_name": squeeze(first_match(t, (NEDBANK_CLIENT,)))}
+
+
+def nedbank_statement(t: Column) -> dict[str, Column]:
+    """nedbank_fields and the balance of the last dated closing line."""
+    closing = F.regexp_extract_all(t, F.lit(NEDBANK_CLOSING), F.lit(0))
+    found = money.tokens(F.when(F.size(closing) > 0, F.element_at(closing, -1)))
+    return {**nedbank_fields(t), "closing_c": F.when(F.size(found) > 0, money.rand(F.element_at(found, -1)))}
+
+
+def discovery_fields(t: Column) -> dict[str, Column]:
+    t = F.regexp_replace(t, "\r", "")
+    return {
+        "account_number": first_match(t, (DISCOVERY_ACCOUNT,)), "client_name": squeeze(first_match(t, (DISCOVERY_CLIENT,))),
+        "opening_c": F.coalesce(money.rand(first_match(t, (DISCOVERY_OPENING,))), F.lit(0)), "closing_c": F.coalesce(money.rand(first_match(t, (DISCOVERY_CLOSING,))), F.lit(0)),
+    }
+
+
+def standard_fields(t: Column) -> dict[str, Column]:
+    t = F.regexp_replace(t, "\r", "")
+    return {"account_number": blank_to_null(F.regexp_replace(F.regexp_extract(t, STANDARD_ACCOUNT, 1), r"\s", "")), "client_name": F.upper(squeeze(first_match(t, (STANDARD_CLIENT,))))}
+
+
+#: By the names that classify.dispatch_bank gives.
+BANK_FIELDS = {"ABSA": absa_fields, "Capitec": capitec_fields, "FNB": fnb_fields, "Nedbank": nedbank_statement, "Discovery": discovery_fields}
+#: All fields of any bank.
+HEADER = {
+    "account_number": "string", "client_name": "string", "statement_id": "string", "statement_date": "string", "period_start": "string", "period_end": "string", "opening_c": "long", "closing_c": "long", "total_vat_c": "long",
+}
+
+
+def bank_headers(docs: DataFrame, bank: str, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, bank, the columns named in keep and HEADER's fields by the rules of each document's own bank; null where that bank prints none. One narrow step."""
+    own = {name: fields(F.col("text")) for name, fields in BANK_FIELDS.items()}
+
+    def field(name: str, kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for b, fields in own.items():
+            if name in fields:
+                out = F.when(F.col(bank) == b, fields[name]).otherwise(out)
+        return out.alias(name)
+
+    return docs.select("doc_id", bank, *keep, *(field(*f) for f in HEADER.items()))
+
+
+def _header(docs: DataFrame, bank: str, fields: dict[str, Column]) -> DataFrame:
+    return docs.select("doc_id", F.lit(bank).alias("bank_name"), *(c.alias(name) for name, c in fields.items()))
+
+
 def absa(docs: DataFrame) -> DataFrame:
-    t = F.col("text")
-    number = r"([0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{4})"
-    account = first_match(t, (rf"(?i)Cheque\s+Account\s+Number[:\s]*{number}", rf"(?i)Account\s+Number[:\s]*{number}", r"\b(\d{10})\b", r"\b(\d{2}[-\s]?\d{4}[-\s]?\d{4})\b"))
-    day = r"\d{1,2}\s+[A-Za-z]{3}\s+\d{4}"
-    client = first_match(t, (r"(?i)Cheque account statement\s+([A-Z0-9&.,'()\-/ ]+?)\s+\d{2}[-\s]?\d{4}[-\s]?\d{4}", r"\b([A-Z][A-Z0-9&.,'()\-/ ]{5,})\s+\d{2}[-\s]?\d{4}[-\s]?\d{4}\b"))
-    # A date may follow the amount on its line; it is no part of it.
-    opening = first_match(t, (r"(?i)Bal(?:ance)?\s+Brought\s+Forward\s+(-?[0-9][0-9 ]*(?:[.,][0-9]{2})-?)",))
-    return docs.select(
-        "doc_id", F.lit("ABSA").alias("bank_name"), _digits(account).alias("account_number"), squeeze(client).alias("client_name"),
-        blank_to_null(F.regexp_extract(t, rf"(?i)\b({day})\s+to\s+{day}\b", 1)).alias("period_start"), blank_to_null(F.regexp_extract(t, rf"(?i)\b{day}\s+to\s+({day})\b", 1)).alias("period_end"),
-        F.when(opening.isNotNull(), money.either_separator(opening)).alias("opening_c"),
-    )
+    return _header(docs, "ABSA", absa_fields(F.col("text")))
 
 
 def capitec(docs: DataFrame) -> DataFrame:
-    t = F.col("text")
-    client = first_match(t, (r"(?i)Main Account Statement\s*\n\s*((?:MR|MRS|MS|DR)[ \t]+[A-Z \t]+)", r"\b((?:MR|MRS|MS|DR)\s+[A-Z]+\s+[A-Z]+)"))
-    return docs.select(
-        "doc_id", F.lit("Capitec").alias("bank_name"), first_match(t, (r"(?i)Account\s*\n\s*(\d{10,})", r"\b(\d{10,11})\b")).alias("account_number"),
-        squeeze(client).alias("client_name"), first_match(t, (r"(?i)Unique Document No\.:\s*([a-f0-9\-]+)",)).alias("statement_id"),
-    )
+    return _header(docs, "Capitec", capitec_fields(F.col("text")))
 
 
 def fnb(docs: DataFrame) -> DataFrame:
-    t = F.col("text")
-    period_ = r"(?i)Statement Period\s*:\s*(.+?)\s*to\s*(.+)"
-    vat = rf"(?i)Total VAT.*?({money.AMOUNT})\s*(Dr|Cr)"
-    vat_c = money.plain(blank_to_null(F.regexp_extract(t, vat, 1)))
-    return docs.select(
-        "doc_id", F.lit("First National Bank").alias("bank_name"), first_match(t, (r"(?i)Gold Business Account\s*:\s*(\d+)", r"(?i)Account\D*?(\d{11})", r"(\d{11})")).alias("account_number"),
-        F.trim(first_match(t, (r"\*(.+?)\s{2,}", r"\*(.+?)\n"))).alias("client_name"), first_match(t, (r"(?i)Tax Invoice/Statement Number\s*:\s*(\d+)",)).alias("statement_id"),
-        F.trim(first_match(t, (r"(?i)Statement Date\s*:\s*(.+)",))).alias("statement_date"), F.trim(first_match(t, (period_,), 1)).alias("period_start"), F.trim(first_match(t, (period_,), 2)).alias("period_end"),
-        _crdr(t, "Opening Balance").alias("opening_c"), _crdr(t, "Closing Balance").alias("closing_c"), F.when(F.lower(F.regexp_extract(t, vat, 2)) == "cr", vat_c).otherwise(-vat_c).alias("total_vat_c"),
-        first_match(t, (r"(20\d{2})/\d{2}/\d{2}",)).cast("int").alias("year"),
-    )
-
-
-def account_by_label(lines: DataFrame, first_lines: int = 50) -> DataFrame:
-    """doc_id, account_number: ten digits on a line with the label, or alone on the next; the earliest of the first lines."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    here = blank_to_null(F.regexp_extract("line", r"(\d{10})", 1))
-    ahead = F.lead("line").over(w)
-    found = lines.withColumn("nth", F.row_number().over(w)).withColumn("found", F.coalesce(here, F.when(ahead.rlike(r"^\d{10}\z"), ahead)))
-    return found.where((F.col("nth") <= first_lines) & F.col("line").rlike(r"(?i)Account\s*number") & F.col("found").isNotNull()).groupBy("doc_id").agg(F.min_by("found", "line_no").alias("account_number"))
+    return _header(docs, "First National Bank", fnb_fields(F.col("text")))
 
 
 def nedbank(docs: DataFrame) -> DataFrame:
-    t = F.col("text")
-    return docs.select(
-        "doc_id", F.lit("Nedbank").alias("bank_name"), first_match(t, (r"(?i)Account\s*number[^\n\d]*(\d{10})", r"(?i)Account\s*number[^\n]*\n\s*(\d{10})\s*(?:\n|\z)", r"(1605\d{6})")).alias("account_number"),
-        squeeze(first_match(t, (r"(?i)((?:Mr|Mrs|Ms|Dr|Prof)[ \t]+[A-Z \t]{5,})",))).alias("client_name"),
-    )
+    return _header(docs, "Nedbank", nedbank_fields(F.col("text")))
 
 
 def discovery(docs: DataFrame) -> DataFrame:
-    t = F.regexp_replace("text", "\r", "")
-    amount = r"(-?\s?R[\d\s,]+\.\d{2})"
-    return docs.select(
-        "doc_id", F.lit("Discovery").alias("bank_name"), first_match(t, (r"(?i)Transaction Account[^\d]*(\d{10,15})",)).alias("account_number"),
-        squeeze(first_match(t, (r"((?:Mr|Mrs|Ms|Dr|Prof)[ \t]+[A-Za-z \t]+)",))).alias("client_name"),
-        F.coalesce(money.rand(first_match(t, (r"(?i)Opening balance[^\d-]*?" + amount,))), F.lit(0)).alias("opening_c"), F.coalesce(money.rand(first_match(t, (r"(?i)Closing balance[^\d-]*?" + amount,))), F.lit(0)).alias("closing_c"),
-    )
+    return _header(docs, "Discovery", discovery_fields(F.col("text")))
 
 
 def standard_bank(docs: DataFrame) -> DataFrame:
-    t = F.regexp_replace("text", "\r", "")
-    return docs.select(
-        "doc_id", F.lit("Standard Bank").alias("bank_name"), blank_to_null(F.regexp_replace(F.regexp_extract(t, r"(?i)account number[ \t]*([\d \t]+)", 1), r"\s", "")).alias("account_number"),
-        F.upper(squeeze(first_match(t, (r"(?i)(mr\.[ \t]+[a-z \t]+)",)))).alias("client_name"),
-    )
+    return _header(docs, "Standard Bank", standard_fields(F.col("text")))
+
+
+def account_by_label(lines: DataFrame, first_lines: int = 50) -> DataFrame:
+    """doc_id, account_number: ten digits on a line with the label, or alone on the next; the earliest of the first lines."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    here = blank_to_null(F.regexp_extract("line", r"(\d{10})", 1))
+    ahead = F.lead("line").over(w)
+    found = lines.withColumn("nth", F.row_number().over(w)).withColumn("found", F.coalesce(here, F.when(ahead.rlike(r"^\d{10}\z"), ahead)))
+    return found.where((F.col("nth") <= first_lines) & F.col("line").rlike(r"(?i)Account\s*number") & F.col("found").isNotNull()).groupBy("doc_id").agg(F.min_by("found", "line_no").alias("account_number"))
 
 
 def absa_client(text: Column) -> Column:

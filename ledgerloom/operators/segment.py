@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +15,9 @@ def by_line():
     return Window.partitionBy("doc_id").orderBy("line_no")
 
 
-def lines(docs: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """doc_id, line_no (from 0, as printed), line (trimmed). A narrow step: no shuffle."""
-    out = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
+def lines(docs: DataFrame, keep_empty: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, line_no (from 0, as printed), line (trimmed), and the columns named in keep. A narrow step: no shuffle."""
+    out = docs.select("doc_id", *keep, F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
     return out if keep_empty else out.where("line <> ''")
 
 
@@ -46,23 +46,23 @@ def until_any(text: Column, patterns: list[str]) -> Column:
     return F.regexp_replace(text, "(?is)(?:" + "|".join(patterns) + r").*\z", "")
 
 
-def dated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, row_idx, text: the text cut before each d/mm/yyyy, letters and digits parted, white space squeezed."""
+def dated_chunks(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, row_idx, text, and the columns named in keep: the text cut before each d/mm/yyyy, letters and digits parted, white space squeezed."""
     text = F.regexp_replace(F.translate("text", "\r •·", "\n   "), r"([A-Za-z])(\d)", r"$1 $2")
     text = F.regexp_replace(F.regexp_replace(text, r"(\d)([A-Za-z])", r"$1 $2"), r"(\.\d{2})(\d)", r"$1 $2")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return docs.select("doc_id", F.posexplode(F.split(text, r"(?=\b\d{1,2}/\d{2}/\d{4}\b)")).alias("row_idx", "text")).where(F.col("text").rlike(r"^\d{1,2}/\d{2}/\d{4}\b"))
+    return docs.select("doc_id", *keep, F.posexplode(F.split(text, r"(?=\b\d{1,2}/\d{2}/\d{4}\b)")).alias("row_idx", "text")).where(F.col("text").rlike(r"^\d{1,2}/\d{2}/\d{4}\b"))
 
 
 #: An amount and the balance after it, each perhaps with Cr or Dr.
 PAIR = rf"({AMOUNT})\s*(?:(?i)(Cr|Dr))?\s+({AMOUNT})\s*(?:(?i)(Cr|Dr))?"
 
 
-def amount_balance_pairs(docs: DataFrame, text_col: str = "text", reach: int = 300) -> DataFrame:
-    """doc_id, row_idx, before, amount, balance, amount_side, balance_side: each pair of amounts with at most `reach` characters before it."""
+def amount_balance_pairs(docs: DataFrame, text_col: str = "text", reach: int = 300, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, row_idx, before, amount, balance, amount_side, balance_side, and the columns named in keep: each pair of amounts with at most `reach` characters before it."""
     text = F.col(text_col)
     found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(PAIR), F.lit(k)).alias(n) for k, n in ((1, "amount"), (2, "amount_side"), (3, "balance"), (4, "balance_side"))), F.split(text, PAIR).alias("before"))
-    rows = docs.select("doc_id", F.posexplode(found).alias("row_idx", "p")).select("doc_id", "row_idx", "p.*").where("amount is not null")
+    rows = docs.select("doc_id", *keep, F.posexplode(found).alias("row_idx", "p")).select("doc_id", *keep, "row_idx", "p.*").where("amount is not null")
     return rows.withColumn("before", F.trim(F.right("before", F.lit(reach)))).withColumn("amount_side", blank_to_null(F.col("amount_side"))).withColumn("balance_side", blank_to_null(F.col("balance_side")))
 
 
@@ -109,12 +109,12 @@ def lex_csv(c: Column | str) -> Column:
     return F.pandas_udf(_lexed, "array<array<string>>")(c)
 
 
-def unzipped_cells(docs: DataFrame) -> DataFrame:
-    """doc_id, row_idx, text: cells of several lines as parallel rows, each row's cells joined by blanks; empty rows left out.
+def unzipped_cells(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, row_idx, text, and the columns named in keep: cells of several lines as parallel rows, each row's cells joined by blanks; empty rows left out.
 
     row_idx orders the rows: the record's number, then the line's inside it (31 bits).
     """
-    cells = docs.select("doc_id", F.posexplode(lex_csv("text")).alias("record", "cells"))
+    cells = docs.select("doc_id", *keep, F.posexplode(lex_csv("text")).alias("record", "cells"))
     months = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
     turned = F.regexp_replace(F.get("cells", 0), rf"(?i){months}\s+(20\d{{2}})\s+(\d{{1,2}})", "$3 $1 $2")
     cells = cells.withColumn("cells", F.when(F.size("cells") > 0, F.concat(F.array(turned), F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))))).otherwise(F.col("cells")))
@@ -122,7 +122,7 @@ def unzipped_cells(docs: DataFrame) -> DataFrame:
     deepest = F.array_max(F.transform("parts", lambda p: F.size(p)))
     rows = cells.where(F.size("parts") > 0).withColumn("k", F.explode(F.sequence(F.lit(0), deepest - 1))).withColumn("row", F.transform("parts", lambda p: F.coalesce(F.get(p, F.col("k")), F.lit(""))))
     rows = rows.where(F.exists("row", lambda c: c != "")).withColumn("text", F.trim(F.array_join("row", " ")))
-    return rows.select("doc_id", (F.shiftleft(F.col("record").cast("long"), 31) + F.col("k")).alias("row_idx"), "text")
+    return rows.select("doc_id", *keep, (F.shiftleft(F.col("record").cast("long"), 31) + F.col("k")).alias("row_idx"), "text")
 
 
 #: One printed row: date, text, amount, balance.
@@ -133,3 +133,13 @@ def pattern_rows(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, date, description, amount, balance (text) of lines that hold a whole row."""
     part = lambda k: F.regexp_extract("line", ROW, k)
     return lines(docs).where(F.col("line").rlike(ROW)).select("doc_id", "line_no", part(1).alias("date"), F.trim(part(2)).alias("description"), part(3).alias("amount"), part(4).alias("balance"))
+
+
+def merged_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row_idx, text: the lines of a section as rows, each led by a day; printed headings left out. What stands before the first day is row 0."""
+    return blocks(lines(docs).where(~F.col("line").rlike(r"(?i)^Date\s+Description")), F.col("line").rlike(r"^\d{1,2}[/\s-]"), keep_head=True)
+
+
+def section_errors(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, error_code of documents whose section has no rows."""
+    return docs.select("doc_id").join(rows.select("doc_id"), "doc_id", "left_anti").withColumn("error_code", F.lit("TRANSACTION_SECTION_EMPTY"))

@@ -18,8 +18,31 @@ DEBIT_WORDS = ("fee", "charge", "withdrawal", "debit", "proof of pmt email", "ad
 CREDIT_WORDS = ("credit", "payment cr", "deposit", "acb credit", "salary", "refund", "cash deposit")
 # What an error and a warning cost.
 ERROR_COST, WARNING_COST = 35, 5
-
-ISSUE = "doc_id long, row_idx long, severity string, issue_type string"
+# What each issue says.
+MESSAGES = {
+    "no_transactions": "No transactions were extracted from the statement.",
+    "missing_account_number": "Account number could not be extracted.",
+    "missing_client_name": "Client name could not be extracted.",
+    "missing_statement_period": "Statement period could not be extracted fully.",
+    "missing_opening_balance": "Opening balance is missing or invalid.",
+    "missing_closing_balance": "Closing balance is missing or invalid.",
+    "opening_balance_precision_issue": "Opening balance has suspicious precision and may be inferred incorrectly.",
+    "closing_balance_precision_issue": "Closing balance has suspicious precision.",
+    "missing_date": "Transaction is missing a date.",
+    "missing_description": "Transaction is missing a description.",
+    "invalid_amount": "Transaction amount is missing or invalid.",
+    "missing_balance": "Transaction balance is missing or invalid.",
+    "zero_amount": "Transaction amount is zero. This may indicate a parsing error.",
+    "amount_precision_issue": "Transaction amount has suspicious precision.",
+    "possible_wrong_sign_debit": "Debit-like transaction has a positive amount.",
+    "possible_wrong_sign_credit": "Credit-like transaction has a negative amount.",
+    "balance_continuity_mismatch": "Balance does not reconcile cleanly with the previous row.",
+    "opening_balance_mismatch": "Opening balance does not reconcile with the first transaction.",
+    "closing_balance_mismatch": "Closing balance does not match the final transaction balance.",
+}
+# End of fixed values.
+
+ISSUE = "doc_id long, row_idx long, severity string, issue_type string, message string, metadata map<string,string>"
 
 
 def too_precise(raw: Column) -> Column:
@@ -32,8 +55,17 @@ def _issues(rules: list[tuple[str, str, Column]]) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def _told(found: DataFrame, metadata: dict[str, tuple[Column, tuple[str, ...] | None]]) -> DataFrame:
+    """ISSUE's columns from doc_id, row_idx, i: with the message, and the named values that the kind of issue is about (None: any kind); missing values are left out."""
+    kind = F.col("i.issue_type")
+    says = F.create_map(*(F.lit(x) for pair in MESSAGES.items() for x in pair))
+    values = [(F.lit(name), F.when(kind.isin(*kinds) if kinds else F.lit(True), c.cast("string"))) for name, (c, kinds) in metadata.items()]
+    about = F.map_filter(F.create_map(*(x for pair in values for x in pair)), lambda _, v: v.isNotNull())
+    return found.select("doc_id", "row_idx", "i.*", says[kind].alias("message"), about.alias("metadata"))
+
+
 def row_issues(transactions: DataFrame) -> DataFrame:
-    """doc_id, row_idx, severity, issue_type. One window by doc_id; a row without an amount has that issue and earlier ones only."""
+    """ISSUE's columns; metadata is the transaction, and where balances don't follow, the one before and the move. One window by doc_id; a row without an amount has that issue and earlier ones only."""
     raw = F.col("amount_raw") if "amount_raw" in transactions.columns else F.lit(None).cast("double")
     moved = F.col("balance_c") - F.lag("balance_c").over(by_row())
     words = F.lower(F.coalesce("description", F.lit("")))
@@ -50,11 +82,14 @@ def row_issues(transactions: DataFrame) -> DataFrame:
         # A balance that did not move is not judged here; operators.ledger.fee_continuity does.
         ("warning", "balance_continuity_mismatch", has & (F.col("moved") != 0) & (F.col("moved") != F.col("amount_c"))),
     ]
-    return transactions.withColumn("moved", moved).select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), F.explode(_issues(rules)).alias("i")).select("doc_id", "row_idx", "i.*")
+    found = transactions.withColumn("moved", moved).select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), "date", "description", "amount_c", "balance_c", "moved", F.explode(_issues(rules)).alias("i"))
+    apart = ("balance_continuity_mismatch",)
+    own = {c: (F.col(c), None) for c in ("date", "description", "amount_c", "balance_c")}
+    return _told(found, {**own, "previous_balance_c": (F.col("balance_c") - F.col("moved"), apart), "expected_delta_c": (F.col("moved"), apart)})
 
 
 def statement_issues(statements: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Issues of whole statements (row_idx null, or the row that a balance disagrees with). A statement without rows has that issue alone."""
+    """ISSUE's columns: issues of whole statements (row_idx null, or the row that a balance disagrees with). A statement without rows has that issue alone."""
     edges = transactions.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"),
         F.min_by("amount_c", "row_idx").alias("first_amount"), F.min_by("balance_c", "row_idx").alias("first_balance"), F.max_by("balance_c", "row_idx").alias("last_balance"),
@@ -76,7 +111,12 @@ def statement_issues(statements: DataFrame, transactions: DataFrame) -> DataFram
         ("warning", "closing_balance_mismatch", F.col("closing_c") != F.col("last_balance")),
     ]
     row = F.when(F.col("i.issue_type") == "opening_balance_mismatch", F.col("first_row")).when(F.col("i.issue_type") == "closing_balance_mismatch", F.col("last_row"))
-    return all_.withColumn("i", F.explode(_issues(rules))).select("doc_id", row.cast("long").alias("row_idx"), "i.*")
+    first, last, period = ("opening_balance_mismatch",), ("closing_balance_mismatch",), ("missing_statement_period",)
+    return _told(all_.withColumn("i", F.explode(_issues(rules))).withColumn("row_idx", row.cast("long")), {
+        "period_start": (F.col("period_start"), period), "period_end": (F.col("period_end"), period),
+        "opening_c": (F.col("opening_c"), (*first, "opening_balance_precision_issue")), "closing_c": (F.col("closing_c"), (*last, "closing_balance_precision_issue")),
+        "expected_first_balance_c": (F.col("opening_c") + F.col("first_amount"), first), "first_balance_c": (F.col("first_balance"), first), "last_balance_c": (F.col("last_balance"), last),
+    })
 
 
 def issues(statements: DataFrame, transactions: DataFrame) -> DataFrame:

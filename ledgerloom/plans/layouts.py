@@ -43,8 +43,7 @@ def capitec(docs: DataFrame) -> DataFrame:
 
 def absa(docs: DataFrame) -> DataFrame:
     """Flowing text cut at dates; the balance is found by what adds up, rejected rows leave it alone."""
-    opening = M.absa(docs).select("doc_id", F.coalesce("opening_c", F.lit(0)).alias("opening_c"))
-    rows = S.dated_chunks(docs)
+    rows = S.dated_chunks(docs.select("doc_id", "text", F.coalesce(M.absa_fields(F.col("text"))["opening_c"], F.lit(0)).alias("opening_c")), keep=["opening_c"])
     p = r"^(\d{1,2})/(\d{2})/(\d{4})"
     day = dates.from_parts(*(F.regexp_extract("text", p, k) for k in (1, 2, 3)))
     rows = rows.withColumns({"day": day, "body": K.strip_footer(squeeze(F.regexp_replace("text", p, "")))}).where(F.col("day").isNotNull())
@@ -54,20 +53,20 @@ def absa(docs: DataFrame) -> DataFrame:
     words = squeeze(F.regexp_replace("body", pattern, " "))
     fixed = clean(words, ((r"(?i)\bProof Of Pmt\b", "Proof Of Pmt"), (r"(?i)\bImdte\b", "Imdte"), (r"(?i)\bNotific\b", "Notific")))
     description = F.when(forward, "Bal Brought Forward").otherwise(F.coalesce(F.nullif(title_case(fixed), F.lit("")), F.lit("Transaction")))
-    rows = rows.withColumns({"forward": forward, "tokens": F.transform(money.tokens(F.col("body"), pattern), money.either_separator), "description": description})
-    rows = rows.withColumn("rejected", K.other_text(F.col("description")) & ~F.col("forward")).join(opening, "doc_id")
-    kept = L.pair_fold(rows)
-    return _final(kept.join(rows.select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), dates.printed(F.col("day")).alias("date"), "description"), ["doc_id", "row_idx"]))
+    rows = rows.withColumns({"forward": forward, "tokens": F.transform(money.tokens(F.col("body"), pattern), money.either_separator), "description": description, "date": dates.printed(F.col("day"))})
+    rows = rows.withColumn("rejected", K.other_text(F.col("description")) & ~F.col("forward"))
+    return _final(L.pair_fold(rows, carry=["date", "description"]))
 
 
 def fnb(docs: DataFrame, default_year: int | None = None) -> DataFrame:
     """Pairs of amount and balance with the text before them; Dr balances are owed, amounts are differences."""
-    head = M.fnb(docs).select("doc_id", F.coalesce("opening_c", F.lit(0)).alias("opening_c"), F.coalesce("year", F.lit(default_year).cast("int")).alias("year"))
+    found = M.fnb_fields(F.col("text"))
     block = F.regexp_extract("text", r"(?is)(Transactions in RAND.*?Closing Balance)", 1)
     text = squeeze(clean(block, ((r"(?i)Page \d+ of \d+", " "), (r"(?is)Branch Number.*?FN", " "), (r"(?is)Delivery Method.*?AA", " "), (r"(?i)Transactions in RAND", " "))))
-    rows = S.amount_balance_pairs(docs.select("doc_id", text.alias("text"))).where(F.length("before") >= 3)
+    headed = docs.select("doc_id", text.alias("text"), F.coalesce(found["opening_c"], F.lit(0)).alias("opening_c"), F.coalesce(found["year"], F.lit(default_year).cast("int")).alias("year"))
+    rows = S.amount_balance_pairs(headed, keep=["opening_c", "year"]).where(F.length("before") >= 3)
     p = r"(?i)(\d{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-    rows = rows.where(F.col("before").rlike(p)).join(head, "doc_id")
+    rows = rows.where(F.col("before").rlike(p))
     size = money.plain(F.col("balance"))
     day = dates.from_parts(F.regexp_extract("before", p, 1), dates.month_number(F.regexp_extract("before", p, 2)), F.col("year"))
     rows = rows.withColumns({"balance_c": F.when(F.lower("balance_side") == "dr", -size).otherwise(size), "date": dates.printed(day), "description": F.coalesce(F.nullif(F.trim(replace_first(F.col("before"), F.regexp_extract("before", p, 0))), F.lit("")), F.lit("Transaction"))})
@@ -93,14 +92,14 @@ _BOILERPLATE = r"(?i)POS Purchase|RPP|Online|EFT|Fee|Interest|Reward|Declined In
 
 def discovery(docs: DataFrame) -> DataFrame:
     """Comma-separated text whose cells hold several lines; rows have a date first and an amount in rand; balances are sums."""
-    opening = M.discovery(docs).select("doc_id", "opening_c")
     p = r"(?i)^\s*(\d{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+(20\d{2})"
     amount = r"(-?\s?R[\d\s,.]+\.\d{2})"
-    rows = S.unzipped_cells(docs).where(F.col("text").rlike(p) & F.col("text").rlike(amount))
+    headed = docs.select("doc_id", "text", M.discovery_fields(F.col("text"))["opening_c"].alias("opening_c"))
+    rows = S.unzipped_cells(headed, keep=["opening_c"]).where(F.col("text").rlike(p) & F.col("text").rlike(amount))
     day = dates.from_parts(F.regexp_extract("text", p, 1), dates.month_number(F.regexp_extract("text", p, 2)), F.regexp_extract("text", p, 3))
     found = F.regexp_extract("text", amount, 1)
     words = F.upper(squeeze(clean(replace_first(F.regexp_replace("text", p, ""), found), ((r"\*\*\*\d{4}", ""), (_BOILERPLATE, ""), (",", " ")))))
-    rows = rows.withColumns({"date": dates.printed(day), "amount_c": money.rand(found), "description": F.coalesce(F.nullif(words, F.lit("")), F.lit("UNKNOWN"))}).join(opening, "doc_id")
+    rows = rows.withColumns({"date": dates.printed(day), "amount_c": money.rand(found), "description": F.coalesce(F.nullif(words, F.lit("")), F.lit("UNKNOWN"))})
     return _final(L.running(rows, F.col("opening_c")))
 
 
@@ -120,7 +119,8 @@ def money_pair(line: Column) -> tuple[Column, Column]:
 def standard_bank(docs: DataFrame) -> DataFrame:
     """Lines of amount and balance between a description and a reference line; balances are summed anew from nothing."""
     w = S.by_line()
-    rows = S.lines(docs).withColumn("line", squeeze(F.col("line"))).where("line <> ''")
+    edges = docs.select("doc_id", "text", M.period(F.col("text")).alias("p")).select("doc_id", "text", dates.period_date(F.col("p.start")).alias("start"), dates.period_date(F.col("p.end")).alias("end"))
+    rows = S.lines(edges, keep=["start", "end"]).withColumn("line", squeeze(F.col("line"))).where("line <> ''")
     amount, balance = money_pair(F.col("line"))
     rows = rows.withColumns({"amount_c": amount, "printed_c": balance, "text": ~K.header_line(F.col("line")), "ref_line": K.reference_line(F.col("line")), "gone_line": K.reversal_line(F.col("line")), "mark_line": K.marker_line(F.col("line"))})
     rows = rows.withColumn("text_line", F.col("text") & F.col("amount_c").isNull() & ~F.col("gone_line")).drop("text")
@@ -138,8 +138,7 @@ def standard_bank(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("description", squeeze(F.concat_ws(" ", "words", "reference")))
     upper = F.upper("description")
     rows = rows.where(~contains_any(upper, (K.REVERSAL, *K.SUMMARY_PHRASES)) & ~upper.isin(*K.FEE_FOLLOWUPS)).where((F.abs("amount_c") <= 500_000_000) & (F.abs("printed_c") <= 10_000_000_000))
-    edges = docs.select("doc_id", M.period(F.col("text")).alias("p")).select("doc_id", dates.period_date(F.col("p.start")).alias("start"), dates.period_date(F.col("p.end")).alias("end"))
-    rows = rows.join(edges, "doc_id").withColumn("day", F.coalesce(*(F.when(F.col(c).rlike(r"\d{6}"), dates.best_date(F.col(c), F.col("start"), F.col("end"))) for c in ("description", "reference", "words")))).withColumnRenamed("line_no", "row_idx")
+    rows = rows.withColumn("day", F.coalesce(*(F.when(F.col(c).rlike(r"\d{6}"), dates.best_date(F.col(c), F.col("start"), F.col("end"))) for c in ("description", "reference", "words")))).withColumnRenamed("line_no", "row_idx")
     return _final(L.carry_dates(L.running(rows), "day").withColumn("date", dates.printed(F.col("day"))))
 
 
@@ -162,8 +161,7 @@ def blocks_v2(docs: DataFrame) -> DataFrame:
     words = clean(F.regexp_replace(F.substr("text", F.lit(1), ends - 1), start, ""), ((r"(?i)\b(Settlement|Headoffice)\b", ""), (r"\b[ACTMS]\b(?=\s*\d|$)", ""), (r"\b\d+\.\d{2}A\b", ""), (r"(?i)SERVICE FEE:.*$", ""), (r"(?i)CREDIT INTEREST RATE.*$", "")))
     rows = rows.withColumns({"date": F.lpad(F.regexp_extract("text", start, 1), 10, "0"), "description": squeeze(words), "balance_c": money.token(F.element_at("found", -1)), "printed_c": money.token(printed), "opening_c": F.lit(None).cast("long")})
     rows = rows.withColumn("rejected", (F.col("description") == "") | F.col("description").rlike(_DROPPED))
-    kept = L.signed_fold(rows)
-    return _final(kept.join(rows.select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), "date", "description"), ["doc_id", "row_idx"]))
+    return _final(L.signed_fold(rows, carry=["date", "description"]))
 
 
 def standard_bank_single(docs: DataFrame, default_year: int | None = None) -> DataFrame:
@@ -178,21 +176,59 @@ def standard_bank_single(docs: DataFrame, default_year: int | None = None) -> Da
 LAYOUTS = {"ABSA": absa, "Capitec": capitec, "FNB": fnb, "Nedbank": nedbank, "Discovery": discovery}
 
 
+def _banked(docs: DataFrame) -> DataFrame:
+    return docs if "bank_name" in docs.columns else docs.withColumn("bank_name", K.dispatch_bank(F.col("text")))
+
+
+def route(docs: DataFrame, folder: str) -> DataFrame:
+    """docs with bank_name, written by bank under a new folder that all executors reach, and read again.
+
+    Texts are then told apart once and each layout scans its own documents only. Without it parse_statements tells the
+    texts apart once per layout.
+    """
+    banked = _banked(docs)
+    banked.write.mode("errorifexists").partitionBy("bank_name").parquet(folder)
+    return docs.sparkSession.read.schema(banked.schema).parquet(folder)
+
+
+#: What rows take from their statement's header.
+ROW_FIELDS = ("account_number", "client_name", "statement_id")
+
+
 def parse_statements(docs: DataFrame) -> DataFrame:
-    """Rows of mixed statements with bank_name and source_file: each document goes to the plan of its bank.
+    """Rows of mixed statements with account_number, client_name, statement_id, bank_name and source_file: each document goes to the plan of its bank.
 
-    docs: doc_id, source_file, text. Documents of unsupported and unknown banks have no rows here; see statement_status.
+    docs: doc_id, source_file, text, and bank_name if they come from route(). Documents of unsupported and unknown banks
+    have no rows here; see statements. Rows meet their header on the doc_id by which their layout has dealt them.
     """
-    banked = docs.withColumn("bank_name", K.dispatch_bank(F.col("text")))
-    out = None
+    banked, out = _banked(docs), None
     for name, plan in LAYOUTS.items():
-        rows = plan(banked.where(F.col("bank_name") == name).select("doc_id", "text")).withColumn("bank_name", F.lit(name))
+        own = banked.where(F.col("bank_name") == name)
+        fields = M.BANK_FIELDS[name](F.col("text"))
+        heads = own.select("doc_id", *(fields.get(c, F.lit(None).cast("string")).alias(c) for c in ROW_FIELDS), "source_file")
+        rows = plan(own.select("doc_id", "text")).join(heads, "doc_id").withColumn("bank_name", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    return out.join(docs.select("doc_id", "source_file"), "doc_id")
+    return out
+
+
+def statements(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per document: its bank and header, the totals of its rows, whether they reconcile, and why it has none.
+
+    opening_c and closing_c are printed ones where the layout prints them, else those of the rows: ABSA prints no closing
+    balance, Nedbank's opening balance is a row, Capitec prints neither. reconciled is null without rows or without a balance. The
+    header is one narrow step over docs, the totals one aggregate over rows.
+    """
+    heads = M.bank_headers(_banked(docs), "bank_name", keep=["source_file"])
+    sums = L.totals(rows).withColumnsRenamed({"opening_c": "first_c", "closing_c": "last_c"})
+    out = heads.join(sums, "doc_id", "left").withColumns({"n_transactions": F.coalesce("n_transactions", F.lit(0)), "opening_c": F.coalesce("opening_c", "first_c"), "closing_c": F.coalesce("closing_c", "last_c")})
+    return out.drop("first_c", "last_c").withColumns({
+        "reconciled": L.reconciled(F.col("opening_c"), F.col("credits_c"), F.col("debits_c"), F.col("closing_c")),
+        "error_code": K.request_error(F.lit(1), F.col("bank_name"), F.col("n_transactions")),
+    })
 
 
 def statement_status(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, bank_name, n_rows, error_code: every document, with why it has no rows."""
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-    out = docs.select("doc_id", K.dispatch_bank(F.col("text")).alias("bank_name")).join(counts, "doc_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    out = _banked(docs).select("doc_id", "bank_name").join(counts, "doc_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
     return out.withColumn("error_code", K.request_error(F.lit(1), F.col("bank_name"), F.col("n_rows")))

@@ -29,10 +29,10 @@ def absa_text(rows: DataFrame) -> DataFrame:
 
 
 def fnb_text(rows: DataFrame) -> DataFrame:
-    """Days only, as this layout prints no years: rows of a document are all given the year 2009."""
+    """Days only, as this layout prints no years: rows of a document are all given the leap year 2008."""
     side = lambda c: F.when(c < 0, "Dr").otherwise("Cr")
     line = F.concat_ws(" ", F.date_format("day", "dd MMM"), F.lit("Order"), F.concat(as_text(F.abs("amount_c")), side(F.col("amount_c"))), F.concat(as_text(F.abs("balance_c")), side(F.col("balance_c"))))
-    head = "First National Bank\nGold Business Account : 12345678901\n*ACME LTD\nStatement Period : 1 January 2009 to 31 December 2009\n2009/12/31\nOpening Balance 100,000.00 Cr\nTransactions in RAND\n"
+    head = "First National Bank\nGold Business Account : 12345678901\n*ACME LTD\nTax Invoice/Statement Number : 77\nStatement Date : 31 December 2008\nStatement Period : 1 January 2008 to 31 December 2008\n2008/12/31\nTotal VAT charged 12.34 Dr\nOpening Balance 100,000.00 Cr\nTransactions in RAND\n"
     return rendered(rows, line, head, "\nClosing Balance 0.00 Cr")
 
 
@@ -72,7 +72,7 @@ def layout_absa(spark, d) -> DataFrame:
 
 
 def layout_fnb(spark, d) -> DataFrame:
-    return _columns(P.fnb(fnb_text(ledger(spark, d).where("NOT (month(day) = 2 AND day(day) = 29)"))))
+    return _columns(P.fnb(fnb_text(ledger(spark, d))))
 
 
 def layout_nedbank(spark, d) -> DataFrame:
@@ -119,6 +119,25 @@ def mixed_status(spark, d) -> DataFrame:
     return P.statement_status(docs, P.parse_statements(docs)).select("doc_id", "bank_name", (F.col("n_rows") > 0).alias("has_rows"), "error_code")
 
 
+def _all_banks(spark, d) -> DataFrame:
+    """Each customer's ledger in one of six layouts, by number; a seventh of them have texts of an unsupported bank."""
+    rows, out = ledger(spark, d), None
+    for k, render in enumerate((capitec_text, absa_text, nedbank_text, discovery_text, fnb_text, standard_text)):
+        docs = render(rows.where(F.col("doc_id") % 7 == k))
+        out = docs if out is None else out.unionByName(docs)
+    other = rows.where("doc_id % 7 = 6 AND row_idx = 1").select("doc_id", F.lit("The Standard Bank of South Africa\n01/01/2005 x 1.00 2.00").alias("text"))
+    return out.unionByName(other).withColumn("source_file", F.concat(F.lit("s"), F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+def mixed_rows(spark, d) -> DataFrame:
+    return P.parse_statements(_all_banks(spark, d)).drop("row_idx")
+
+
+def mixed_statements(spark, d) -> DataFrame:
+    docs = _all_banks(spark, d)
+    return P.statements(docs, P.parse_statements(docs))
+
+
 def parse_job(spark, d) -> DataFrame:
     """The staged job over two layouts that it tells apart, and texts that are no statements."""
     rows = ledger(spark, d)
@@ -164,7 +183,7 @@ def json_render(spark, d) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    layout_capitec, layout_absa, layout_fnb, layout_nedbank, layout_discovery, layout_standard, layout_blocks, layout_single, parse_mixed, mixed_status, parse_job, union_sources, statement_envelope,
+    layout_capitec, layout_absa, layout_fnb, layout_nedbank, layout_discovery, layout_standard, layout_blocks, layout_single, parse_mixed, mixed_status, mixed_rows, mixed_statements, parse_job, union_sources, statement_envelope,
     csv_render, csv_statement, csv_generic, json_render,
 )}
 
@@ -175,11 +194,26 @@ _SHORT = "CASE WHEN {0} % 100 = 0 THEN CAST({0} // 100 AS VARCHAR) ELSE rtrim(pr
 _QUOTED = "chr(34) || 'Order ' || chr(34) || chr(34) || o_orderkey || chr(34) || chr(34) || chr(34)"
 _FULL = "printf('%s%d.%02d', CASE WHEN {0} < 0 THEN '-' ELSE '' END, abs({0}) // 100, abs({0}) % 100)"
 
+_BANK = "CASE doc_id % 7 WHEN 0 THEN 'Capitec' WHEN 1 THEN 'ABSA' WHEN 2 THEN 'Nedbank' WHEN 3 THEN 'Discovery' WHEN 4 THEN 'FNB' WHEN 5 THEN 'UNKNOWN_BANK' ELSE 'UNSUPPORTED_BANK' END AS bank_name"
+_HEADER = """CASE doc_id % 7 WHEN 0 THEN lpad(CAST(doc_id AS VARCHAR), 10, '1') WHEN 1 THEN '4012345678' WHEN 4 THEN '12345678901' WHEN 2 THEN '1234567890' WHEN 3 THEN '1234567890' END AS account_number,
+        CASE doc_id % 7 WHEN 0 THEN 'MR JOHN DOE' WHEN 2 THEN 'Mr JOHN DOEMANN' WHEN 3 THEN 'Mr John Doe' WHEN 4 THEN 'ACME LTD' END AS client_name, CASE doc_id % 7 WHEN 0 THEN 'ab-12' WHEN 4 THEN '77' END AS statement_id, 's' || doc_id || '.txt' AS source_file"""
+
 ORACLES = {
+    "mixed_rows": f"""WITH {LEDGER_SQL}, r AS (
+          SELECT doc_id, strftime(day, '%d/%m/') || CASE WHEN doc_id % 7 = 4 THEN '2008' ELSE strftime(day, '%Y') END AS date, amount_c, balance_c,
+            CASE doc_id % 7 WHEN 0 THEN 'Order no part' WHEN 1 THEN 'Card Order |' WHEN 2 THEN CASE WHEN row_idx % 2 = 0 THEN 'CARD ORDER WRAPPED' ELSE 'CARD ORDER' END WHEN 3 THEN 'CARD ORDER' ELSE 'Order' END AS description FROM ledger WHERE doc_id % 7 < 5
+          UNION ALL SELECT DISTINCT doc_id, '01/01/2005', 0, {OPENING_C}, CASE WHEN doc_id % 7 = 1 THEN 'Bal Brought Forward' ELSE 'OPENING BALANCE' END FROM ledger WHERE doc_id % 7 IN (1, 2)
+        ) SELECT *, {_BANK}, {_HEADER} FROM r""",
+    "mixed_statements": f"""WITH {LEDGER_SQL}, t AS (
+          SELECT doc_id, doc_id % 7 < 5 AS read, count(*) + CASE WHEN doc_id % 7 IN (1, 2) THEN 1 ELSE 0 END AS n, CAST(coalesce(sum(amount_c) FILTER (WHERE amount_c > 0), 0) AS BIGINT) AS cr, CAST(coalesce(-sum(amount_c) FILTER (WHERE amount_c <= 0), 0) AS BIGINT) AS dr, arg_max(balance_c, row_idx) AS last_c FROM ledger GROUP BY doc_id
+        ), s AS (SELECT *, CASE WHEN read THEN {OPENING_C} END AS opening_c, CASE doc_id % 7 WHEN 0 THEN last_c WHEN 1 THEN last_c WHEN 2 THEN 100 WHEN 3 THEN 0 WHEN 4 THEN 0 END AS closing_c FROM t)
+        SELECT doc_id, {_BANK}, {_HEADER}, CASE WHEN doc_id % 7 = 4 THEN '31 December 2008' END AS statement_date, CASE doc_id % 7 WHEN 1 THEN '1 Jan 2005' WHEN 4 THEN '1 January 2008' END AS period_start, CASE doc_id % 7 WHEN 1 THEN '31 Dec 2011' WHEN 4 THEN '31 December 2008' END AS period_end,
+          CAST(opening_c AS BIGINT) AS opening_c, CAST(closing_c AS BIGINT) AS closing_c, CAST(CASE WHEN doc_id % 7 = 4 THEN -1234 END AS BIGINT) AS total_vat_c, CASE WHEN read THEN n ELSE 0 END AS n_transactions, CASE WHEN read THEN cr END AS credits_c, CASE WHEN read THEN dr END AS debits_c,
+          abs(opening_c + CASE WHEN read THEN cr - dr END - closing_c) < 2 AS reconciled, CASE doc_id % 7 WHEN 5 THEN 'UNKNOWN_BANK' WHEN 6 THEN 'UNSUPPORTED_BANK' END AS error_code FROM s""",
     "layout_capitec": _FROM_LEDGER("'Order no part'"),
     "layout_absa": _FROM_LEDGER("'Card Order |'"),
-    "layout_fnb": f"""WITH {LEDGER_SQL}, kept AS (SELECT * FROM ledger WHERE NOT (month(day) = 2 AND day(day) = 29))
-        SELECT doc_id, strftime(day, '%d/%m/') || '2009' AS date, 'Order' AS description, balance_c - lag(balance_c, 1, {OPENING_C}) OVER (PARTITION BY doc_id ORDER BY row_idx) AS amount_c, balance_c FROM kept""",
+    "layout_fnb": f"""WITH {LEDGER_SQL}
+        SELECT doc_id, strftime(day, '%d/%m/') || '2008' AS date, 'Order' AS description, amount_c, balance_c FROM ledger""",
     "layout_nedbank": f"""WITH {LEDGER_SQL} SELECT doc_id, {_DATE} AS date, CASE WHEN row_idx % 2 = 0 THEN 'CARD ORDER WRAPPED' ELSE 'CARD ORDER' END AS description, amount_c, balance_c FROM ledger
         UNION ALL SELECT DISTINCT doc_id, '01/01/2005', 'OPENING BALANCE', 0, {OPENING_C} FROM ledger""",
     "layout_discovery": _FROM_LEDGER("'CARD ORDER'"),

@@ -138,6 +138,24 @@ def ledger_continuity_fee(spark, d) -> DataFrame:
     return L.fee_continuity(rows).select("doc_id", "row_idx", "expected_c", "continuous")
 
 
+def ledger_check(spark, d) -> DataFrame:
+    """The ledgers of ledger_continuity_fee by customer; customers without orders have no ledger."""
+    k = F.col("o_orderkey")
+    rows = N.debit_credit(ledger(spark, d)).withColumns({"fee_c": F.when(k % 4 == 0, 100), "date": printed(F.col("day"))})
+    rows = rows.withColumn("balance_c", F.col("balance_c") - F.sum(F.when((k % 4 == 0) & (k % 8 != 0), 100).otherwise(0)).over(L.so_far()))
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return L.ledger_check(docs, rows).withColumn("warnings", F.array_join("warnings", "\n"))
+
+
+def section_rows(spark, d) -> DataFrame:
+    """Wrapped rows put together; the sections of every fifth customer hold headings only."""
+    some = F.col("doc_id") % 5 != 0
+    line = F.when(some, F.concat(printed(F.col("day")), F.lit(" Order\nno "), F.col("o_orderkey").cast("string"))).otherwise("Date Description")
+    docs = rendered(ledger(spark, d), line, "Date Description Balance\n")
+    rows = S.merged_rows(docs)
+    return rows.unionByName(S.section_errors(docs, rows).select("doc_id", F.lit(-1).alias("row_idx"), F.col("error_code").alias("text")))
+
+
 def normalise_rows(spark, d) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.when(k % 5 == 0, "Total VAT").when(k % 5 == 1, " Credit transfer ").when(k % 5 == 2, F.concat(F.lit("Cash "), F.date_format("day", "ddMMyy"))).otherwise("Debit credit")
@@ -154,7 +172,7 @@ def noise_filter(spark, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ledger_roundtrip, ledger_running_balance, ledger_balance_delta, ledger_seed_segments, ledger_pair_fold, ledger_signed_fold, date_carry_forward, reversal_exclusion, magnitude_guard, line_blocks, pair_scan,
-    neighbour_context, cell_unzip, line_regex_rows, doc_totals, balance_precedence, ledger_continuity_fee, normalise_rows, noise_filter,
+    neighbour_context, cell_unzip, line_regex_rows, doc_totals, balance_precedence, ledger_continuity_fee, ledger_check, section_rows, normalise_rows, noise_filter,
 )}
 
 _MARKED = """
@@ -223,6 +241,13 @@ ORACLES = {
     "ledger_continuity_fee": f"""WITH {LEDGER_SQL}, f AS (
           SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 100 ELSE 0 END AS fee, balance_c - CAST(sum(CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 8 <> 0 THEN 100 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b FROM ledger
         ) SELECT doc_id, row_idx, expected_c, CASE WHEN expected_c IS NULL THEN NULL ELSE abs(expected_c - b) <= 1 END AS continuous FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY row_idx) + amount_c - fee AS expected_c FROM f)""",
+    "ledger_check": f"""WITH {LEDGER_SQL}, f AS (
+          SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 100 ELSE 0 END AS fee, balance_c - CAST(sum(CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 8 <> 0 THEN 100 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b FROM ledger
+        ), e AS (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY row_idx) + amount_c - fee AS expected_c FROM f), w AS (
+          SELECT doc_id, coalesce(string_agg('Balance mismatch on ' || strftime(day, '%d/%m/%Y') || ': expected ' || CAST(CAST(expected_c AS DECIMAL(20,2)) / 100 AS DECIMAL(20,2)) || ', got ' || CAST(CAST(b AS DECIMAL(20,2)) / 100 AS DECIMAL(20,2)), chr(10) ORDER BY row_idx) FILTER (WHERE abs(expected_c - b) > 1), '') AS warnings FROM e GROUP BY doc_id
+        ) SELECT c_custkey AS doc_id, warnings = '' AS valid, warnings, CASE WHEN warnings IS NULL THEN 'LEDGER_EMPTY' END AS error_code FROM customer LEFT JOIN w ON doc_id = c_custkey""",
+    "section_rows": f"""WITH {LEDGER_SQL} SELECT doc_id, row_idx, strftime(day, '%d/%m/%Y') || ' Order no ' || o_orderkey AS text FROM ledger WHERE doc_id % 5 <> 0
+        UNION ALL SELECT DISTINCT doc_id, -1, 'TRANSACTION_SECTION_EMPTY' FROM ledger WHERE doc_id % 5 = 0""",
     "normalise_rows": f"""WITH {LEDGER_SQL}, t AS (SELECT *, o_orderkey % 5 AS k, strftime(day, '%d/%m/%Y') AS p FROM ledger)
         SELECT doc_id, row_idx, CASE WHEN o_orderkey % 2 = 0 THEN p WHEN k = 2 THEN strftime(day, '%d/%m/') || CAST(CASE WHEN year(day) BETWEEN 2009 AND 2012 THEN year(day) ELSE 2010 END AS VARCHAR) END AS date,
           CASE k WHEN 1 THEN 'Credit transfer' WHEN 2 THEN 'Cash ' || strftime(day, '%d%m%y') ELSE 'Debit credit' END AS description, CASE WHEN k = 1 THEN abs(amount_c) ELSE amount_c END AS amount_c FROM t WHERE k <> 0""",

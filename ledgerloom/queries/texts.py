@@ -53,6 +53,12 @@ def file_dispatch(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", K.file_kind(path).alias("kind"), K.convert_kind(path).alias("converter"))
 
 
+def convert_guards(spark, d) -> DataFrame:
+    k = F.col("page_id")
+    path = F.when(k % 7 != 0, F.concat("url", F.element_at(F.array(*map(F.lit, (".PDF", ".txt", ".xlsx", ".xls", ""))), (k % 5 + 1).cast("int"))))
+    return table(spark, d, "pages").select("page_id", K.convert_error(path, k % 3).alias("error_code"))
+
+
 def money_parse(spark, d) -> DataFrame:
     """Prices rendered in six formats and read again."""
     c = F.floor("l_extendedprice").cast("long")
@@ -136,7 +142,7 @@ def header_only_meta(spark, d) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    classify_document, signal_votes, dispatch_bank, registry_lookup, bank_name_map, request_guards, file_dispatch, money_parse, date_disambiguate, date_validity, year_resolve, text_normalise, reference_split,
+    classify_document, signal_votes, dispatch_bank, registry_lookup, bank_name_map, request_guards, file_dispatch, convert_guards, money_parse, date_disambiguate, date_validity, year_resolve, text_normalise, reference_split,
     token_digest, payload_hash, payload_parse, meta_first_match, header_only_meta,
 )}
 
@@ -168,6 +174,7 @@ ORACLES = {
     "request_guards": f"WITH {_PLANTED_SQL}, {_BANKS} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'NO_FILES' WHEN bank IN ('UNSUPPORTED_BANK', 'UNKNOWN_BANK') THEN bank WHEN doc_id % 3 = 0 THEN 'NO_TRANSACTIONS' END AS error_code FROM banks",
     "file_dispatch": """SELECT page_id, CASE WHEN page_id % 5 = 0 OR lower(url) LIKE '%.pdf' AND page_id % 5 = 4 THEN 'pdf' WHEN page_id % 5 = 1 OR lower(url) LIKE '%.txt' AND page_id % 5 = 4 THEN 'text' ELSE 'unknown' END AS kind,
         CASE WHEN page_id % 5 = 0 OR lower(url) LIKE '%.pdf' AND page_id % 5 = 4 THEN 'pdf' WHEN page_id % 5 IN (2, 3) OR (lower(url) LIKE '%.xls' OR lower(url) LIKE '%.xlsx') AND page_id % 5 = 4 THEN 'excel' END AS converter FROM pages""",
+    "convert_guards": """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'NO_FILE' WHEN page_id % 5 = 1 OR page_id % 5 = 4 AND NOT (lower(url) LIKE '%.pdf' OR lower(url) LIKE '%.xls' OR lower(url) LIKE '%.xlsx') THEN 'UNSUPPORTED_FILE_TYPE' WHEN page_id % 3 = 0 THEN 'NO_TRANSACTIONS' END AS error_code FROM pages""",
     "money_parse": """WITH t AS (SELECT l_orderkey, CAST(floor(l_extendedprice) AS BIGINT) AS c FROM lineitem)
         SELECT l_orderkey, CAST(sum(c) AS BIGINT) AS cents, CAST(-sum(c) AS BIGINT) AS "either", CAST(-sum(c) AS BIGINT) AS leading, CAST(sum(c) AS BIGINT) AS rand, CAST(-sum(c) AS BIGINT) AS trailing, CAST(-sum(c) AS BIGINT) AS strict, CAST(-sum(c) AS BIGINT) AS loose,
           CAST(sum(c) AS BIGINT) AS second_last, CAST(sum(c) AS BIGINT) AS repaired, max(CAST(CAST(c AS DECIMAL(20,2)) / 100 AS DECIMAL(20,2))::VARCHAR) AS normal FROM t GROUP BY l_orderkey""",

@@ -32,12 +32,19 @@ def issue_rows(spark, d) -> DataFrame:
     return found.select("doc_id", F.coalesce("row_idx", F.lit(-1)).alias("row_idx"), "severity", "issue_type")
 
 
+def issue_messages(spark, d) -> DataFrame:
+    """What each issue says, and some of the values that it is about."""
+    found = V.issues(*spoilt(spark, d))
+    about = [F.col("metadata")[c].alias(c) for c in ("amount_c", "previous_balance_c", "expected_delta_c", "period_end", "opening_c", "expected_first_balance_c", "last_balance_c")]
+    return found.select("doc_id", F.coalesce("row_idx", F.lit(-1)).alias("row_idx"), "issue_type", "message", *about)
+
+
 def issue_summary(spark, d) -> DataFrame:
     heads, rows = spoilt(spark, d)
     return V.summary(heads, V.issues(heads, rows))
 
 
-QUERIES = {f.__name__: f for f in (issue_rows, issue_summary)}
+QUERIES = {f.__name__: f for f in (issue_rows, issue_messages, issue_summary)}
 
 _ISSUES = f"""{LEDGER_SQL}, rows_ AS (
   SELECT doc_id, row_idx, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(day AS VARCHAR) END AS date,
@@ -69,6 +76,12 @@ _ISSUES = f"""{LEDGER_SQL}, rows_ AS (
 
 ORACLES = {
     "issue_rows": f"WITH {_ISSUES} SELECT doc_id, CAST(row_idx AS BIGINT) AS row_idx, severity, issue_type FROM found",
+    "issue_messages": f"""WITH {_ISSUES}, says(issue_type, message) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in V.MESSAGES.items())}), k AS (
+          SELECT *, issue_type LIKE '%ing_balance_mismatch' AS edge, issue_type = 'balance_continuity_mismatch' AS apart, issue_type = 'opening_balance_mismatch' AS opens FROM found
+        ) SELECT k.doc_id, CAST(k.row_idx AS BIGINT) AS row_idx, issue_type, message, CASE WHEN NOT edge THEN CAST(a AS VARCHAR) END AS amount_c, CASE WHEN apart THEN CAST(b - m AS VARCHAR) END AS previous_balance_c, CASE WHEN apart THEN CAST(m AS VARCHAR) END AS expected_delta_c,
+          CASE WHEN issue_type = 'missing_statement_period' THEN 'b' END AS period_end, CASE WHEN opens OR issue_type = 'opening_balance_precision_issue' THEN CAST(o AS VARCHAR) END AS opening_c,
+          CASE WHEN opens THEN CAST(o + a AS VARCHAR) END AS expected_first_balance_c, CASE WHEN issue_type = 'closing_balance_mismatch' THEN CAST(b AS VARCHAR) END AS last_balance_c
+        FROM k JOIN says USING (issue_type) LEFT JOIN moves mv ON mv.doc_id = k.doc_id AND mv.row_idx = k.row_idx LEFT JOIN heads h ON h.doc_id = k.doc_id""",
     "issue_summary": f"""WITH {_ISSUES}, n AS (SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w, bool_or(issue_type = 'no_transactions') AS none_ FROM found GROUP BY doc_id)
         SELECT h.doc_id, coalesce(e, 0) AS n_errors, coalesce(w, 0) AS n_warnings, CASE WHEN e > 0 THEN 'failed' WHEN w > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS status,
           CASE WHEN none_ THEN 0.0 ELSE greatest(0, 100 - 35 * coalesce(e, 0) - 5 * coalesce(w, 0)) / CAST(100 AS DOUBLE) END AS score FROM heads h LEFT JOIN n USING (doc_id)""",

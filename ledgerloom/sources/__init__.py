@@ -12,22 +12,23 @@ from pyspark.sql import functions as F
 from ..functions.references import form_fields
 from ..operators.classify import file_kind
 
+PDF = "struct<text:string,pages:int,info:map<string,string>>"
 TRANSACTION = "array<struct<date:string,description:string,amount:double,balance:double>>"
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """doc_id, source_file, kind, pages, text, error_code from path and content (as of the binaryFile source).
+    """doc_id, source_file, kind, pages, info, text, error_code from path and content (as of the binaryFile source), and mime if it is there.
 
-    Texts and files of unknown kinds are read as UTF-8. PDF needs the pypdf library where the executors run; without
+    A text is one page; a PDF has its count of pages and its information fields; other files have neither. Texts and
+    files of unknown kinds are read as UTF-8. PDF needs the pypdf library where the executors run; without
     it such files have an error code and no text.
     """
-    kind = file_kind(F.col("path"))
+    kind = file_kind(F.col("path"), F.col("mime") if "mime" in files.columns else None)
     has_pdf = importlib.util.find_spec("pypdf") is not None
-    text = F.when(kind != "pdf", F.decode("content", "UTF-8"))
-    if has_pdf:
-        text = F.coalesce(text, _pdf_text(F.when(kind == "pdf", F.col("content"))))
-    error = F.when(F.col("content").isNull(), "NO_FILE_BUFFER").when((kind == "pdf") & F.lit(not has_pdf), "PDF_LIBRARY_MISSING")
-    return files.select(F.xxhash64("path", "content").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("source_file"), kind.alias("kind"), F.when(kind == "text", 1).alias("pages"), text.alias("text"), error.alias("error_code"))
+    files = files.withColumn("pdf", F.pandas_udf(_pages, PDF)(F.when(kind == "pdf", F.col("content"))) if has_pdf else F.lit(None).cast(PDF))
+    text = F.coalesce(F.when(kind != "pdf", F.decode("content", "UTF-8")), F.col("pdf.text"))
+    error = F.when(F.col("content").isNull(), "NO_FILE_BUFFER").when((kind == "pdf") & F.lit(not has_pdf), "PDF_LIBRARY_MISSING").when((kind == "pdf") & F.col("pdf.text").isNull(), "PARSER_ERROR")
+    return files.select(F.xxhash64("path", "content").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("source_file"), kind.alias("kind"), F.when(kind == "text", 1).otherwise(F.col("pdf.pages")).alias("pages"), F.col("pdf.info").alias("info"), text.alias("text"), error.alias("error_code"))
 
 
 def read_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -35,16 +36,24 @@ def read_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return decoded(spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths))
 
 
-def _pdf_text(c: Column) -> Column:
-    return F.pandas_udf(_pages, "string")(c)
-
-
-def _pages(parts: pd.Series) -> pd.Series:  # pragma: no cover - needs pypdf
+def _pages(parts: pd.Series) -> pd.DataFrame:
+    """PDF's fields of each file; nothing for null and for files that can't be read."""
     import io
 
     from pypdf import PdfReader
 
-    return pd.Series([None if b is None else "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(b)).pages) for b in parts])
+    out = []
+    for b in parts:
+        found = {"text": None, "pages": None, "info": None}
+        if b is not None:
+            try:
+                reader = PdfReader(io.BytesIO(b))
+                info = {str(k).lstrip("/"): str(v) for k, v in (reader.metadata or {}).items()}
+                found = {"text": "\n".join(p.extract_text() or "" for p in reader.pages), "pages": len(reader.pages), "info": info}
+            except Exception:  # noqa: BLE001 - a damaged file may raise anything, and must stop no other
+                pass
+        out.append(found)
+    return pd.DataFrame(out, columns=["text", "pages", "info"]).astype({"pages": "Int32"})
 
 
 def union_sources(**sources: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Operators and plans on small texts, with their edge cases."""
 
 import datetime
+import sys
+import types
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerloom import sinks, sources, streaming
@@ -114,3 +117,62 @@ def test_stream_limits(spark, tmp_path):
 def test_plan_effects(spark):
     p = spark.createDataFrame([(1, "PAYG_10", 1, 1), (1, "MONTHLY_25", 2, 2), (1, "PAYG_10", 3, 3), (2, "PRO_YEAR_UNLIMITED", 1, 4)], "user_id long, plan_code string, t long, event_id long").withColumn("ts", F.timestamp_seconds("t"))
     assert rows(entitle.plan_effects(p), "user_id", "plan_code", "credits_remaining") == [(1, "PAYG_10", 35), (2, "PRO_YEAR_UNLIMITED", None)]
+
+
+def test_statements_with_headers(spark, tmp_path):
+    capitec = "Capitec Bank Limited\nUnique Document No.: ab-1\nAccount\n1234567890\nMain Account Statement\nMR A B\n\nTransaction History\n01/02/2025 A 5.00 10.00\n02/02/2025 B 7.00\n* Includes VAT"
+    nedbank = "Nedbank Ltd\nAccount number 1234567890\n01/01/2025 Opening balance R10.00\n02/01/2025 Shop 8.00\n03/01/2025 Closing balance R8.00"
+    d = docs(spark, capitec, nedbank, "Standard Bank of South Africa", "", None).withColumn("source_file", F.concat(F.lit("f"), "doc_id"))
+    routed = layouts.route(d, str(tmp_path / "routed"))
+    for source in (d, routed):
+        found = layouts.parse_statements(source)
+        assert rows(found, "doc_id", "amount_c", "account_number", "source_file") == [(0, -300, "1234567890", "f0"), (0, 500, "1234567890", "f0"), (1, -200, "1234567890", "f1"), (1, 0, "1234567890", "f1")]
+        got = {r.doc_id: r for r in layouts.statements(source, found).collect()}
+        assert (got[0].statement_id, got[0].client_name, got[0].opening_c, got[0].closing_c, got[0].reconciled) == ("ab-1", "MR A B", 500, 700, True)
+        assert (got[1].opening_c, got[1].closing_c, got[1].debits_c, got[1].reconciled) == (1000, 800, 200, True)
+        assert [got[k].error_code for k in range(5)] == [None, None, "UNSUPPORTED_BANK", "UNKNOWN_BANK", "UNKNOWN_BANK"]
+        assert got[3].reconciled is None and got[3].n_transactions == 0
+
+
+def test_errors_on_empty_input(spark):
+    d = docs(spark, "Date Description\n01 Jan Shop\nmore\n2/1 Shop", "Date Description Amount", "")
+    merged = segment.merged_rows(d)
+    assert rows(merged, "doc_id", "text") == [(0, "01 Jan Shop more"), (0, "2/1 Shop")]
+    assert rows(segment.section_errors(d, merged), "doc_id", "error_code") == [(1, "TRANSACTION_SECTION_EMPTY"), (2, "TRANSACTION_SECTION_EMPTY")]
+    t = spark.createDataFrame([(0, 1, "a", None, None, None, 1000), (0, 2, "b", None, 100, 1, 890)], "doc_id long, row_idx long, date string, credit_c long, debit_c long, fee_c long, balance_c long")
+    got = rows(ledger.ledger_check(d, t), "doc_id", "valid", "warnings", "error_code")
+    assert got == [(0, False, ["Balance mismatch on b: expected 8.99, got 8.90"], None), (1, None, None, "LEDGER_EMPTY"), (2, None, None, "LEDGER_EMPTY")]
+    files = spark.createDataFrame([("a.pdf", 1), ("a.xlsx", 0), ("a.doc", 1), (None, 1)], "path string, n int")
+    assert [r[0] for r in files.select(classify.convert_error(F.col("path"), F.col("n"))).collect()] == [None, "NO_TRANSACTIONS", "UNSUPPORTED_FILE_TYPE", "NO_FILE"]
+
+
+def test_files_by_mime_type(spark):
+    files = spark.createDataFrame([("a", "text/csv", bytearray(b"x")), ("b", "application/pdf", None), ("c.txt", None, bytearray(b"y"))], "path string, mime string, content binary")
+    assert rows(sources.decoded(files), "source_file", "kind", "pages", "text", "error_code") == [("a", "text", 1, "x", None), ("b", "pdf", None, None, "NO_FILE_BUFFER"), ("c.txt", "text", 1, "y", None)]
+
+
+def test_pdf_pages(monkeypatch):
+    class Page:
+        def extract_text(self):
+            return "line"
+
+    class Reader:
+        def __init__(self, stream):
+            if stream.read() == b"bad":
+                raise ValueError("damaged")
+            self.pages, self.metadata = [Page(), Page()], {"/Title": "T"}
+
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=Reader))
+    got = sources._pages(pd.Series([b"good", b"bad", None]))
+    assert got["text"].tolist() == ["line\nline", None, None] and got["info"].tolist() == [{"Title": "T"}, None, None]
+    assert got["pages"].isna().tolist() == [False, True, True] and got["pages"][0] == 2
+
+
+def test_issue_messages(spark):
+    heads = spark.createDataFrame([(1, "1", "x", None, "b", 100, 5)], "doc_id long, account_number string, client_name string, period_start string, period_end string, opening_c long, closing_c long")
+    t = spark.createDataFrame([(1, 1, "d", "x", 10, 110), (1, 2, "d", "x", 10, 140)], "doc_id long, row_idx long, date string, description string, amount_c long, balance_c long")
+    got = {r.issue_type: r for r in validate.issues(heads, t).collect()}
+    assert set(got) == {"missing_statement_period", "balance_continuity_mismatch", "closing_balance_mismatch"}
+    assert got["balance_continuity_mismatch"].metadata == {"date": "d", "description": "x", "amount_c": "10", "balance_c": "140", "previous_balance_c": "110", "expected_delta_c": "30"}
+    assert got["closing_balance_mismatch"].metadata == {"closing_c": "5", "last_balance_c": "140"} and got["missing_statement_period"].metadata == {"period_end": "b"}
+    assert got["missing_statement_period"].message == "Statement period could not be extracted fully."
