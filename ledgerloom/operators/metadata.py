@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money
-from ..functions.text import blank_to_null, first_match, squeeze
+from ..functions.text import bind, blank_to_null, first_match, squeeze
 
 _I = "(?i)"
 # Header patterns, in order of precedence.
@@ -77,17 +77,17 @@ STANDARD_CLIENT = r"(?i)(mr\.[ \t]+[a-z \t]+)"
 def account_number(text: Column) -> Column:
     """Digits of the first pattern that gives ten or more."""
     tries = [F.regexp_replace(F.regexp_extract(text, _I + p, 1), r"\D", "") for p in ACCOUNT_PATTERNS]
-    return F.coalesce(*(F.when(F.length(t) >= 10, t) for t in tries))
+    return F.coalesce(*(bind(t, lambda x: F.when(F.length(x) >= 10, x)) for t in tries))
 
 
 def client_name(text: Column) -> Column:
     tries = [squeeze(F.regexp_extract(text, _I + p, 1)) for p in CLIENT_PATTERNS]
-    return F.coalesce(*(F.when((t != "") & ~t.rlike(NOT_A_CLIENT), t) for t in tries))
+    return F.coalesce(*(bind(t, lambda x: F.when((x != "") & ~x.rlike(NOT_A_CLIENT), x)) for t in tries))
 
 
 def _labelled(text: Column, labels: tuple[str, ...], read) -> Column:
     """The amount after the first label that has one (an R may stand between)."""
-    return F.coalesce(*(read(blank_to_null(F.trim(F.regexp_extract(text, _I + p + r"[:\s]*R?\s*((?:[0-9][0-9,. ]*)-?)", 1)))) for p in labels))
+    return F.coalesce(*(bind(F.trim(F.regexp_extract(text, _I + p + r"[:\s]*R?\s*((?:[0-9][0-9,. ]*)-?)", 1)), lambda x: read(blank_to_null(x))) for p in labels))
 
 
 def opening_balance(text: Column) -> Column:
@@ -109,7 +109,7 @@ def mended_closing(text: Column) -> Column:
 
 def period(text: Column) -> Column:
     """start, end of the statement period, as printed."""
-    edge = lambda k: F.coalesce(*(blank_to_null(squeeze(F.regexp_extract(text, _I + p, k))) for p in PERIOD_PATTERNS))
+    edge = lambda k: F.coalesce(*(bind(squeeze(F.regexp_extract(text, _I + p, k)), blank_to_null) for p in PERIOD_PATTERNS))
     return F.struct(edge(1).alias("start"), edge(2).alias("end"))
 
 
