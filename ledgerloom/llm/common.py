@@ -180,13 +180,15 @@ class ChunkEncoder:
     Two generations of at most `most` chunks are kept, so frequent chunks stay while rare ones are forgotten.
     """
 
-    def __init__(self, tokenizer: str, most: int = 300_000):
+    def __init__(self, tokenizer: str, most: int = 300_000, plain: bool = False):
+        """plain: strings of special tokens inside texts are plain text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(tokenizer))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.most = most
@@ -274,14 +276,14 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(tokenizer: str) -> ChunkEncoder:
+def encoder(tokenizer: str, plain: bool = False) -> ChunkEncoder:
     """One encoder per worker process."""
-    if tokenizer not in _ENCODERS:
-        _ENCODERS[tokenizer] = ChunkEncoder(tokenizer)
-    return _ENCODERS[tokenizer]
+    if (tokenizer, plain) not in _ENCODERS:
+        _ENCODERS[tokenizer, plain] = ChunkEncoder(tokenizer, plain=plain)
+    return _ENCODERS[tokenizer, plain]
 
 
 def slices(batch, most_bytes: int = 2_000_000, column: str = "text"):

@@ -16,6 +16,9 @@ MODULES = {
     "op8_packing": "packing",
     "op9_sharding": "sharding",
     "op10_substring_dedup": "substrings",
+    "op11_clustering": "clustering",
+    "op12_line_dedup": "lines",
+    "op13_alignment": "alignment",
 }
 
 

@@ -15,6 +15,7 @@ COLUMNS = {
     "op6_quality": "doc_id held_out score predicted",
     "op7_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op13_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
