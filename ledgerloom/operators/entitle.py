@@ -111,17 +111,36 @@ def deduction(plan: Column, credits: Column, used: Column, cycle_over: Column, l
 def deductions(uses: DataFrame, users: DataFrame) -> DataFrame:
     """user_id, n_ok, n_refused, credits, used after all uses of each user, in order. uses: user_id, ts, event_id, cycle_over, live.
 
-    A fold over each user's own uses, as each depends on what the last one left.
+    As deduction() says for each use, but told by counts, so that a user of very many uses is many tasks': each day of a
+    user is cut where a month is over; the first piece takes what credits there are, each later one up to 25 anew. A day
+    is then one row, and a user's days are gone through in order.
     """
-    packed = uses.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "cycle_over", "live"))).alias("uses")).join(users.select("user_id", "plan_code", "credits_remaining", "lifetime_parses_used"), "user_id")
-    start = F.struct(zero("credits_remaining").cast("int").alias("credits"), zero("lifetime_parses_used").cast("int").alias("used"), F.lit(0).alias("n_ok"), F.lit(0).alias("n_refused"))
-
-    def step(acc: Column, use: Column) -> Column:
-        d = deduction(F.col("plan_code"), acc["credits"], acc["used"], use["cycle_over"], use["live"])
-        ok = (d["outcome"] == "OK").cast("int")
-        return F.struct(d["credits"].alias("credits"), d["used"].alias("used"), (acc["n_ok"] + ok).alias("n_ok"), (acc["n_refused"] + 1 - ok).alias("n_refused"))
-
-    return packed.select("user_id", F.aggregate("uses", start, step).alias("r")).select("user_id", "r.*")
+    day = F.to_date("ts")
+    piece = F.sum(F.col("cycle_over").cast("int")).over(Window.partitionBy("user_id", "day").orderBy("ts", "event_id"))
+    pieces = uses.withColumn("day", day).withColumn("piece", piece).groupBy("user_id", "day", "piece").agg(F.count("*").alias("n"), F.count_if(F.coalesce("live", F.lit(False))).alias("live"))
+    later = F.col("piece") > 0
+    days = pieces.groupBy("user_id", "day").agg(
+        F.sum("n").alias("n"), F.sum("live").alias("live"), F.coalesce(F.sum(F.when(~later, F.col("n"))), F.lit(0)).alias("first"),
+        F.max_by(F.when(later, F.col("n")), F.when(later, F.col("piece"))).alias("last"), F.coalesce(F.sum(F.when(later, F.least(F.lit(25), F.col("n")))), F.lit(0)).alias("renewed"),
+    )
+    packed = days.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("day", "n", "live", "first", "last", "renewed"))).alias("days")).join(users.select("user_id", "plan_code", "credits_remaining", "lifetime_parses_used"), "user_id")
+    plan = F.col("plan_code")
+    start = F.struct(*(c.cast("long").alias(n) for n, c in (("credits", zero("credits_remaining")), ("used", zero("lifetime_parses_used")), ("n_ok", F.lit(0)), ("n", F.lit(0)))))
+
+    def step(acc: Column, d: Column) -> Column:
+        nothing = F.lit(0).cast("long")
+        left = F.greatest(acc["credits"], nothing)
+        monthly = F.least(left, d["first"])
+        ok = (
+            F.when(plan == "FREE", F.least(F.greatest(FREE_LIMIT - acc["used"], nothing), d["n"])).when(plan == "PAYG_10", F.least(left, d["n"]))
+            .when(plan == "MONTHLY_25", monthly + d["renewed"]).when(plan == "PRO_YEAR_UNLIMITED", d["live"]).otherwise(nothing)
+        )
+        credits = F.when(plan == "PAYG_10", acc["credits"] - ok).when(plan == "MONTHLY_25", F.when(d["last"].isNotNull(), 25 - F.least(F.lit(25), d["last"])).otherwise(acc["credits"] - monthly)).otherwise(acc["credits"])
+        used = F.when(plan == "FREE", acc["used"] + ok).otherwise(acc["used"])
+        return F.struct(credits.cast("long").alias("credits"), used.cast("long").alias("used"), (acc["n_ok"] + ok).cast("long").alias("n_ok"), (acc["n"] + d["n"]).alias("n"))
+
+    r = packed.select("user_id", F.aggregate("days", start, step).alias("r"))
+    return r.select("user_id", *(c.cast("int").alias(n) for n, c in (("credits", F.col("r.credits")), ("used", F.col("r.used")), ("n_ok", F.col("r.n_ok")), ("n_refused", F.col("r.n") - F.col("r.n_ok")))))
 
 
 def usage_log(events: DataFrame, users: DataFrame, action: str) -> DataFrame:

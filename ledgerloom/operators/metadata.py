@@ -152,7 +152,7 @@ def fnb_fields(t: Column) -> dict[str, Column]:
         "account_number": first_match(t, FNB_ACCOUNT), "client_name": F.trim(first_match(t, FNB_CLIENT)), "statement_id": first_match(t, (FNB_ID,)), "statement_date": F.trim(first_match(t, (FNB_DATE,))),
         "period_start": F.trim(first_match(t, (FNB_PERIOD,), 1)), "period_end": F.trim(first_match(t, (FNB_PERIOD,), 2)),
         "opening_c": _crdr(t, "Opening Balance"), "closing_c": _crdr(t, "Closing Balance"), "total_vat_c": F.when(F.lower(F.regexp_extract(t, FNB_VAT, 2)) == "cr", vat_c).otherwise(-vat_c),
-        "year": first_match(t, (FNB_YEAR,)).cast("int"),
+        "year": fnb_year(t),
     }
 
 
@@ -188,18 +188,30 @@ HEADER = {
 }
 
 
-def bank_headers(docs: DataFrame, bank: str, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, bank, the columns named in keep and HEADER's fields by the rules of each document's own bank; null where that bank prints none. One narrow step."""
-    own = {name: fields(F.col("text")) for name, fields in BANK_FIELDS.items()}
+def header_fields(bank: str, names: Sequence[str] | None = None, text: str = "text") -> dict[str, Column]:
+    """HEADER's fields by the rules of each document's own bank (one of names; all by default); null where that bank prints none."""
+    names = tuple(names or BANK_FIELDS)
+    own = {name: BANK_FIELDS[name](F.col(text)) for name in names}
 
     def field(name: str, kind: str) -> Column:
+        if len(names) == 1:
+            return own[names[0]].get(name, F.lit(None).cast(kind))
         out = F.lit(None).cast(kind)
         for b, fields in own.items():
             if name in fields:
                 out = F.when(F.col(bank) == b, fields[name]).otherwise(out)
-        return out.alias(name)
+        return out
+
+    return {name: field(name, kind) for name, kind in HEADER.items()}
+
 
-    return docs.select("doc_id", bank, *keep, *(field(*f) for f in HEADER.items()))
+def fnb_year(text: Column) -> Column:
+    return first_match(text, (FNB_YEAR,)).cast("int")
+
+
+def bank_headers(docs: DataFrame, bank: str, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, bank, the columns named in keep and header_fields. One narrow step."""
+    return docs.select("doc_id", bank, *keep, *(c.alias(name) for name, c in header_fields(bank).items()))
 
 
 def _header(docs: DataFrame, bank: str, fields: dict[str, Column]) -> DataFrame:

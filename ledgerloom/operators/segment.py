@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import AMOUNT
-from ..functions.text import blank_to_null
+from ..functions.text import bind, blank_to_null
 
 def by_line():
     return Window.partitionBy("doc_id").orderBy("line_no")
@@ -46,18 +45,40 @@ def until_any(text: Column, patterns: list[str]) -> Column:
     return F.regexp_replace(text, "(?is)(?:" + "|".join(patterns) + r").*\z", "")
 
 
-def dated_chunks(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, row_idx, text, and the columns named in keep: the text cut before each d/mm/yyyy, letters and digits parted, white space squeezed."""
-    text = F.regexp_replace(F.translate("text", "\r •·", "\n   "), r"([A-Za-z])(\d)", r"$1 $2")
+def led_parts(text: Column, starts: str) -> Column:
+    """array<string>: the text's lines (trimmed, empty ones left out) cut before each that matches `starts` (a pattern from ^ on); what stands before the first is left out."""
+    # A run of blanks is looked at from its first one only, so that long runs take linear time.
+    tidy = F.btrim(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "(?<! ) *(?:\n *)+", "\n"), F.lit(" \n"))
+    return F.filter(F.split(tidy, rf"\n(?={starts.removeprefix('^')})"), lambda part: part.rlike(starts))
+
+
+def dated_parts(text: Column) -> Column:
+    """array<string>: the text cut before each d/mm/yyyy, letters and digits parted, white space squeezed."""
+    text = F.regexp_replace(F.translate(text, "\r •·", "\n   "), r"([A-Za-z])(\d)", r"$1 $2")
     text = F.regexp_replace(F.regexp_replace(text, r"(\d)([A-Za-z])", r"$1 $2"), r"(\.\d{2})(\d)", r"$1 $2")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return docs.select("doc_id", *keep, F.posexplode(F.split(text, r"(?=\b\d{1,2}/\d{2}/\d{4}\b)")).alias("row_idx", "text")).where(F.col("text").rlike(r"^\d{1,2}/\d{2}/\d{4}\b"))
+    return F.filter(F.split(text, r"(?=\b\d{1,2}/\d{2}/\d{4}\b)"), lambda part: part.rlike(r"^\d{1,2}/\d{2}/\d{4}\b"))
 
 
 #: An amount and the balance after it, each perhaps with Cr or Dr.
 PAIR = rf"({AMOUNT})\s*(?:(?i)(Cr|Dr))?\s+({AMOUNT})\s*(?:(?i)(Cr|Dr))?"
 
 
+_BEFORE_PAIR = "(?s)(.*?)" + PAIR
+
+
+def pair_parts(text: Column) -> Column:
+    """array<string>: the text cut behind each pair of amounts; what stands behind the last is left out."""
+    return F.regexp_extract_all(text, F.lit(_BEFORE_PAIR), F.lit(0))
+
+
+def pair_fields(part: Column, reach: int = 300) -> dict[str, Column]:
+    """before (at most `reach` characters), amount, amount_side, balance, balance_side of one of pair_parts."""
+    names = ("before", "amount", "amount_side", "balance", "balance_side")
+    out = {n: F.regexp_extract(part, _BEFORE_PAIR, k + 1) for k, n in enumerate(names)}
+    return out | {"before": F.trim(F.right(out["before"], F.lit(reach))), "amount_side": blank_to_null(out["amount_side"]), "balance_side": blank_to_null(out["balance_side"])}
+
+
 def amount_balance_pairs(docs: DataFrame, text_col: str = "text", reach: int = 300, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, row_idx, before, amount, balance, amount_side, balance_side, and the columns named in keep: each pair of amounts with at most `reach` characters before it."""
     text = F.col(text_col)
@@ -73,7 +94,7 @@ def with_wrapped_line(rows: DataFrame, dated: Column, taken: Column) -> DataFram
 
 
 def csv_cells(text: str) -> list[list[str]]:
-    """Cells of comma-separated text. Quotes may open anywhere in a cell; inside them "" is a quote and line ends are text."""
+    """What lex_csv gives, sign by sign: for texts outside Spark and for tests."""
     rows: list[list[str]] = []
     row: list[str] = []
     cell: list[str] = []
@@ -99,29 +120,72 @@ def csv_cells(text: str) -> list[list[str]]:
     return rows
 
 
-def _lexed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in parts:
-        yield texts.map(lambda t: csv_cells((t or "").replace("\r", "")))
+# Separators of records and of cells once quotes are gone, and what stands for those signs where a text has them itself.
+_RECORD, _CELL, _ESCAPE = "\x1e", "\x1f", "\x1b"
+_HIDDEN = ((_ESCAPE, _ESCAPE + "0"), (_RECORD, _ESCAPE + "1"), (_CELL, _ESCAPE + "2"))
+
+
+def _restored(cell: Column) -> Column:
+    out = cell
+    for sign, hidden in reversed(_HIDDEN):
+        out = F.replace(out, F.lit(hidden), F.lit(sign))
+    return F.when(cell.contains(_ESCAPE), out).otherwise(cell)
+
+
+def record_parts(text: Column) -> Column:
+    """array<string>: the records of comma-separated text, cells parted by a sign (see record_cells).
+
+    Cut at quotes, pieces are in turn outside and inside quotes, as each quote changes sides. A quote inside quotes is
+    printed twice: it leaves an empty piece outside, between two inside, which becomes that quote. Commas and line ends
+    of pieces outside are separators. JVM only, in time linear in the text.
+    """
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(""))
+    for sign, hidden in _HIDDEN:
+        plain = F.replace(plain, F.lit(sign), F.lit(hidden))
+
+    def marked(pieces: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            between = (p == "") & (i > 0) & (i < F.size(pieces) - 1)
+            return F.when(i % 2 == 1, p).when(between, '"').otherwise(F.replace(F.replace(p, F.lit(","), F.lit(_CELL)), F.lit("\n"), F.lit(_RECORD)))
+
+        return F.array_join(F.transform(pieces, piece), "")
+
+    records = F.split(bind(F.split(plain, '"'), marked), _RECORD)
+    # After the last line end there is no record unless something is there.
+    return bind(records, lambda r: F.when(F.element_at(r, -1) == "", F.slice(r, 1, F.size(r) - 1)).otherwise(r))
+
+
+def record_cells(record: Column) -> Column:
+    """array<string>: the cells of one of record_parts."""
+    return F.transform(F.split(record, _CELL), _restored)
 
 
 def lex_csv(c: Column | str) -> Column:
-    """Comma-separated text as rows of cells. Spark's own reader takes files, not columns, so this is an Arrow function."""
-    return F.pandas_udf(_lexed, "array<array<string>>")(c)
+    """Comma-separated text as rows of cells. Quotes may open anywhere in a cell; inside them "" is a quote and line ends are text."""
+    return F.transform(record_parts(F.col(c) if isinstance(c, str) else c), record_cells)
+
+
+def record_rows(record: Column) -> Column:
+    """array<string>: cells of several lines as parallel rows, each row's cells joined by blanks; empty rows left out. A date's month may stand first."""
+    months = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+    cells = bind(record_cells(record), lambda c: F.concat(F.array(F.regexp_replace(F.get(c, 0), rf"(?i){months}\s+(20\d{{2}})\s+(\d{{1,2}})", "$3 $1 $2")), F.slice(c, 2, F.size(c))))
+    parts = F.transform(cells, lambda c: F.transform(F.split(c, "\n"), lambda x: F.trim(x)))
+
+    def rows(parts: Column) -> Column:
+        deepest = F.array_max(F.transform(parts, lambda p: F.size(p)))
+        row = lambda k: F.transform(parts, lambda p: F.coalesce(F.get(p, k), F.lit("")))
+        return F.filter(F.transform(F.sequence(F.lit(0), deepest - 1), lambda k: F.trim(F.array_join(row(k), " "))), lambda x: x != "")
+
+    return bind(parts, rows)
 
 
 def unzipped_cells(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, row_idx, text, and the columns named in keep: cells of several lines as parallel rows, each row's cells joined by blanks; empty rows left out.
+    """doc_id, row_idx, text, and the columns named in keep: record_rows of all records.
 
     row_idx orders the rows: the record's number, then the line's inside it (31 bits).
     """
-    cells = docs.select("doc_id", *keep, F.posexplode(lex_csv("text")).alias("record", "cells"))
-    months = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-    turned = F.regexp_replace(F.get("cells", 0), rf"(?i){months}\s+(20\d{{2}})\s+(\d{{1,2}})", "$3 $1 $2")
-    cells = cells.withColumn("cells", F.when(F.size("cells") > 0, F.concat(F.array(turned), F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))))).otherwise(F.col("cells")))
-    cells = cells.withColumn("parts", F.transform("cells", lambda c: F.transform(F.split(c, "\n"), lambda x: F.trim(x))))
-    deepest = F.array_max(F.transform("parts", lambda p: F.size(p)))
-    rows = cells.where(F.size("parts") > 0).withColumn("k", F.explode(F.sequence(F.lit(0), deepest - 1))).withColumn("row", F.transform("parts", lambda p: F.coalesce(F.get(p, F.col("k")), F.lit(""))))
-    rows = rows.where(F.exists("row", lambda c: c != "")).withColumn("text", F.trim(F.array_join("row", " ")))
+    records = docs.select("doc_id", *keep, F.posexplode(record_parts(F.col("text"))).alias("record", "text"))
+    rows = records.select("doc_id", *keep, "record", F.posexplode(record_rows(F.col("text"))).alias("k", "text"))
     return rows.select("doc_id", *keep, (F.shiftleft(F.col("record").cast("long"), 31) + F.col("k")).alias("row_idx"), "text")
 
 

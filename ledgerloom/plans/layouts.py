@@ -7,18 +7,36 @@ period or a parameter, never from the clock.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money
-from ..functions.text import clean, contains_any, replace_first, squeeze, title_case
+from ..functions.text import bind, clean, contains_any, replace_first, squeeze, title_case
 from ..operators import classify as K
 from ..operators import ledger as L
 from ..operators import metadata as M
 from ..operators import segment as S
 
 COLUMNS = ("doc_id", "row_idx", "date", "description", "amount_c", "balance_c")
+# How rows are led, where a section lies, what a description is not.
 DATED = r"^\d{2}/\d{2}/\d{4}"
+CAPITEC_SECTION = ("Transaction History", "* Includes VAT")
+ABSA_DATE = r"^(\d{1,2})/(\d{2})/(\d{4})"
+ABSA_AMOUNT = r"-?(?:\d{1,3}(?: \d{3})+|\d+)[.,]\d{2}-?"
+ABSA_FORWARD = r"(?i)bal(?:ance)?\s+brought\s+forward"
+ABSA_WORDS = ((r"(?i)\bProof Of Pmt\b", "Proof Of Pmt"), (r"(?i)\bImdte\b", "Imdte"), (r"(?i)\bNotific\b", "Notific"))
+FNB_BLOCK = r"(?is)(Transactions in RAND.*?Closing Balance)"
+FNB_FURNITURE = ((r"(?i)Page \d+ of \d+", " "), (r"(?is)Branch Number.*?FN", " "), (r"(?is)Delivery Method.*?AA", " "), (r"(?i)Transactions in RAND", " "))
+FNB_DATE = r"(?i)(\d{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+NEDBANK_OTHER_LINE = "(?i)Account|Page|Balance"
+NEDBANK_OPENING, NEDBANK_CLOSING = r"(?i)Opening\s*balance", r"(?i)Closing\s*balance"
+DISCOVERY_DATE = r"(?i)^\s*(\d{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+(20\d{2})"
+DISCOVERY_AMOUNT = r"(-?\s?R[\d\s,.]+\.\d{2})"
+_BOILERPLATE = r"(?i)POS Purchase|RPP|Online|EFT|Fee|Interest|Reward|Declined Int Card Purch|Transfer|Details|Amount|Type"
+# End of fixed values.
 
 
 def _without(text: Column, parts: Column) -> Column:
@@ -30,77 +48,209 @@ def _final(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), "date", "description", F.col("amount_c").cast("long").alias("amount_c"), F.col("balance_c").cast("long").alias("balance_c"))
 
 
+def _or_else(words: Column, other: str) -> Column:
+    return F.coalesce(F.nullif(words, F.lit("")), F.lit(other))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a bank's texts become rows, in three narrow steps over columns.
+
+    parts: text to array<string>, a part for each row that may be one. cut: a part (column text) to body, the text that is
+    read, and found, the strings in it that matter. row: columns text, body, found, opening_c and year to those of FIELDS.
+    """
+
+    parts: Callable[[Column], Column]
+    cut: Callable[[Column], tuple[Column, Column]]
+    row: Callable[[], dict[str, Column]]
+
+
+#: What a row has before its ledger is known. keep: whether it is one; opening, closing: a marked line; rejected: without effect.
+FIELDS = {
+    "keep": "boolean", "date": "string", "description": "string", "amount_c": "long", "balance_c": "long", "tokens": "array<bigint>", "opening": "boolean", "closing": "boolean", "rejected": "boolean",
+}
+
+
+def _capitec_cut(text: Column) -> tuple[Column, Column]:
+    body = F.trim(F.replace(F.substr(text, F.lit(11)), F.lit("\n"), F.lit(" ")))
+    return body, money.tokens(body)
+
+
+def _capitec_row() -> dict[str, Column]:
+    found = F.col("found")
+    return {
+        "keep": F.size(found) > 0, "date": F.substring("text", 1, 10), "description": _or_else(squeeze(_without(F.col("body"), found)), "Transaction"),
+        "amount_c": F.when(F.size(found) > 1, money.leading_sign(F.element_at(found, -2))).otherwise(0), "balance_c": money.leading_sign(F.element_at(found, -1)),
+    }
+
+
+def _absa_cut(text: Column) -> tuple[Column, Column]:
+    body = F.trim(K.strip_footer(squeeze(F.regexp_replace(text, ABSA_DATE, ""))))
+    return body, money.tokens(body, ABSA_AMOUNT)
+
+
+def _absa_row() -> dict[str, Column]:
+    body = F.col("body")
+    day = dates.from_parts(*(F.regexp_extract("text", ABSA_DATE, k) for k in (1, 2, 3)))
+    forward = body.rlike(ABSA_FORWARD)
+    words = _or_else(title_case(clean(squeeze(F.regexp_replace(body, ABSA_AMOUNT, " ")), ABSA_WORDS)), "Transaction")
+    return {
+        "keep": day.isNotNull() & (body != ""), "date": dates.printed(day), "description": F.when(forward, "Bal Brought Forward").otherwise(words),
+        "tokens": F.transform("found", money.either_separator), "opening": forward, "rejected": bind(words, K.other_text) & ~forward,
+    }
+
+
+def _fnb_parts(text: Column) -> Column:
+    return S.pair_parts(squeeze(clean(F.regexp_extract(text, FNB_BLOCK, 1), FNB_FURNITURE)))
+
+
+def _fnb_cut(text: Column) -> tuple[Column, Column]:
+    part = S.pair_fields(text)
+    return part["before"], F.array(part["balance"], F.coalesce(part["balance_side"], F.lit("")), F.regexp_extract(part["before"], FNB_DATE, 0))
+
+
+def _fnb_row() -> dict[str, Column]:
+    body, balance, side, date = F.col("body"), F.get("found", F.lit(0)), F.get("found", F.lit(1)), F.get("found", F.lit(2))
+    size = money.plain(balance)
+    day = dates.from_parts(F.regexp_extract(date, FNB_DATE, 1), dates.month_number(F.regexp_extract(date, FNB_DATE, 2)), F.col("year"))
+    return {
+        "keep": (F.length(body) >= 3) & (date != ""), "date": dates.printed(day), "description": _or_else(F.trim(replace_first(body, date)), "Transaction"),
+        "balance_c": F.when(F.lower(side) == "dr", -size).otherwise(size),
+    }
+
+
+def _nedbank_cut(text: Column) -> tuple[Column, Column]:
+    """The dated line with the line after it, and the amounts of the first."""
+    return F.substring_index(text, "\n", 2), money.tokens(F.substring_index(text, "\n", 1))
+
+
+def _nedbank_row() -> dict[str, Column]:
+    found, line = F.col("found"), F.substring_index("body", "\n", 1)
+    wrapped = F.substr("body", F.length(line) + 2)
+    taken = ~wrapped.rlike(money.AMOUNT) & ~wrapped.rlike(NEDBANK_OTHER_LINE)
+    text = clean(_without(F.regexp_replace(line, DATED, ""), found), ((r"[*R,]", ""), (r"^\d{6}", "")))
+    words = F.trim(F.concat_ws(" ", F.trim(text), F.when((wrapped != "") & taken, wrapped)))
+    return {
+        "date": F.substring("text", 1, 10), "description": bind(words, lambda w: F.when(w.rlike(NEDBANK_OPENING), "OPENING BALANCE").otherwise(F.upper(w))),
+        "balance_c": F.when(F.size(found) > 0, money.rand(F.element_at(found, -1))), "opening": words.rlike(NEDBANK_OPENING), "closing": words.rlike(NEDBANK_CLOSING),
+    }
+
+
+def _discovery_cut(text: Column) -> tuple[Column, Column]:
+    return text, F.array(F.when(text.rlike(DISCOVERY_DATE), F.regexp_extract(text, DISCOVERY_AMOUNT, 1)).otherwise(""))
+
+
+def _discovery_row() -> dict[str, Column]:
+    body, amount = F.col("body"), F.get("found", F.lit(0))
+    day = dates.from_parts(F.regexp_extract(body, DISCOVERY_DATE, 1), dates.month_number(F.regexp_extract(body, DISCOVERY_DATE, 2)), F.regexp_extract(body, DISCOVERY_DATE, 3))
+    words = F.upper(squeeze(clean(replace_first(F.regexp_replace(body, DISCOVERY_DATE, ""), amount), ((r"\*\*\*\d{4}", ""), (_BOILERPLATE, ""), (",", " ")))))
+    return {"keep": amount != "", "date": dates.printed(day), "description": _or_else(words, "UNKNOWN"), "amount_c": money.rand(amount)}
+
+
+LAYOUTS = {
+    "ABSA": Layout(S.dated_parts, _absa_cut, _absa_row),
+    "Capitec": Layout(lambda t: S.led_parts(S.between(t, *CAPITEC_SECTION), DATED), _capitec_cut, _capitec_row),
+    "FNB": Layout(_fnb_parts, _fnb_cut, _fnb_row),
+    "Nedbank": Layout(lambda t: S.led_parts(t, DATED), _nedbank_cut, _nedbank_row),
+    "Discovery": Layout(S.record_parts, _discovery_cut, _discovery_row),
+}
+
+
+def _by_bank(names: Sequence[str], of: Callable[[str], Column]) -> Column:
+    """of(name) for the document's bank; without a choice where there is one bank only."""
+    if len(names) == 1:
+        return of(names[0])
+    return F.coalesce(*(F.when(F.col("bank_name") == name, of(name)) for name in names))
+
+
+def tagged_lines(docs: DataFrame, names: Sequence[str] = tuple(LAYOUTS), default_year: int | None = None) -> DataFrame:
+    """doc_id, bank_name, row_idx, FIELDS, opening_c, and source_file and header on row 0: a line for each document's header and its rows. One narrow step over docs."""
+    t = F.col("text")
+    header = F.struct(*(f.alias(name) for name, f in M.header_fields("bank_name", names).items()))
+    year = _by_bank(names, lambda n: F.coalesce(M.fnb_year(t), F.lit(default_year).cast("int")) if n == "FNB" else F.lit(None).cast("int"))
+    parts = _by_bank(names, lambda n: LAYOUTS[n].parts(t))
+    own = docs.select("doc_id", "bank_name", "source_file", header.alias("header"), F.lit(0).alias("wanted") if "FNB" not in names else year.alias("year"), F.concat(F.array(F.lit(None).cast("string")), F.coalesce(parts, F.array().cast("array<string>"))).alias("parts"))
+    if "FNB" not in names:
+        own = own.withColumn("year", F.lit(None).cast("int")).drop("wanted")
+    lines = own.select("doc_id", "bank_name", "source_file", "header", F.col("header.opening_c").alias("opening_c"), "year", F.posexplode("parts").alias("row_idx", "text"))
+    lines = lines.withColumns({"row_idx": F.col("row_idx").cast("long"), "source_file": F.when(F.col("row_idx") == 0, F.col("source_file")), "header": F.when(F.col("row_idx") == 0, F.col("header"))})
+    if "Discovery" in names:
+        # A record of several lines is as many rows.
+        texts = F.when((F.col("bank_name") == "Discovery") & (F.col("row_idx") > 0), S.record_rows(F.col("text"))).otherwise(F.array("text"))
+        lines = lines.withColumn("texts", texts).select(*(c for c in lines.columns if c not in ("row_idx", "text")), "row_idx", F.posexplode("texts").alias("k", "text"))
+        lines = lines.withColumn("row_idx", F.shiftleft("row_idx", 31) + F.col("k")).drop("k")
+    lines = lines.withColumn("cut", _by_bank(names, lambda n: F.struct(*(c.alias(a) for c, a in zip(LAYOUTS[n].cut(F.col("text")), ("body", "found"), strict=True)))))
+    lines = lines.withColumns({"body": F.col("cut.body"), "found": F.col("cut.found")}).drop("cut")
+    rows = {n: LAYOUTS[n].row() for n in names}
+    default = {"keep": F.lit(True), "opening": F.lit(False), "closing": F.lit(False), "rejected": F.lit(False)}
+    fields = {c: _by_bank(names, lambda n, c=c, kind=kind: F.coalesce(rows[n][c], default[c]) if c in default and c in rows[n] else rows[n].get(c, default.get(c, F.lit(None))).cast(kind)) for c, kind in FIELDS.items()}
+    return lines.withColumns(fields).where((F.col("row_idx") == 0) | F.col("keep")).drop("keep", "text", "body", "found", "year")
+
+
+def ledgers(lines: DataFrame, names: Sequence[str] = tuple(LAYOUTS)) -> DataFrame:
+    """doc_id, bank_name, source_file, header, rows (row_idx, amount_c, balance_c, date, description): a row for each document, from tagged_lines.
+
+    One exchange by doc_id: the windows of all banks and the gathering of a document's rows share it. Capitec and FNB
+    print balances, so amounts are differences; Discovery prints amounts, so balances are sums; Nedbank counts from marked
+    opening lines; ABSA's rows go through a fold. A document's rows are one array, as its text was one.
+    """
+    is_ = lambda name: F.col("bank_name") == name if name in names else F.lit(False)
+    top = F.col("row_idx") == 0
+    if "Nedbank" in names:
+        lines = L.opening_segments(lines, is_("Nedbank"), top)
+    else:
+        lines = lines.withColumn("segment", F.when(top, -1).otherwise(1))
+    inside = Window.partitionBy("doc_id", "segment").orderBy("row_idx")
+    step = F.col("balance_c") - F.lag("balance_c").over(inside)
+    begins = F.row_number().over(inside) == 1
+    sums = F.sum("amount_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    zero = F.coalesce("opening_c", F.lit(0))
+    amount = F.when(is_("Discovery"), F.col("amount_c")).when(is_("Nedbank"), F.when(F.col("opening"), 0).otherwise(step)).when(~begins, step).when(is_("FNB"), F.col("balance_c") - zero).otherwise(F.col("amount_c"))
+    moved = lines.select(
+        "doc_id", "bank_name", "source_file", "header", "row_idx", "date", "description", amount.alias("amount_c"), F.when(is_("Discovery"), sums + zero).otherwise(F.col("balance_c")).alias("balance_c"), "tokens", F.col("opening").alias("forward"), "rejected",
+    )
+    folds = "ABSA" in names
+    moved = L.pair_columns(moved) if folds else moved
+    kept = ("row_idx", "amount_c", "balance_c", "date", "description")
+    row = F.struct(*kept, *(L.PAIR_FIELDS if folds else ()))
+    packed = moved.groupBy("doc_id").agg(
+        *(F.first(c, ignorenulls=True).alias(c) for c in ("bank_name", "source_file", "header")), F.array_sort(F.collect_list(F.when(F.col("row_idx") > 0, row))).alias("rows"),
+    )
+    plain = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in kept)))
+    if folds:
+        plain = F.when(F.col("bank_name") == "ABSA", L.folded_pairs(F.col("rows"), F.coalesce("header.opening_c", F.lit(0)), ("date", "description"))).otherwise(plain)
+    return packed.withColumn("rows", plain)
+
+
+def _one_layout(name: str, docs: DataFrame, default_year: int | None = None) -> DataFrame:
+    own = docs.select("doc_id", "text", F.lit(name).alias("bank_name"), F.lit(None).cast("string").alias("source_file"))
+    out = ledgers(tagged_lines(own, (name,), default_year), (name,))
+    return _final(out.select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r.*"))
+
+
 def capitec(docs: DataFrame) -> DataFrame:
     """Rows between two marks, each led by a date and perhaps wrapped; the last amount is the balance, amounts are differences."""
-    section = docs.select("doc_id", S.between(F.col("text"), "Transaction History", "* Includes VAT").alias("text")).where("text is not null")
-    rows = S.blocks(S.lines(section), F.col("line").rlike(DATED))
-    body = F.trim(F.substr("text", F.lit(11)))
-    rows = rows.withColumns({"date": F.substring("text", 1, 10), "body": body, "found": money.tokens(body)}).where(F.size("found") > 0)
-    rows = rows.withColumns({"balance_c": money.leading_sign(F.element_at("found", -1)), "first_c": F.when(F.size("found") > 1, money.leading_sign(F.element_at("found", -2))).otherwise(0)})
-    rows = L.deltas(rows, first=F.col("first_c"))
-    return _final(rows.withColumn("description", F.coalesce(F.nullif(squeeze(_without(F.col("body"), F.col("found"))), F.lit("")), F.lit("Transaction"))))
+    return _one_layout("Capitec", docs)
 
 
 def absa(docs: DataFrame) -> DataFrame:
     """Flowing text cut at dates; the balance is found by what adds up, rejected rows leave it alone."""
-    rows = S.dated_chunks(docs.select("doc_id", "text", F.coalesce(M.absa_fields(F.col("text"))["opening_c"], F.lit(0)).alias("opening_c")), keep=["opening_c"])
-    p = r"^(\d{1,2})/(\d{2})/(\d{4})"
-    day = dates.from_parts(*(F.regexp_extract("text", p, k) for k in (1, 2, 3)))
-    rows = rows.withColumns({"day": day, "body": K.strip_footer(squeeze(F.regexp_replace("text", p, "")))}).where(F.col("day").isNotNull())
-    rows = rows.withColumn("body", F.trim("body")).where("body <> ''")
-    pattern = r"-?(?:\d{1,3}(?: \d{3})+|\d+)[.,]\d{2}-?"
-    forward = F.col("body").rlike(r"(?i)bal(?:ance)?\s+brought\s+forward")
-    words = squeeze(F.regexp_replace("body", pattern, " "))
-    fixed = clean(words, ((r"(?i)\bProof Of Pmt\b", "Proof Of Pmt"), (r"(?i)\bImdte\b", "Imdte"), (r"(?i)\bNotific\b", "Notific")))
-    description = F.when(forward, "Bal Brought Forward").otherwise(F.coalesce(F.nullif(title_case(fixed), F.lit("")), F.lit("Transaction")))
-    rows = rows.withColumns({"forward": forward, "tokens": F.transform(money.tokens(F.col("body"), pattern), money.either_separator), "description": description, "date": dates.printed(F.col("day"))})
-    rows = rows.withColumn("rejected", K.other_text(F.col("description")) & ~F.col("forward"))
-    return _final(L.pair_fold(rows, carry=["date", "description"]))
+    return _one_layout("ABSA", docs)
 
 
 def fnb(docs: DataFrame, default_year: int | None = None) -> DataFrame:
     """Pairs of amount and balance with the text before them; Dr balances are owed, amounts are differences."""
-    found = M.fnb_fields(F.col("text"))
-    block = F.regexp_extract("text", r"(?is)(Transactions in RAND.*?Closing Balance)", 1)
-    text = squeeze(clean(block, ((r"(?i)Page \d+ of \d+", " "), (r"(?is)Branch Number.*?FN", " "), (r"(?is)Delivery Method.*?AA", " "), (r"(?i)Transactions in RAND", " "))))
-    headed = docs.select("doc_id", text.alias("text"), F.coalesce(found["opening_c"], F.lit(0)).alias("opening_c"), F.coalesce(found["year"], F.lit(default_year).cast("int")).alias("year"))
-    rows = S.amount_balance_pairs(headed, keep=["opening_c", "year"]).where(F.length("before") >= 3)
-    p = r"(?i)(\d{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-    rows = rows.where(F.col("before").rlike(p))
-    size = money.plain(F.col("balance"))
-    day = dates.from_parts(F.regexp_extract("before", p, 1), dates.month_number(F.regexp_extract("before", p, 2)), F.col("year"))
-    rows = rows.withColumns({"balance_c": F.when(F.lower("balance_side") == "dr", -size).otherwise(size), "date": dates.printed(day), "description": F.coalesce(F.nullif(F.trim(replace_first(F.col("before"), F.regexp_extract("before", p, 0))), F.lit("")), F.lit("Transaction"))})
-    return _final(L.deltas(rows, opening=F.col("opening_c")))
+    return _one_layout("FNB", docs, default_year)
 
 
 def nedbank(docs: DataFrame) -> DataFrame:
     """Dated lines, perhaps with one more line of description; an opening line sets the balance, a closing one ends it."""
-    dated = F.col("line").rlike(DATED)
-    one_more = ~F.col("next").rlike(money.AMOUNT) & ~F.col("next").rlike("(?i)Account|Page|Balance")
-    rows = S.with_wrapped_line(S.lines(docs), dated, one_more).withColumnRenamed("line_no", "row_idx")
-    found = money.tokens(F.col("line"))
-    text = clean(_without(F.regexp_replace("line", DATED, ""), found), ((r"[*R,]", ""), (r"^\d{6}", "")))
-    rows = rows.withColumns({"date": F.substring("line", 1, 10), "balance_c": F.when(F.size(found) > 0, money.rand(F.element_at(found, -1))), "words": F.trim(F.concat_ws(" ", F.trim(text), "wrapped"))})
-    opening, closing = F.col("words").rlike(r"(?i)Opening\s*balance"), F.col("words").rlike(r"(?i)Closing\s*balance")
-    kept = L.from_opening_rows(rows, opening, closing)
-    return _final(kept.withColumn("description", F.when(F.col("words").rlike(r"(?i)Opening\s*balance"), "OPENING BALANCE").otherwise(F.upper("words"))))
-
-
-# Words that are no part of a description.
-_BOILERPLATE = r"(?i)POS Purchase|RPP|Online|EFT|Fee|Interest|Reward|Declined Int Card Purch|Transfer|Details|Amount|Type"
+    return _one_layout("Nedbank", docs)
 
 
 def discovery(docs: DataFrame) -> DataFrame:
     """Comma-separated text whose cells hold several lines; rows have a date first and an amount in rand; balances are sums."""
-    p = r"(?i)^\s*(\d{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+(20\d{2})"
-    amount = r"(-?\s?R[\d\s,.]+\.\d{2})"
-    headed = docs.select("doc_id", "text", M.discovery_fields(F.col("text"))["opening_c"].alias("opening_c"))
-    rows = S.unzipped_cells(headed, keep=["opening_c"]).where(F.col("text").rlike(p) & F.col("text").rlike(amount))
-    day = dates.from_parts(F.regexp_extract("text", p, 1), dates.month_number(F.regexp_extract("text", p, 2)), F.regexp_extract("text", p, 3))
-    found = F.regexp_extract("text", amount, 1)
-    words = F.upper(squeeze(clean(replace_first(F.regexp_replace("text", p, ""), found), ((r"\*\*\*\d{4}", ""), (_BOILERPLATE, ""), (",", " ")))))
-    rows = rows.withColumns({"date": dates.printed(day), "amount_c": money.rand(found), "description": F.coalesce(F.nullif(words, F.lit("")), F.lit("UNKNOWN"))})
-    return _final(L.running(rows, F.col("opening_c")))
+    return _one_layout("Discovery", docs)
 
 
 _PAIR_AMOUNT, _PAIR_BALANCE = r"^\D*(\d[\d,]*\.\d{2}-?)", r"(?:\d{1,3}(?:[ ,]\d{3})+|\d+)\.\d{2}-?"
@@ -173,9 +323,6 @@ def standard_bank_single(docs: DataFrame, default_year: int | None = None) -> Da
     return _final(docs.where(F.col("text").rlike(p)).select("doc_id", F.lit(0).alias("row_idx"), dates.printed(day).alias("date"), F.trim(part(1)).alias("description"), money.rand_trailing(part(2)).alias("amount_c"), money.rand_trailing(part(5)).alias("balance_c")))
 
 
-LAYOUTS = {"ABSA": absa, "Capitec": capitec, "FNB": fnb, "Nedbank": nedbank, "Discovery": discovery}
-
-
 def _banked(docs: DataFrame) -> DataFrame:
     return docs if "bank_name" in docs.columns else docs.withColumn("bank_name", K.dispatch_bank(F.col("text")))
 
@@ -183,8 +330,7 @@ def _banked(docs: DataFrame) -> DataFrame:
 def route(docs: DataFrame, folder: str) -> DataFrame:
     """docs with bank_name, written by bank under a new folder that all executors reach, and read again.
 
-    Texts are then told apart once and each layout scans its own documents only. Without it parse_statements tells the
-    texts apart once per layout.
+    For texts that are parsed more than once, or by bank: telling them apart is then done, and one bank's are read alone.
     """
     banked = _banked(docs)
     banked.write.mode("errorifexists").partitionBy("bank_name").parquet(folder)
@@ -195,32 +341,42 @@ def route(docs: DataFrame, folder: str) -> DataFrame:
 ROW_FIELDS = ("account_number", "client_name", "statement_id")
 
 
-def parse_statements(docs: DataFrame) -> DataFrame:
-    """Rows of mixed statements with account_number, client_name, statement_id, bank_name and source_file: each document goes to the plan of its bank.
+def parse_documents(docs: DataFrame, default_year: int | None = None) -> DataFrame:
+    """doc_id, bank_name, source_file, header, rows: every document once, rows empty where its bank is unknown, unsupported or has none.
+
+    docs: doc_id, source_file, text, and bank_name if they come from route(). The texts are scanned once, cut into lines
+    that carry their document's number and bank, and dealt by document once.
+    """
+    return ledgers(tagged_lines(_banked(docs), default_year=default_year))
+
+
+def parse_statements(docs: DataFrame, default_year: int | None = None) -> DataFrame:
+    """Rows of mixed statements with account_number, client_name, statement_id, bank_name and source_file: each document goes by the layout of its bank.
 
-    docs: doc_id, source_file, text, and bank_name if they come from route(). Documents of unsupported and unknown banks
-    have no rows here; see statements. Rows meet their header on the doc_id by which their layout has dealt them.
+    Documents of unsupported and unknown banks have no rows here; see statements. One scan and one exchange, as parse_documents.
     """
-    banked, out = _banked(docs), None
-    for name, plan in LAYOUTS.items():
-        own = banked.where(F.col("bank_name") == name)
-        fields = M.BANK_FIELDS[name](F.col("text"))
-        heads = own.select("doc_id", *(fields.get(c, F.lit(None).cast("string")).alias(c) for c in ROW_FIELDS), "source_file")
-        rows = plan(own.select("doc_id", "text")).join(heads, "doc_id").withColumn("bank_name", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = parse_documents(docs, default_year).select("doc_id", *(F.col(f"header.{c}").alias(c) for c in ROW_FIELDS), "source_file", "bank_name", F.explode("rows").alias("r"))
+    return rows.select(*COLUMNS[:1], *(F.col(f"r.{c}").alias(c) for c in COLUMNS[1:]), *ROW_FIELDS, "source_file", "bank_name")
 
 
-def statements(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def statements(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """One row per document: its bank and header, the totals of its rows, whether they reconcile, and why it has none.
 
     opening_c and closing_c are printed ones where the layout prints them, else those of the rows: ABSA prints no closing
-    balance, Nedbank's opening balance is a row, Capitec prints neither. reconciled is null without rows or without a balance. The
-    header is one narrow step over docs, the totals one aggregate over rows.
+    balance, Nedbank's opening balance is a row, Capitec prints neither. reconciled is null without rows or without a balance.
+    Without rows, which are those of docs then, this is one scan and one exchange; with rows from elsewhere (a table that
+    parse_statements was written to) their totals meet the headers by doc_id.
     """
-    heads = M.bank_headers(_banked(docs), "bank_name", keep=["source_file"])
-    sums = L.totals(rows).withColumnsRenamed({"opening_c": "first_c", "closing_c": "last_c"})
-    out = heads.join(sums, "doc_id", "left").withColumns({"n_transactions": F.coalesce("n_transactions", F.lit(0)), "opening_c": F.coalesce("opening_c", "first_c"), "closing_c": F.coalesce("closing_c", "last_c")})
+    if rows is None:
+        parsed = parse_documents(docs)
+        sums = L.totals(parsed.select("doc_id", "bank_name", "source_file", "header", F.explode_outer("rows").alias("r")).select("doc_id", "bank_name", "source_file", "header", "r.*"), ("bank_name", "source_file", "header"))
+        out = sums.withColumnsRenamed({"opening_c": "first_c", "closing_c": "last_c"}).select("doc_id", "bank_name", "source_file", "header.*", "n_transactions", "credits_c", "debits_c", "first_c", "last_c")
+        none = F.col("n_transactions") == 0
+        out = out.withColumns({c: F.when(~none, F.col(c)) for c in ("credits_c", "debits_c")})
+    else:
+        heads = M.bank_headers(_banked(docs), "bank_name", keep=["source_file"])
+        out = heads.join(L.totals(rows).withColumnsRenamed({"opening_c": "first_c", "closing_c": "last_c"}), "doc_id", "left")
+    out = out.withColumns({"n_transactions": F.coalesce("n_transactions", F.lit(0)), "opening_c": F.coalesce("opening_c", "first_c"), "closing_c": F.coalesce("closing_c", "last_c")})
     return out.drop("first_c", "last_c").withColumns({
         "reconciled": L.reconciled(F.col("opening_c"), F.col("credits_c"), F.col("debits_c"), F.col("closing_c")),
         "error_code": K.request_error(F.lit(1), F.col("bank_name"), F.col("n_transactions")),

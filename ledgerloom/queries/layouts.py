@@ -68,7 +68,7 @@ def layout_capitec(spark, d) -> DataFrame:
 
 
 def layout_absa(spark, d) -> DataFrame:
-    return _columns(P.absa(absa_text(ledger(spark, d))).where("description <> 'Bal Brought Forward'"))
+    return _columns(P.absa(absa_text(ledger(spark, d))))
 
 
 def layout_fnb(spark, d) -> DataFrame:
@@ -110,13 +110,12 @@ def _mixed(spark, d) -> DataFrame:
 
 
 def parse_mixed(spark, d) -> DataFrame:
-    rows = P.parse_statements(_mixed(spark, d)).where("description <> 'Bal Brought Forward' AND description <> 'OPENING BALANCE'")
+    rows = P.parse_statements(_mixed(spark, d))
     return rows.groupBy("doc_id", "bank_name", "source_file").agg(F.count("*").alias("n"), F.sum("amount_c").alias("amount_c"), F.max_by("balance_c", "row_idx").alias("closing_c"))
 
 
 def mixed_status(spark, d) -> DataFrame:
-    docs = _mixed(spark, d)
-    return P.statement_status(docs, P.parse_statements(docs)).select("doc_id", "bank_name", (F.col("n_rows") > 0).alias("has_rows"), "error_code")
+    return P.statements(_mixed(spark, d)).withColumnRenamed("n_transactions", "n_rows").select("doc_id", "bank_name", (F.col("n_rows") > 0).alias("has_rows"), "error_code")
 
 
 def _all_banks(spark, d) -> DataFrame:
@@ -134,8 +133,7 @@ def mixed_rows(spark, d) -> DataFrame:
 
 
 def mixed_statements(spark, d) -> DataFrame:
-    docs = _all_banks(spark, d)
-    return P.statements(docs, P.parse_statements(docs))
+    return P.statements(_all_banks(spark, d))
 
 
 def parse_job(spark, d) -> DataFrame:
@@ -211,7 +209,8 @@ ORACLES = {
           CAST(opening_c AS BIGINT) AS opening_c, CAST(closing_c AS BIGINT) AS closing_c, CAST(CASE WHEN doc_id % 7 = 4 THEN -1234 END AS BIGINT) AS total_vat_c, CASE WHEN read THEN n ELSE 0 END AS n_transactions, CASE WHEN read THEN cr END AS credits_c, CASE WHEN read THEN dr END AS debits_c,
           abs(opening_c + CASE WHEN read THEN cr - dr END - closing_c) < 2 AS reconciled, CASE doc_id % 7 WHEN 5 THEN 'UNKNOWN_BANK' WHEN 6 THEN 'UNSUPPORTED_BANK' END AS error_code FROM s""",
     "layout_capitec": _FROM_LEDGER("'Order no part'"),
-    "layout_absa": _FROM_LEDGER("'Card Order |'"),
+    "layout_absa": f"""WITH {LEDGER_SQL} SELECT doc_id, {_DATE} AS date, 'Card Order |' AS description, amount_c, balance_c FROM ledger
+        UNION ALL SELECT DISTINCT doc_id, '01/01/2005', 'Bal Brought Forward', 0, {OPENING_C} FROM ledger""",
     "layout_fnb": f"""WITH {LEDGER_SQL}
         SELECT doc_id, strftime(day, '%d/%m/') || '2008' AS date, 'Order' AS description, amount_c, balance_c FROM ledger""",
     "layout_nedbank": f"""WITH {LEDGER_SQL} SELECT doc_id, {_DATE} AS date, CASE WHEN row_idx % 2 = 0 THEN 'CARD ORDER WRAPPED' ELSE 'CARD ORDER' END AS description, amount_c, balance_c FROM ledger
@@ -221,7 +220,7 @@ ORACLES = {
     "layout_blocks": f"""WITH {LEDGER_SQL} SELECT doc_id, {_DATE} AS date, 'Card order more' AS description, CASE WHEN row_idx = 1 THEN abs(amount_c) ELSE amount_c END AS amount_c, balance_c FROM ledger WHERE amount_c <> 0""",
     "layout_single": f"WITH {LEDGER_SQL} SELECT doc_id, {_DATE} AS date, 'CARD ORDER' AS description, -abs(amount_c) AS amount_c, balance_c FROM ledger WHERE row_idx = 1",
     "parse_mixed": f"""WITH {LEDGER_SQL} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Capitec' WHEN 1 THEN 'ABSA' WHEN 2 THEN 'Nedbank' ELSE 'Discovery' END AS bank_name, 's' || doc_id || '.txt' AS source_file,
-        count(*) AS n, CAST(sum(amount_c) AS BIGINT) AS amount_c, arg_max(balance_c, row_idx) AS closing_c FROM ledger WHERE doc_id % 5 <> 4 GROUP BY doc_id""",
+        count(*) + CASE WHEN doc_id % 5 IN (1, 2) THEN 1 ELSE 0 END AS n, CAST(sum(amount_c) AS BIGINT) AS amount_c, arg_max(balance_c, row_idx) AS closing_c FROM ledger WHERE doc_id % 5 <> 4 GROUP BY doc_id""",
     "mixed_status": """SELECT DISTINCT o_custkey AS doc_id, CASE o_custkey % 5 WHEN 0 THEN 'Capitec' WHEN 1 THEN 'ABSA' WHEN 2 THEN 'Nedbank' WHEN 3 THEN 'Discovery' ELSE 'UNKNOWN_BANK' END AS bank_name, o_custkey % 5 <> 4 AS has_rows, CASE WHEN o_custkey % 5 = 4 THEN 'UNKNOWN_BANK' END AS error_code FROM orders""",
     "parse_job": f"""WITH {LEDGER_SQL} SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'unsupported' ELSE 'completed' END AS status, CASE doc_id % 3 WHEN 0 THEN 'standard_bank_statement' WHEN 1 THEN 'absa_statement' ELSE 'generic_invoice' END AS document_subtype, 64 AS id_length,
         CASE WHEN doc_id % 3 <> 2 THEN count(*) FILTER (WHERE amount_c <> 0 OR doc_id % 3 = 0) END AS n_rows, CAST(CASE WHEN doc_id % 3 <> 2 THEN sum(CASE WHEN doc_id % 3 = 1 AND row_idx = 1 THEN abs(amount_c) ELSE amount_c END) END AS BIGINT) AS amount_c FROM ledger GROUP BY doc_id""",
