@@ -6,8 +6,7 @@ the hashes are written once, with document, text and position. From this narrow
 documents and the largest document of each; all positions of such a key in other documents are dropped, and each text is
 put together again from the positions that are left.
 
-Only hashes and positions are shuffled, and each text once, with the positions it loses (not even that where Spark finds
-the table of positions small enough to broadcast). Counting is pre-aggregated, so a line of all documents is no hot key;
+Only hashes and positions are shuffled, and each text once, to meet the positions it loses. Counting is pre-aggregated, so a line of all documents is no hot key;
 where its rows meet their count, the side of the rows can be split. One document's positions meet in one row, as its text does.
 
 Defined results: a null or empty text is one empty line; a null id is one document, smaller than all others; rows of one
@@ -47,13 +46,15 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
         keyed = lines.where(F.char_length("line") >= min_chars).select("doc", "version", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
         held = work.saved(keyed.select("doc", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
         # Rows with such a key: at least as many as documents with it, so no key is missed. Few are left for the exact count.
-        frequent = held.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
-        frequent = work.saved(held.join(frequent, ["h1", "h2"]))
-        spread = frequent.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last")
+        # Counts are tables before they are joined: each side of a join then has an exchange of its own, and Spark can split the rows of a key that very many hold.
+        often = work.saved(held.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"))
+        frequent = work.saved(held.join(often, ["h1", "h2"]))
+        spread = work.saved(frequent.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last"))
         gone = frequent.join(spread, ["h1", "h2"]).where(F.col("doc") < F.col("last"))
         # A set: equal rows lose the same positions.
         lost = work.saved(gone.groupBy(F.col("doc").alias("of"), F.col("version").alias("of_version")).agg(F.collect_set("pos").alias("lost")), keep=True)
-    both = texts.join(lost, (F.col("doc") == F.col("of")) & (F.col("version") == F.col("of_version")), "left")
+    # The same join at every size: texts meet their positions by an exchange, once.
+    both = texts.join(lost.hint("merge"), (F.col("doc") == F.col("of")) & (F.col("version") == F.col("of_version")), "left")
     cut = both.select("doc.id", F.split("text", "\n").alias("lines"), F.coalesce("lost", F.array().cast("array<int>")).alias("lost"))
     # array_except hashes, so that a text of very many lines takes linear time.
     left = cut.withColumn("left", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost"))
