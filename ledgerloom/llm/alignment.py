@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,32 +58,39 @@ class PieceEncoder:
         self.model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(model))
         self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.by_chunk = not any(re.search("[^▁]▁", p) for p in self.pieces) and "".join(self.model.encode("  a b ", out_type=str)) == "▁▁▁a▁b▁"
-        # The model takes a space alone, without the one that it puts first, for an empty text.
-        self.space = {" ": self._ids([self.model.piece_to_id("▁")])}
+        # By chunk without its first space. The model takes a space alone, without the one that it puts first, for an empty text.
+        self.space = {"": self._ids([self.model.piece_to_id("▁")])}
         self.known: dict[str, bytes] = dict(self.space)
         self.older: dict[str, bytes] = {}
         self.most = most
 
     @staticmethod
     def _ids(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def token_bytes(self) -> list[bytes]:
         return [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(self.pieces)]
 
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        if "  " in text or text[-1] == " ":
+            return [c[1:] for c in _PIECE.split(text)]
+        return text[1:].split(" ")
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [self._ids(x) for x in self.model.encode([t[1:] for t in texts], num_threads=1)]
         if len(self.known) > self.most:
             self.older, self.known = self.known, dict(self.space)
         known, older = self.known, self.older
-        cut, new = [_PIECE.split(t) for t in texts], []
-        for chunk in {c for chunks in cut for c in chunks if c not in known}:
+        cut = list(map(self._chunks, texts))
+        new = []
+        for chunk in set().union(*cut).difference(known):
             if (ids := older.get(chunk)) is None:
                 new.append(chunk)
             else:
                 known[chunk] = ids
-        known.update(zip(new, map(self._ids, self.model.encode([c[1:] for c in new], num_threads=1)), strict=True))
+        known.update(zip(new, map(self._ids, self.model.encode(new, num_threads=1)), strict=True))
         return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
 
 
@@ -97,6 +105,7 @@ class Side:
         self.printed = pa.array([f"{i}{mark}" for mark in marks for i in range(len(tokens))], pa.large_string())
 
     def lists(self, texts: list[str]) -> pa.LargeListArray:
+        """Ids of texts that each begin with a space."""
         raw = self.encode(texts)
         ends = np.cumsum([0, *map(len, raw)]) // 4
         return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<u4")))
@@ -121,7 +130,13 @@ def sides(a: str, b: str) -> tuple[Side, Side]:
         for token, i in vocabulary.items():
             tokens[i] = b"".join(signs.get(c, c.encode()) for c in token)
         pieces = PieceEncoder(b)
-        _SIDES[a, b] = Side(chunks, tokens, ",|"), Side(pieces, pieces.token_bytes(), ",;")
+
+        def encode(texts: list[str]) -> list[bytes]:
+            # Behind a dot the first word is a chunk as any other; the dot is one token.
+            led = [t[1:2] != "" and not t[1].isspace() for t in texts]
+            return [x[4:] if dot else x for x, dot in zip(chunks(["." + t if dot else t for t, dot in zip(texts, led, strict=True)]), led, strict=True)]
+
+        _SIDES[a, b] = Side(encode if chunks.by_chunk else chunks, tokens, ",|"), Side(pieces, pieces.token_bytes(), ",;")
     return _SIDES[a, b]
 
 

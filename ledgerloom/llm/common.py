@@ -198,13 +198,17 @@ class ChunkEncoder:
         # The sign that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from 256 on.
         prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.signs = dict(zip([b for b in range(256) if b not in prints], range(256, 512), strict=False))
+        self.space = chr(self.signs[32])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece of the pre-tokeniser, by the library's model."""
-        raw = piece.encode().decode("latin-1").translate(self.signs)
+        if piece.isascii():  # letters and marks print, so of these only the space has another sign
+            raw = piece.replace(" ", self.space)
+        else:
+            raw = piece.encode().decode("latin-1").translate(self.signs)
         return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
 
     def _word(self, chunk: str) -> bytes | None:
