@@ -348,19 +348,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     )
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """name, or the first like it that no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """One document of each component, with the columns of docs; rows without an id or words stay.
 
     It is a text of the least id. Where an id has several texts, each stays or goes with its own component; equal rows
-    stay or go together. Rows are told apart by a 64-bit hash of id and text.
+    stay or go together. Rows are told apart by a 64-bit hash of id and text. Other columns come along, whatever their names.
     """
     sketches, found = _grouped(docs, k, percent, id_col, "text")
     with Workspace(docs.sparkSession) as work:
         rows = sketches.where("doc_id is not null").join(found, "digest").select("component", "doc_id", "mark").distinct()
         heads = rows.groupBy("component").agg(F.min(F.struct("doc_id", "mark"))["mark"].alias("head"))
-        gone = _few(work.saved(rows.join(heads, "component").where("mark <> head").select("mark"), keep=True))
-    marked = docs.withColumn("_mark", F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), "text")))
-    return marked.join(gone, F.col("_mark") == F.col("mark"), "left_anti").drop("_mark")
+        own, other = (_unused(name, docs.columns) for name in ("mark", "gone"))
+        gone = _few(work.saved(rows.join(heads, "component").where("mark <> head").select(F.col("mark").alias(other)), keep=True))
+    marked = docs.withColumn(own, F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), "text")))
+    return marked.join(gone, F.col(own) == F.col(other), "left_anti").drop(own)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
