@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squeeze
+from .text import bind, squeeze
 
 #: Month names in English and Afrikaans, short and long, as they may appear.
 MONTHS = {
@@ -19,16 +19,20 @@ FIRST_YEAR, LAST_YEAR = 2000, 2100
 
 
 def month_number(name: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
-    return F.get(F.map_values(F.map_filter(table, lambda k, v: k == F.lower(name))), 0)
+    names, numbers = (F.array(*map(F.lit, x)) for x in (MONTHS.keys(), MONTHS.values()))
+    return F.get(numbers, F.array_position(names, F.lower(name)).cast("int") - 1)
 
 
 def from_parts(day: Column, month: Column, year: Column) -> Column:
     """A calendar date of the years allowed; null for 31/02 and the like. Parts may be text."""
-    d, m, y = (x.try_cast("int") for x in (day, month, year))
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    longest = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-    return F.when(y.between(FIRST_YEAR, LAST_YEAR) & m.between(1, 12) & (d >= 1) & (d <= longest), F.make_date(y, m, d))
+
+    def read(p: Column) -> Column:
+        d, m, y = p["d"], p["m"], p["y"]
+        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+        longest = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        return F.when(y.between(FIRST_YEAR, LAST_YEAR) & m.between(1, 12) & (d >= 1) & (d <= longest), F.make_date(y, m, d))
+
+    return bind(F.struct(day.try_cast("int").alias("d"), month.try_cast("int").alias("m"), year.try_cast("int").alias("y")), read)
 
 
 def _part(c: Column, pattern: str, group: int) -> Column:
@@ -89,26 +93,25 @@ def normal_token(c: Column) -> Column:
     return F.coalesce(*map(read, (r"(?i)\bROL(\d{2})(\d{2})(\d{2})\b", r"\b(\d{2})(\d{2})(\d{2})\b", r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b")))
 
 
-def best_date(c: Column, start: Column, end: Column) -> Column:
+def best_date(c: Column, start: Column, end: Column, tidy=squeeze) -> Column:
     """The date that six-digit tokens of a text most likely mean.
 
     Each token may be yymmdd or ddmmyy. A reading inside the period [start, end] scores 1000, one outside loses a
     point for each day to the nearer edge; yymmdd gets 10. The best score wins, of equal ones the first. Without a
     period only the 10 counts.
     """
-    t = squeeze(c)
+    t = tidy(c)
     found = F.array_distinct(F.filter(
         F.concat(F.array(F.regexp_extract(t, r"(?i)ROL(\d{6})", 1), F.regexp_extract(t, r"(\d{6})\z", 1)), F.regexp_extract_all(t, F.lit(r"\b(\d{6})\b"), F.lit(1))),
         lambda x: x != "",
     ))
 
     def readings(x: Column, i: Column) -> Column:
-        a, b, d = (F.substring(x, n, 2) for n in (1, 3, 5))
-        year = lambda y: F.concat(F.lit("20"), y)
-        return F.array(
-            F.struct(from_parts(d, b, year(a)).alias("date"), F.lit(10).alias("bonus"), (-2 * i).alias("place")),
-            F.struct(from_parts(a, b, year(d)).alias("date"), F.lit(0).alias("bonus"), (-2 * i - 1).alias("place")),
-        )
+        def of(n: Column) -> Column:
+            a, b, d = F.floor(n / 10000).cast("int"), F.floor(n / 100).cast("int") % 100, n % 100
+            return F.array(F.struct(from_parts(d, b, a + 2000).alias("date"), F.lit(10).alias("bonus"), (-2 * i).alias("place")), F.struct(from_parts(a, b, d + 2000).alias("date"), F.lit(0).alias("bonus"), (-2 * i - 1).alias("place")))
+
+        return bind(x.cast("int"), of)
 
     def scored(r: Column) -> Column:
         date = r["date"]
@@ -117,7 +120,8 @@ def best_date(c: Column, start: Column, end: Column) -> Column:
         return F.struct(score.alias("score"), r["place"].alias("place"), date.alias("date"))
 
     real = F.filter(F.flatten(F.transform(found, readings)), lambda r: r["date"].isNotNull())
-    return F.array_max(F.transform(real, scored))["date"]
+    # Most texts have no six digits: they need only one look.
+    return F.when(t.rlike(r"\d{6}"), F.array_max(F.transform(real, scored))["date"])
 
 
 def resolved_year(yy: Column, end_year: Column) -> Column:

@@ -179,8 +179,9 @@ def noise_line(line: Column) -> Column:
     return (t == "") | t.rlike("(?i)(" + "|".join(NOISE_LINES) + ")")
 
 
-def header_line(line: Column) -> Column:
-    t = F.lower(squeeze(line))
+def header_line(line: Column, tidy=squeeze) -> Column:
+    """tidy, here and below: what brings white space in order; for lines that are in order already, nothing."""
+    t = F.lower(tidy(line))
     return (t == "") | t.isin(*HEADER_LINES) | t.startswith("page ") | contains_any(t, HEADER_PARTS)
 
 
@@ -188,16 +189,16 @@ def marker_line(line: Column) -> Column:
     return squeeze(line) == "##"
 
 
-def reversal_line(line: Column) -> Column:
-    return F.upper(squeeze(line)).contains(REVERSAL)
+def reversal_line(line: Column, tidy=squeeze) -> Column:
+    return F.upper(tidy(line)).contains(REVERSAL)
 
 
-def reference_line(line: Column) -> Column:
-    return squeeze(line).rlike(REFERENCE_LINE)
+def reference_line(line: Column, tidy=squeeze) -> Column:
+    return tidy(line).rlike(REFERENCE_LINE)
 
 
-def skipped_block(description: Column, reference: Column) -> Column:
-    d, r = F.lower(squeeze(description)), squeeze(reference)
+def skipped_block(description: Column, reference: Column, tidy=squeeze) -> Column:
+    d, r = F.lower(tidy(description)), tidy(reference)
     return (d == "") | (d == "##") | d.contains("these fees include vat") | (r == "##")
 
 

@@ -109,17 +109,25 @@ def mended_closing(text: Column) -> Column:
 
 def period(text: Column) -> Column:
     """start, end of the statement period, as printed."""
-    edge = lambda k: F.coalesce(*(bind(squeeze(F.regexp_extract(text, _I + p, k)), blank_to_null) for p in PERIOD_PATTERNS))
-    return F.struct(edge(1).alias("start"), edge(2).alias("end"))
+    return F.struct(period_edge(text, 1).alias("start"), period_edge(text, 2).alias("end"))
+
+
+def period_edge(text: Column, which: int) -> Column:
+    """The start (1) or end (2) of the statement period, as printed."""
+    return F.coalesce(*(bind(squeeze(F.regexp_extract(text, _I + p, which)), blank_to_null) for p in PERIOD_PATTERNS))
+
+
+def statement_fields(t: Column) -> list[Column]:
+    """All general header fields of a text."""
+    p = period(t)
+    return [
+        account_number(t).alias("account_number"), client_name(t).alias("client_name"), p["start"].alias("period_start"), p["end"].alias("period_end"), opening_balance(t).alias("opening_c"), closing_balance(t).alias("closing_c"),
+    ]
 
 
 def statement_header(docs: DataFrame) -> DataFrame:
     """doc_id and all general header fields."""
-    t, p = F.col("text"), period(F.col("text"))
-    return docs.select(
-        "doc_id", account_number(t).alias("account_number"), client_name(t).alias("client_name"), p["start"].alias("period_start"), p["end"].alias("period_end"),
-        opening_balance(t).alias("opening_c"), closing_balance(t).alias("closing_c"),
-    )
+    return docs.select("doc_id", *statement_fields(F.col("text")))
 
 
 def _digits(c: Column) -> Column:

@@ -14,9 +14,14 @@ def by_line():
     return Window.partitionBy("doc_id").orderBy("line_no")
 
 
+def text_lines(text: Column) -> Column:
+    """array<string>: the lines as printed."""
+    return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+
+
 def lines(docs: DataFrame, keep_empty: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, line_no (from 0, as printed), line (trimmed), and the columns named in keep. A narrow step: no shuffle."""
-    out = docs.select("doc_id", *keep, F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
+    out = docs.select("doc_id", *keep, F.posexplode(text_lines(F.col("text"))).alias("line_no", "line")).withColumn("line", F.trim("line"))
     return out if keep_empty else out.where("line <> ''")
 
 

@@ -44,8 +44,8 @@ def _without(text: Column, parts: Column) -> Column:
     return F.aggregate(parts, text, lambda acc, p: replace_first(acc, p))
 
 
-def _final(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), "date", "description", F.col("amount_c").cast("long").alias("amount_c"), F.col("balance_c").cast("long").alias("balance_c"))
+def _final(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return rows.select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), "date", "description", F.col("amount_c").cast("long").alias("amount_c"), F.col("balance_c").cast("long").alias("balance_c"), *keep)
 
 
 def _or_else(words: Column, other: str) -> Column:
@@ -253,43 +253,56 @@ def discovery(docs: DataFrame) -> DataFrame:
     return _one_layout("Discovery", docs)
 
 
+_TWO_DECIMALS = r"\d\.\d{2}"
 _PAIR_AMOUNT, _PAIR_BALANCE = r"^\D*(\d[\d,]*\.\d{2}-?)", r"(?:\d{1,3}(?:[ ,]\d{3})+|\d+)\.\d{2}-?"
 
 
-def money_pair(line: Column) -> tuple[Column, Column]:
-    """(amount, balance) of a line: its first and last number; both null unless both can be read and are of credible size."""
-    t = squeeze(line)
-    amount = money.strict(F.nullif(F.regexp_extract(t, _PAIR_AMOUNT, 1), F.lit("")))
-    all_ = F.regexp_extract_all(t, F.lit(_PAIR_BALANCE), F.lit(0))
-    balance = money.repaired_balance(F.when(F.size(all_) > 0, F.element_at(all_, -1)))
-    ok = (F.abs(amount) <= 100_000_000) & (F.abs(balance) <= 10_000_000_000)
-    return F.when(ok, amount), F.when(ok, balance)
+def money_pair(line: Column, tidy=squeeze) -> Column:
+    """struct(amount, balance) of a line: its first and last number; both null unless both can be read and are of credible size. Lines without a dot are not looked at further."""
+
+    def read(t: Column) -> Column:
+        last = F.element_at(F.regexp_extract_all(t, F.lit(_PAIR_BALANCE), F.lit(0)), -1)
+        return F.struct(money.strict(F.nullif(F.regexp_extract(t, _PAIR_AMOUNT, 1), F.lit(""))).alias("amount"), bind(last, money.repaired_balance).alias("balance"))
+
+    def credible(p: Column) -> Column:
+        return F.when((F.abs(p["amount"]) <= 100_000_000) & (F.abs(p["balance"]) <= 10_000_000_000), p)
+
+    return F.when(line.rlike(_TWO_DECIMALS), bind(bind(tidy(line), read), credible))
+
+
+def period_edges(text: Column) -> tuple[Column, Column]:
+    """The dates on which a text's statement period starts and ends; each is read once."""
+    return bind(M.period_edge(text, 1), dates.period_date), bind(M.period_edge(text, 2), dates.period_date)
 
 
 def standard_bank(docs: DataFrame) -> DataFrame:
     """Lines of amount and balance between a description and a reference line; balances are summed anew from nothing."""
+    edges = (c.alias(n) for c, n in zip(period_edges(F.col("text")), ("start", "end"), strict=True))
+    return standard_rows(S.lines(docs.select("doc_id", "text", *edges), keep=["start", "end"]))
+
+
+def standard_rows(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """standard_bank's rows from lines (doc_id, line_no, line, and the period's start and end), with the columns named in keep."""
     w = S.by_line()
-    edges = docs.select("doc_id", "text", M.period(F.col("text")).alias("p")).select("doc_id", "text", dates.period_date(F.col("p.start")).alias("start"), dates.period_date(F.col("p.end")).alias("end"))
-    rows = S.lines(edges, keep=["start", "end"]).withColumn("line", squeeze(F.col("line"))).where("line <> ''")
-    amount, balance = money_pair(F.col("line"))
-    rows = rows.withColumns({"amount_c": amount, "printed_c": balance, "text": ~K.header_line(F.col("line")), "ref_line": K.reference_line(F.col("line")), "gone_line": K.reversal_line(F.col("line")), "mark_line": K.marker_line(F.col("line"))})
-    rows = rows.withColumn("text_line", F.col("text") & F.col("amount_c").isNull() & ~F.col("gone_line")).drop("text")
-    rows = rows.withColumns({
-        "p1": F.lag("line", 1).over(w), "p2": F.lag("line", 2).over(w), "t1": F.lag("text_line", 1).over(w), "t2": F.lag("text_line", 2).over(w),
-        "m1": F.lag("mark_line", 1).over(w), "n1": F.lead("line", 1).over(w), "n1_money": F.lead("amount_c", 1).over(w), "n1_ref": F.lead("ref_line", 1).over(w), "n1_gone": F.lead("gone_line", 1).over(w), "n2_gone": F.lead("gone_line", 2).over(w),
-        "back": F.collect_list(F.when(F.col("ref_line") & ~F.col("gone_line"), F.col("line"))).over(w.rowsBetween(-6, -1)),
-    }).where("amount_c is not null")
-    lit = F.lit("")
-    description = F.coalesce(F.when(F.col("m1"), F.when(F.col("t2"), F.col("p2"))).otherwise(F.when(F.col("t1"), F.col("p1"))), lit)
-    rows = rows.withColumn("words", description)
-    following = F.when(F.col("n1_ref") & F.col("n1_money").isNull(), F.col("n1"))
-    rows = rows.withColumn("reference", F.coalesce(following, F.when(F.upper(squeeze(F.col("words"))).isin(*K.FEE_FOLLOWUPS), F.element_at(F.concat(F.array(lit), "back"), -1)), lit))
-    rows = rows.where(~K.skipped_block(F.col("words"), F.col("reference"))).where(~(F.coalesce("n1_gone", F.lit(False)) | (F.coalesce("n1_ref", F.lit(False)) & F.coalesce("n2_gone", F.lit(False)))))
-    rows = rows.withColumn("description", squeeze(F.concat_ws(" ", "words", "reference")))
+    rows = lines.withColumn("line", squeeze(F.col("line"))).where("line <> ''")
+    line, plain = F.col("line"), lambda c: c
+    rows = rows.withColumn("pair", money_pair(line, plain))
+    rows = rows.withColumns({"amount_c": F.col("pair.amount"), "printed_c": F.col("pair.balance"), "gone": K.reversal_line(line, plain), "ref": K.reference_line(line, plain)})
+    said = ~K.header_line(line, plain) & F.col("amount_c").isNull() & ~F.col("gone")
+    rows = rows.withColumn("own", F.struct("line", said.alias("said"), (line == "##").alias("mark"), "ref", "gone", F.col("amount_c").isNotNull().alias("money")))
+    around = {"p1": F.lag("own", 1).over(w), "p2": F.lag("own", 2).over(w), "n1": F.lead("own", 1).over(w), "n2": F.lead("own", 2).over(w), "back": F.collect_list(F.when(F.col("ref") & ~F.col("gone"), line)).over(w.rowsBetween(-6, -1))}
+    rows = rows.withColumns(around).where("amount_c is not null")
+    lit, no = F.lit(""), F.lit(False)
+    words = F.coalesce(F.when(F.col("p1.mark"), F.when(F.col("p2.said"), F.col("p2.line"))).otherwise(F.when(F.col("p1.said"), F.col("p1.line"))), lit)
+    following = F.when(F.col("n1.ref") & ~F.col("n1.money"), F.col("n1.line"))
+    rows = rows.withColumn("words", words)
+    rows = rows.withColumn("reference", F.coalesce(following, F.when(F.upper("words").isin(*K.FEE_FOLLOWUPS), F.element_at(F.concat(F.array(lit), "back"), -1)), lit))
+    undone = F.coalesce("n1.gone", no) | (F.coalesce("n1.ref", no) & F.coalesce("n2.gone", no))
+    rows = rows.where(~K.skipped_block(F.col("words"), F.col("reference"), plain) & ~undone).withColumn("description", F.trim(F.concat_ws(" ", "words", "reference")))
     upper = F.upper("description")
     rows = rows.where(~contains_any(upper, (K.REVERSAL, *K.SUMMARY_PHRASES)) & ~upper.isin(*K.FEE_FOLLOWUPS)).where((F.abs("amount_c") <= 500_000_000) & (F.abs("printed_c") <= 10_000_000_000))
-    rows = rows.withColumn("day", F.coalesce(*(F.when(F.col(c).rlike(r"\d{6}"), dates.best_date(F.col(c), F.col("start"), F.col("end"))) for c in ("description", "reference", "words")))).withColumnRenamed("line_no", "row_idx")
-    return _final(L.carry_dates(L.running(rows), "day").withColumn("date", dates.printed(F.col("day"))))
+    rows = rows.withColumn("day", F.coalesce(*(dates.best_date(F.col(c), F.col("start"), F.col("end"), plain) for c in ("description", "reference", "words")))).withColumnRenamed("line_no", "row_idx")
+    return _final(L.carry_dates(L.running(rows), "day").withColumn("date", dates.printed(F.col("day"))), keep)
 
 
 _V2_TOKEN = r"\d{1,3}(?:[ ,]\d{3})*[.,]\d{2}-?"
@@ -300,8 +313,17 @@ _DROPPED = r"(?i)^bal brought forward$|^proof of pmt email$|^notific fee sms"
 
 def blocks_v2(docs: DataFrame) -> DataFrame:
     """Dated blocks without page furniture; the last amount is the balance, the one before it the amount, its sign by what adds up."""
-    text = S.until_any(F.translate("text", " ", " "), _ENDS)
-    lines = S.lines(docs.select("doc_id", text.alias("text"))).withColumn("line", squeeze(F.col("line"))).where(~K.noise_line(F.col("line")))
+    return block_rows(S.lines(docs.select("doc_id", block_text(F.col("text")).alias("text"))))
+
+
+def block_text(text: Column) -> Column:
+    """What of a text blocks_v2 reads."""
+    return S.until_any(F.translate(text, "\xa0", " "), _ENDS)
+
+
+def block_rows(lines: DataFrame) -> DataFrame:
+    """blocks_v2's rows from lines (doc_id, line_no, line) of block_text."""
+    lines = lines.select("doc_id", "line_no", squeeze(F.col("line")).alias("line")).where(~K.noise_line(F.col("line")))
     start = r"^\s*(\d{1,2}/\d{1,2}/\d{4})"
     rows = S.blocks(lines, F.col("line").rlike(start))
     found = F.regexp_extract_all(F.regexp_replace("text", start, ""), F.lit(_V2_TOKEN), F.lit(0))
@@ -355,7 +377,12 @@ def parse_statements(docs: DataFrame, default_year: int | None = None) -> DataFr
 
     Documents of unsupported and unknown banks have no rows here; see statements. One scan and one exchange, as parse_documents.
     """
-    rows = parse_documents(docs, default_year).select("doc_id", *(F.col(f"header.{c}").alias(c) for c in ROW_FIELDS), "source_file", "bank_name", F.explode("rows").alias("r"))
+    return rows_of(parse_documents(docs, default_year))
+
+
+def rows_of(parsed: DataFrame) -> DataFrame:
+    """The rows of parse_documents' result, as parse_statements gives them."""
+    rows = parsed.select("doc_id", *(F.col(f"header.{c}").alias(c) for c in ROW_FIELDS), "source_file", "bank_name", F.explode("rows").alias("r"))
     return rows.select(*COLUMNS[:1], *(F.col(f"r.{c}").alias(c) for c in COLUMNS[1:]), *ROW_FIELDS, "source_file", "bank_name")
 
 
@@ -368,14 +395,21 @@ def statements(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     parse_statements was written to) their totals meet the headers by doc_id.
     """
     if rows is None:
-        parsed = parse_documents(docs)
-        sums = L.totals(parsed.select("doc_id", "bank_name", "source_file", "header", F.explode_outer("rows").alias("r")).select("doc_id", "bank_name", "source_file", "header", "r.*"), ("bank_name", "source_file", "header"))
-        out = sums.withColumnsRenamed({"opening_c": "first_c", "closing_c": "last_c"}).select("doc_id", "bank_name", "source_file", "header.*", "n_transactions", "credits_c", "debits_c", "first_c", "last_c")
-        none = F.col("n_transactions") == 0
-        out = out.withColumns({c: F.when(~none, F.col(c)) for c in ("credits_c", "debits_c")})
-    else:
-        heads = M.bank_headers(_banked(docs), "bank_name", keep=["source_file"])
-        out = heads.join(L.totals(rows).withColumnsRenamed({"opening_c": "first_c", "closing_c": "last_c"}), "doc_id", "left")
+        return statements_of(parse_documents(docs))
+    heads = M.bank_headers(_banked(docs), "bank_name", keep=["source_file"])
+    return _told(heads.join(L.totals(rows).withColumnsRenamed({"opening_c": "first_c", "closing_c": "last_c"}), "doc_id", "left"))
+
+
+def statements_of(parsed: DataFrame) -> DataFrame:
+    """The statements of parse_documents' result, as statements gives them."""
+    each = parsed.select("doc_id", "bank_name", "source_file", "header", F.explode_outer("rows").alias("r")).select("doc_id", "bank_name", "source_file", "header", "r.*")
+    sums = L.totals(each, ("bank_name", "source_file", "header")).withColumnsRenamed({"opening_c": "first_c", "closing_c": "last_c"})
+    none = F.col("n_transactions") == 0
+    out = sums.select("doc_id", "bank_name", "source_file", "header.*", "n_transactions", "credits_c", "debits_c", "first_c", "last_c")
+    return _told(out.withColumns({c: F.when(~none, F.col(c)) for c in ("credits_c", "debits_c")}))
+
+
+def _told(out: DataFrame) -> DataFrame:
     out = out.withColumns({"n_transactions": F.coalesce("n_transactions", F.lit(0)), "opening_c": F.coalesce("opening_c", "first_c"), "closing_c": F.coalesce("closing_c", "last_c")})
     return out.drop("first_c", "last_c").withColumns({
         "reconciled": L.reconciled(F.col("opening_c"), F.col("credits_c"), F.col("debits_c"), F.col("closing_c")),

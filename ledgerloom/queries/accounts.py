@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks, streaming
 from ..operators import entitle as E
+from ..plans.stages import shared_folder
 from .base import table
 
 NOW = "2024-01-20 00:00:00"
@@ -132,6 +133,23 @@ def first_hit_windows(spark, d) -> DataFrame:
     return out.select("event_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "refused")
 
 
+def keyed_upsert(spark, d) -> DataFrame:
+    """Payments put into a table by parts of its key in three steps, the last of which repeats the one before."""
+    p = payments(spark, d)
+    kept = sinks.KeyedTable(spark, shared_folder(spark), "reference", ["ts", "event_id"], parts=8)
+    for step in (p.where("event_id % 2 = 0"), p.where("event_id % 2 = 1"), p.where("event_id % 2 = 1")):
+        kept.upsert(step)
+    return kept.read().select("reference", "event_id", "status", "amount")
+
+
+def payment_outcomes(spark, d) -> DataFrame:
+    """The plan of the streams on tables: each reference is made with its first notice and done with its completions."""
+    p = payments(spark, d)
+    made = p.groupBy("reference").agg(F.min("ts").alias("created"))
+    out = streaming.payment_outcomes(made, p.where("status = 'Complete'").select("reference", F.col("ts").alias("completed")), minutes=15, late_minutes=60)
+    return out.select("reference", "outcome", F.date_format("completed", "yyyy-MM-dd HH:mm:ss").alias("completed"))
+
+
 def once_per_reference(spark, d) -> DataFrame:
     """The first notice of each reference."""
     return streaming.once(payments(spark, d), "reference", order=("ts", "event_id")).select("reference", "event_id", "status", "amount")
@@ -139,7 +157,7 @@ def once_per_reference(spark, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     access_decision, low_credit, plan_terms, usage_by_period, usage_rows, quota_accept, deduction_machine, usage_log_rows, plan_effects, latest_per_key, idempotent_upsert, payment_status_case, processed_once, pending_expiry,
-    late_completion, admin_metrics, point_lookup, rate_windows, first_hit_windows, once_per_reference,
+    late_completion, keyed_upsert, payment_outcomes, admin_metrics, point_lookup, rate_windows, first_hit_windows, once_per_reference,
 )}
 
 _USERS = """users AS (SELECT c_custkey AS user_id, CASE c_custkey % 5 WHEN 0 THEN 'FREE' WHEN 1 THEN 'PAYG_10' WHEN 2 THEN 'MONTHLY_25' WHEN 3 THEN 'PRO_YEAR_UNLIMITED' ELSE 'OTHER' END AS plan, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 6 AS INT) END AS credits,
@@ -182,6 +200,10 @@ ORACLES = {
         ) SELECT user_id, CASE k WHEN 0 THEN 'PAYG_10' WHEN 1 THEN 'MONTHLY_25' ELSE 'PRO_YEAR_UNLIMITED' END AS plan_code, coalesce(c, -1) AS credits_remaining, CAST(r AS VARCHAR) AS renewal_date FROM fold WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""",
     "latest_per_key": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "idempotent_upsert": f"WITH {_PAYMENTS} SELECT reference, event_id, status, amount FROM payments QUALIFY row_number() OVER (PARTITION BY reference ORDER BY ts DESC, event_id DESC) = 1",
+    "keyed_upsert": f"WITH {_PAYMENTS} SELECT reference, event_id, status, amount FROM payments QUALIFY row_number() OVER (PARTITION BY reference ORDER BY ts DESC, event_id DESC) = 1",
+    "payment_outcomes": f"""WITH {_PAYMENTS}, p AS (SELECT reference, min(ts) AS a, min(ts) FILTER (WHERE status = 'Complete') AS b FROM payments GROUP BY reference)
+        SELECT reference, CASE WHEN b <= a + INTERVAL 15 MINUTE THEN 'credited' ELSE 'Expired' END AS outcome, CASE WHEN b <= a + INTERVAL 15 MINUTE THEN {_STAMP.format('b')} END AS completed FROM p
+        UNION ALL SELECT reference, 'credited_late', {_STAMP.format('b')} FROM p WHERE b > a + INTERVAL 15 MINUTE AND b <= a + INTERVAL 60 MINUTE""",
     "payment_status_case": f"""WITH {_PAYMENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY ts, event_id) AS n FROM payments), f AS (SELECT reference, arg_min(status, n) AS s, min(ts) AS t FROM o WHERE status <> 'Pending' GROUP BY reference)
         SELECT o.reference, arg_max(status, n) AS status, arg_max(amount, n) AS amount, {_STAMP.format('any_value(t)')} AS processed_at, coalesce(any_value(s) = 'Complete', false) AS paid, count(*) AS n_notices FROM o LEFT JOIN f USING (reference) GROUP BY o.reference""",
     "processed_once": f"WITH {_PAYMENTS} SELECT event_id, {_STAMP.format('x')} AS processed_at FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN TIMESTAMP '2020-01-01' WHEN status <> 'Pending' THEN ts END AS x FROM payments)",

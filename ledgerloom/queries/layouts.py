@@ -11,6 +11,9 @@ from ..operators import ledger as L
 from ..operators import normalize as N
 from ..plans import layouts as P
 from ..plans.job import run_parse_job
+from ..plans.requests import handle
+from . import accounts
+from .accounts import _USERS as USERS_SQL
 from .base import LEDGER_SQL, OPENING_C, ledger, printed, rands, rendered, table
 
 
@@ -91,6 +94,16 @@ def layout_blocks(spark, d) -> DataFrame:
     return _columns(P.blocks_v2(block_text(ledger(spark, d))))
 
 
+def standard_cases(spark, d) -> DataFrame:
+    """Standard Bank's rows of six kinds by turns: with a marker line, of a block that is skipped, reversed behind a reference, reversed at once, plain, and a fee whose reference stands lines before."""
+    owed = lambda c: F.concat(as_text(F.abs(c)), F.when(c < 0, "-").otherwise(""))
+    money, ref = F.concat(owed(F.col("amount_c")), F.lit(" "), owed(F.col("balance_c"))), F.concat(F.lit("REF ROL"), F.date_format("day", "ddMMyy"))
+    kinds = (("CARD ORDER", "##", money, ref), ("THESE FEES INCLUDE VAT", money, ref), ("CARD ORDER", money, ref, "RTD-NOT PROVIDED FOR"), ("CARD ORDER", money, "RTD-NOT PROVIDED FOR"), ("CARD ORDER", money, ref), ("FEE-UNPAID ITEM", money))
+    line = F.coalesce(*(F.when(F.col("row_idx") % 6 == k, F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in parts))) for k, parts in enumerate(kinds)))
+    text = rendered(ledger(spark, d), line, "Standard Bank\nOpening balance\ncredits debits\nStatement from 1 January 2005 to 31 December 2011\n", "\nend\n")
+    return _columns(P.standard_bank(text))
+
+
 def layout_single(spark, d) -> DataFrame:
     rows = ledger(spark, d).where("row_idx = 1")
     text = F.concat(F.lit("CARD ORDER "), as_text(F.abs("amount_c")), F.lit("- "), F.date_format("day", "MM dd"), F.lit(" "), as_text(F.col("balance_c")), F.lit("\nYear "), F.date_format("day", "yyyy"))
@@ -136,6 +149,34 @@ def mixed_statements(spark, d) -> DataFrame:
     return P.statements(_all_banks(spark, d))
 
 
+REQUESTS_SQL = """read AS (SELECT doc_id // 2 AS request_id, count(*) AS n_files, arg_min(e, doc_id) FILTER (e IS NOT NULL) AS e, sum(n) AS n FROM (
+          SELECT doc_id, CASE doc_id % 7 WHEN 5 THEN 'UNKNOWN_BANK' WHEN 6 THEN 'UNSUPPORTED_BANK' END AS e, CASE WHEN doc_id % 7 < 5 THEN count(*) + CASE WHEN doc_id % 7 IN (1, 2) THEN 1 ELSE 0 END ELSE 0 END AS n FROM ledger GROUP BY doc_id) GROUP BY request_id),
+        asked AS (SELECT c_custkey AS request_id, c_custkey % 31 AS user_id, coalesce(e, CASE WHEN n_files IS NULL THEN 'NO_FILE_UPLOADED' ELSE 'OK' END) AS could, coalesce(n_files, 0) AS n_files, n FROM customer LEFT JOIN read ON request_id = c_custkey),
+        j AS (SELECT a.*, plan, verified, live, renewal, CASE plan WHEN 'FREE' THEN 15 - used WHEN 'PAYG_10' THEN coalesce(credits, 0) WHEN 'MONTHLY_25' THEN coalesce(credits, 0) END AS quota, CASE WHEN NOT verified THEN 'EMAIL_NOT_VERIFIED'
+          WHEN plan = 'PRO_YEAR_UNLIMITED' THEN CASE WHEN live AND renewal > TIMESTAMP '2024-01-20' THEN 'OK' ELSE 'SUBSCRIPTION_EXPIRED' END WHEN plan IN ('MONTHLY_25', 'PAYG_10') THEN CASE WHEN coalesce(credits, 0) > 0 THEN 'OK' ELSE 'CREDITS_EXHAUSTED' END
+          WHEN plan = 'FREE' THEN CASE WHEN used < 15 THEN 'OK' ELSE 'FREE_LIMIT_REACHED' END ELSE 'INVALID_PLAN' END AS gate FROM asked a LEFT JOIN users u USING (user_id)),
+        b AS (SELECT *, coalesce(count(*) FILTER (gate = 'OK' AND could = 'OK') OVER (PARTITION BY user_id ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM j),
+        o AS (SELECT *, CASE WHEN plan IS NULL THEN 'UNAUTHORIZED' WHEN gate <> 'OK' THEN gate WHEN before >= quota THEN CASE WHEN plan = 'FREE' THEN 'FREE_LIMIT_REACHED' ELSE 'CREDITS_EXHAUSTED' END ELSE could END AS outcome FROM b)"""
+
+
+def _request_run(spark, d):
+    """Requests of two statements each, by customers' numbers; 31 users, one of whom is unknown."""
+    files = _all_banks(spark, d).select(F.floor(F.col("doc_id") / 2).alias("request_id"), (F.col("doc_id") % 2).alias("file_no"), "source_file", "text")
+    requests = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 31).alias("user_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("c_custkey")).alias("ts"))
+    return handle(requests, files, accounts.users(spark, d), accounts.now())
+
+
+def request_answers(spark, d) -> DataFrame:
+    return _request_run(spark, d).answers.select("request_id", "user_id", "outcome", "status", "n_files", "n_transactions", "credits_deducted")
+
+
+def request_users(spark, d) -> DataFrame:
+    """What the requests leave to their users, and what the log has of them."""
+    run = _request_run(spark, d)
+    log = run.usage_log.groupBy("user_id").agg(F.count("*").alias("logged"), F.sum("credits_deducted").alias("deducted"))
+    return run.users.join(log, "user_id").select("user_id", "credits_remaining", "lifetime_parses_used", "logged", "deducted")
+
+
 def parse_job(spark, d) -> DataFrame:
     """The staged job over two layouts that it tells apart, and texts that are no statements."""
     rows = ledger(spark, d)
@@ -181,7 +222,7 @@ def json_render(spark, d) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    layout_capitec, layout_absa, layout_fnb, layout_nedbank, layout_discovery, layout_standard, layout_blocks, layout_single, parse_mixed, mixed_status, mixed_rows, mixed_statements, parse_job, union_sources, statement_envelope,
+    layout_capitec, layout_absa, layout_fnb, layout_nedbank, layout_discovery, layout_standard, standard_cases, layout_blocks, layout_single, parse_mixed, mixed_status, mixed_rows, mixed_statements, request_answers, request_users, parse_job, union_sources, statement_envelope,
     csv_render, csv_statement, csv_generic, json_render,
 )}
 
@@ -208,6 +249,11 @@ ORACLES = {
         SELECT doc_id, {_BANK}, {_HEADER}, CASE WHEN doc_id % 7 = 4 THEN '31 December 2008' END AS statement_date, CASE doc_id % 7 WHEN 1 THEN '1 Jan 2005' WHEN 4 THEN '1 January 2008' END AS period_start, CASE doc_id % 7 WHEN 1 THEN '31 Dec 2011' WHEN 4 THEN '31 December 2008' END AS period_end,
           CAST(opening_c AS BIGINT) AS opening_c, CAST(closing_c AS BIGINT) AS closing_c, CAST(CASE WHEN doc_id % 7 = 4 THEN -1234 END AS BIGINT) AS total_vat_c, CASE WHEN read THEN n ELSE 0 END AS n_transactions, CASE WHEN read THEN cr END AS credits_c, CASE WHEN read THEN dr END AS debits_c,
           abs(opening_c + CASE WHEN read THEN cr - dr END - closing_c) < 2 AS reconciled, CASE doc_id % 7 WHEN 5 THEN 'UNKNOWN_BANK' WHEN 6 THEN 'UNSUPPORTED_BANK' END AS error_code FROM s""",
+    "request_answers": f"""WITH {LEDGER_SQL}, {USERS_SQL}, {REQUESTS_SQL}
+        SELECT request_id, user_id, outcome, CASE WHEN outcome = 'OK' THEN 200 WHEN outcome = 'UNAUTHORIZED' THEN 401 WHEN outcome IN ('NO_FILE_UPLOADED', 'UNSUPPORTED_BANK', 'UNKNOWN_BANK') THEN 400 ELSE 403 END AS status, n_files,
+          CASE WHEN outcome = 'OK' THEN CAST(n AS BIGINT) ELSE 0 END AS n_transactions, CASE WHEN outcome = 'OK' AND plan <> 'PRO_YEAR_UNLIMITED' THEN 1 ELSE 0 END AS credits_deducted FROM o""",
+    "request_users": f"""WITH {LEDGER_SQL}, {USERS_SQL}, {REQUESTS_SQL}, g AS (SELECT user_id, count(*) AS logged, count(*) FILTER (plan <> 'PRO_YEAR_UNLIMITED') AS deducted FROM o WHERE outcome = 'OK' GROUP BY user_id)
+        SELECT user_id, CASE WHEN plan IN ('PAYG_10', 'MONTHLY_25') THEN coalesce(credits, 0) - deducted ELSE credits END AS credits_remaining, CASE WHEN plan = 'FREE' THEN used + deducted ELSE used END AS lifetime_parses_used, logged, deducted FROM g JOIN users USING (user_id)""",
     "layout_capitec": _FROM_LEDGER("'Order no part'"),
     "layout_absa": f"""WITH {LEDGER_SQL} SELECT doc_id, {_DATE} AS date, 'Card Order |' AS description, amount_c, balance_c FROM ledger
         UNION ALL SELECT DISTINCT doc_id, '01/01/2005', 'Bal Brought Forward', 0, {OPENING_C} FROM ledger""",
@@ -217,6 +263,10 @@ ORACLES = {
         UNION ALL SELECT DISTINCT doc_id, '01/01/2005', 'OPENING BALANCE', 0, {OPENING_C} FROM ledger""",
     "layout_discovery": _FROM_LEDGER("'CARD ORDER'"),
     "layout_standard": _FROM_LEDGER("'CARD ORDER REF ROL' || strftime(day, '%d%m%y')", f"""strftime(CASE WHEN x IS NULL THEN day WHEN x BETWEEN DATE '2005-01-01' AND DATE '2011-12-31' THEN x ELSE day END, '%d/%m/%Y')""", f"balance_c - {OPENING_C}").replace("FROM ledger WHERE", "FROM (SELECT *, CAST(try_strptime('20' || strftime(day, '%d-%m-%y'), '%Y-%m-%d') AS DATE) AS x FROM ledger) WHERE"),
+    "standard_cases": f"""WITH {LEDGER_SQL}, k AS (SELECT *, row_idx % 6 AS kind, CASE WHEN row_idx % 6 = 5 THEN lag(day) OVER (PARTITION BY doc_id ORDER BY row_idx) ELSE day END AS ref FROM ledger),
+        x AS (SELECT *, CAST(try_strptime('20' || strftime(ref, '%d-%m-%y'), '%Y-%m-%d') AS DATE) AS x FROM k WHERE kind IN (0, 4, 5))
+        SELECT doc_id, strftime(CASE WHEN x BETWEEN DATE '2005-01-01' AND DATE '2011-12-31' THEN x ELSE ref END, '%d/%m/%Y') AS date, CASE WHEN kind = 5 THEN 'FEE-UNPAID ITEM' ELSE 'CARD ORDER' END || ' REF ROL' || strftime(ref, '%d%m%y') AS description,
+          amount_c, CAST(sum(amount_c) OVER (PARTITION BY doc_id ORDER BY row_idx) AS BIGINT) AS balance_c FROM x""",
     "layout_blocks": f"""WITH {LEDGER_SQL} SELECT doc_id, {_DATE} AS date, 'Card order more' AS description, CASE WHEN row_idx = 1 THEN abs(amount_c) ELSE amount_c END AS amount_c, balance_c FROM ledger WHERE amount_c <> 0""",
     "layout_single": f"WITH {LEDGER_SQL} SELECT doc_id, {_DATE} AS date, 'CARD ORDER' AS description, -abs(amount_c) AS amount_c, balance_c FROM ledger WHERE row_idx = 1",
     "parse_mixed": f"""WITH {LEDGER_SQL} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Capitec' WHEN 1 THEN 'ABSA' WHEN 2 THEN 'Nedbank' ELSE 'Discovery' END AS bank_name, 's' || doc_id || '.txt' AS source_file,

@@ -120,8 +120,19 @@ def payload_hash(spark, d) -> DataFrame:
 
 def payload_parse(spark, d) -> DataFrame:
     e = table(spark, d, "events")
+    # Bodies with transactions, an empty one, a broken one, and one with more than was asked for.
+    rows = F.element_at(F.array(*map(F.lit, ('{"transactions":[{"date":"x","amount":1},{"date":"y","balance":2.5}]}', "", '{"transactions":[{"date":', '{"transactions":[{"date":"x","amount":1.5,"more":{"a":[1,2]}}]}'))), (F.col("event_id") % 4 + 1).cast("int"))
     form = sources.form(F.concat(F.lit("Status="), F.col("event_type"), F.lit("&Name=A%20b&Id="), F.col("event_id").cast("string")))
-    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), form["Status"].alias("status"), form["Name"].alias("name"), form["Id"].cast("long").alias("id"), F.size(sources.json_transactions(F.lit('[{"date":"x","amount":1}]'))).alias("n"))
+    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), form["Status"].alias("status"), form["Name"].alias("name"), form["Id"].cast("long").alias("id"), F.size(sources.json_transactions(F.get_json_object(rows, "$.transactions"))).alias("n"))
+
+
+def text_bytes(spark, d) -> DataFrame:
+    """Documents as files whose bytes are not all UTF-8: a lone Latin-1 letter, a sequence cut short, a byte that never stands in text."""
+    files = table(spark, d, "documents").select(
+        F.concat(F.lit("dbfs:/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.concat(F.unhex(F.lit("636166E920")), F.encode("text", "UTF-8"), F.unhex(F.lit("20E282FF"))).alias("content"),
+    )
+    return sources.decoded(files).select("source_file", F.length("text").alias("length"), F.md5("text").alias("text_md5"), "error_code")
 
 
 def meta_first_match(spark, d) -> DataFrame:
@@ -143,7 +154,7 @@ def header_only_meta(spark, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     classify_document, signal_votes, dispatch_bank, registry_lookup, bank_name_map, request_guards, file_dispatch, convert_guards, money_parse, date_disambiguate, date_validity, year_resolve, text_normalise, reference_split,
-    token_digest, payload_hash, payload_parse, meta_first_match, header_only_meta,
+    token_digest, payload_hash, payload_parse, text_bytes, meta_first_match, header_only_meta,
 )}
 
 _VOTES = """(CAST(contains(t, 'opening balance') OR contains(t, 'balance brought forward') OR contains(t, 'bal brought forward') AS INT) + CAST(contains(t, 'closing balance') OR contains(t, 'final balance') OR contains(t, 'current balance') AS INT)
@@ -193,7 +204,8 @@ ORACLES = {
           md5(regexp_replace(regexp_replace(array_to_string(list_transform(l, lambda x, i: CASE WHEN regexp_matches(x, '^[a-z0-9_]$') AND (i = 1 OR NOT regexp_matches(l[i - 1], '^[a-z0-9_]$')) THEN upper(x) ELSE x END), ''), '\\bAbsa\\b', 'ABSA', 'g'), '\\bFnb\\b', 'FNB', 'g')) AS title FROM c""",
     "reference_split": """SELECT event_id, CAST(user_id AS VARCHAR) AS "user", upper(event_type) || '_10' AS plan, CAST(NULL AS VARCHAR) AS "none", 'LL-' || right(CAST(event_id + 1700000000000 AS VARCHAR), 10) AS bank, CAST(CAST(CAST(event_id AS DECIMAL(20,2)) / 100 AS DECIMAL(20,2)) AS VARCHAR) AS price FROM events""",
     "token_digest": "SELECT event_id, sha256(event_type || '-' || event_id) AS digest FROM events",
-    "payload_parse": "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS status, 'A b' AS name, event_id AS id, 1 AS n FROM events",
+    "payload_parse": "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS status, 'A b' AS name, event_id AS id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 1 END AS n FROM events",
+    "text_bytes": "SELECT doc_id || '.txt' AS source_file, length(t) AS length, md5(t) AS text_md5, CASE WHEN t IS NULL THEN 'NO_FILE_BUFFER' END AS error_code FROM (SELECT doc_id, 'caf' || chr(65533) || ' ' || text || ' ' || chr(65533) || chr(65533) AS t FROM documents)",
     "meta_first_match": """WITH c AS (SELECT c_custkey AS doc_id, lpad(CAST(c_custkey AS VARCHAR), 10, '7') AS a, CAST(abs(round(CAST(c_acctbal AS DECIMAL(18,2)) * 100)) AS BIGINT) AS b FROM customer)
         SELECT doc_id, a AS account_number, 'Jane Doe' AS client_name, '01/02/2001' AS period_start, '28/02/2001' AS period_end, b AS opening_c, -b AS closing_c FROM c""",
     "header_only_meta": """SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 <> 0 THEN 'JOHN SMITH' END AS full_name, CASE WHEN c_custkey % 4 <> 1 THEN lpad(CAST(c_custkey AS VARCHAR), 8, '5') END AS account_number, CASE WHEN c_custkey % 4 <> 2 THEN '2001-02-01' END AS period_from,

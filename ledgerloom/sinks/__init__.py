@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import plain_text
+from ..plans.stages import stored
 
 
 def quoted(c: Column) -> Column:
@@ -66,6 +69,40 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+class KeyedTable:
+    """A table of files with at most one row for each key, in parts by the key's hash: an upsert reads and rewrites only the parts that its keys fall into.
+
+    order: the columns by which the last of several rows of a key stays; of equal ones it must not matter which. A part
+    is replaced when all of its new files are written, so readers see it as it was or as it is; an upsert that was
+    stopped is run again, and running it twice changes nothing. One writer at a time. The number of parts stays as it is.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, order: Sequence[str], parts: int = 64):
+        self.spark, self.path, self.key, self.order, self.parts = spark, path, key, tuple(order), parts
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
+
+    def read(self) -> DataFrame | None:
+        """The table; null before the first upsert."""
+        found = stored(self.spark, self.path)
+        return None if found is None else found.drop("part")
+
+    def upsert(self, new: DataFrame) -> list[int]:
+        """Puts rows in, or in the place of their key's if they are not before it by order. The parts that were written."""
+        new = new.withColumn("part", self._part())
+        touched = sorted(r.part for r in new.select("part").distinct().collect())  # numbers of parts
+        if not touched:
+            return []
+        found = stored(self.spark, self.path)
+        both = new if found is None else found.where(F.col("part").isin(touched)).unionByName(new, allowMissingColumns=True)
+        w = Window.partitionBy("part", self.key).orderBy(*(F.col(c).desc() for c in self.order))
+        # Rows of a part meet in its files' task by the exchange that the window needs.
+        merged = both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").repartition("part")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
+        return touched
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str, *order: Column) -> DataFrame:
     """existing with rows of new put in or replaced by key; of rows of one key the last by order stays. Running it twice changes nothing."""
     from ..operators.entitle import latest

@@ -13,20 +13,27 @@ from ..functions.references import form_fields
 from ..operators.classify import file_kind
 
 PDF = "struct<text:string,pages:int,info:map<string,string>>"
+#: Columns of the binaryFile source, which a stream must be told.
+BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 TRANSACTION = "array<struct<date:string,description:string,amount:double,balance:double>>"
 
 
+def utf8(content: Column) -> Column:
+    """Bytes as text whatever they are: what is not UTF-8 becomes replacement characters (U+FFFD); a byte-order mark stays."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """doc_id, source_file, kind, pages, info, text, error_code from path and content (as of the binaryFile source), and mime if it is there.
 
     A text is one page; a PDF has its count of pages and its information fields; other files have neither. Texts and
-    files of unknown kinds are read as UTF-8. PDF needs the pypdf library where the executors run; without
+    files of unknown kinds are read as UTF-8 (see utf8). PDF needs the pypdf library where the executors run; without
     it such files have an error code and no text.
     """
     kind = file_kind(F.col("path"), F.col("mime") if "mime" in files.columns else None)
     has_pdf = importlib.util.find_spec("pypdf") is not None
     files = files.withColumn("pdf", F.pandas_udf(_pages, PDF)(F.when(kind == "pdf", F.col("content"))) if has_pdf else F.lit(None).cast(PDF))
-    text = F.coalesce(F.when(kind != "pdf", F.decode("content", "UTF-8")), F.col("pdf.text"))
+    text = F.coalesce(F.when(kind != "pdf", utf8(F.col("content"))), F.col("pdf.text"))
     error = F.when(F.col("content").isNull(), "NO_FILE_BUFFER").when((kind == "pdf") & F.lit(not has_pdf), "PDF_LIBRARY_MISSING").when((kind == "pdf") & F.col("pdf.text").isNull(), "PARSER_ERROR")
     return files.select(F.xxhash64("path", "content").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("source_file"), kind.alias("kind"), F.when(kind == "text", 1).otherwise(F.col("pdf.pages")).alias("pages"), F.col("pdf.info").alias("info"), text.alias("text"), error.alias("error_code"))
 
@@ -80,6 +87,24 @@ def form(body: Column) -> Column:
     return form_fields(body)
 
 
-def by_key(spark: SparkSession, url: str, table: str, key: str, value: int, properties: dict) -> DataFrame:
-    """Rows of a database table by key; the condition is pushed down."""
-    return spark.read.jdbc(url, table, properties=properties).where(F.col(key) == value)
+def database(spark: SparkSession, url: str, table: str, properties: dict | None = None, spread: str | None = None, parts: int = 8, where: Column | None = None) -> DataFrame:
+    """Rows of a database table, read by several connections at once: the number or time column `spread` is cut into `parts` ranges between its least and greatest value, which one query asks for.
+
+    where and the columns that are used are part of each connection's query. Rows without a value of spread are read too.
+    """
+    properties = properties or {}
+    if spread is None:
+        rows = spark.read.jdbc(url, table, properties=properties)
+    else:
+        name = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(spread)  # as this database quotes it
+        ends = spark.read.jdbc(url, f"(SELECT MIN({name}) AS low, MAX({name}) AS high FROM {table}) ends", properties=properties).toDF("low", "high").first()
+        if ends.low is None:
+            rows = spark.read.jdbc(url, table, properties=properties)
+        else:
+            rows = spark.read.jdbc(url, table, column=spread, lowerBound=str(ends.low), upperBound=str(ends.high), numPartitions=parts, properties=properties)
+    return rows if where is None else rows.where(where)
+
+
+def by_key(spark: SparkSession, url: str, table: str, key: str, value, properties: dict | None = None) -> DataFrame:
+    """Rows of a database table by key; the condition is part of the query that the database gets."""
+    return database(spark, url, table, properties, where=F.col(key) == F.lit(value))

@@ -1,48 +1,15 @@
-"""The streaming side: rate windows, idempotent payment notices, late completions. Plans work on batch and stream tables."""
+"""The streaming side: rate windows, payment notices, statements as they arrive. Plans work on batch and stream tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Requests allowed in fifteen minutes.
-LIMITS = {"global": 500, "parse": 30, "strict": 20}
-WINDOW = "15 minutes"
-
-
-def rate_windows(events: DataFrame, key: str, limit: int, watermark: str | None = None) -> DataFrame:
-    """key, window_start, hits, refused: tumbling windows from the epoch. watermark: on a stream, how late events may be."""
-    if watermark:
-        events = events.withWatermark("ts", watermark)
-    counted = events.groupBy(F.window("ts", WINDOW), key).agg(F.count("*").alias("hits"))
-    return counted.select(key, F.col("window.start").alias("window_start"), "hits", F.greatest(F.lit(0), F.col("hits") - limit).alias("refused"))
-
-
-def first_hit_windows(events: DataFrame, key: str, limit: int, seconds: int = 900) -> DataFrame:
-    """events with window_start and refused: windows that begin with a key's first hit after the last one ended.
 
-    Where a window begins depends on the one before, so each key's hits are gone through in order: those of one key are
-    one task's, in memory at once (some 100 bytes each).
-    """
+from .limits import LIMITS, WINDOW, first_hit_windows, limited_stream, rate_windows
+from .payments import payment_outcomes, payment_state
+from .statements import Intake
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"], kind="stable")
-        starts, refused, start, n = [], [], None, 0
-        for at in rows["ts"]:
-            if start is None or (at - start).total_seconds() >= seconds:
-                start, n = at, 0
-            n += 1
-            starts.append(start)
-            refused.append(n > limit)
-        return rows.assign(window_start=starts, refused=refused)
-
-    picked = events.select("event_id", key, "ts")
-    schema = T.StructType([*picked.schema.fields, T.StructField("window_start", picked.schema["ts"].dataType), T.StructField("refused", T.BooleanType())])
-    return picked.groupBy(key).applyInPandas(run, schema)
+__all__ = ["LIMITS", "WINDOW", "Intake", "first_hit_windows", "limited_stream", "once", "payment_outcomes", "payment_state", "rate_windows"]
 
 
 def once(notices: DataFrame, key: str, watermark: str | None = None, order: tuple[str, ...] = ("ts",)) -> DataFrame:
@@ -50,27 +17,3 @@ def once(notices: DataFrame, key: str, watermark: str | None = None, order: tupl
     if watermark:
         return notices.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
     return notices.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*notices.columns), F.struct(*order)).alias("first")).select("first.*")
-
-
-_STATE = "hits long, start timestamp"
-
-
-def limited_stream(events: DataFrame, key: str, limit: int, seconds: int = 900) -> DataFrame:
-    """Stream version of first_hit_windows: key, ts, window_start, refused. State per key: a window's start and its hits."""
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, start = state.get if state.exists else (0, None)
-        for rows in batches:
-            rows = rows.sort_values("ts", kind="stable")
-            starts, refused = [], []
-            for at in rows["ts"]:
-                if start is None or (at - start).total_seconds() >= seconds:
-                    start, n = at, 0
-                n += 1
-                starts.append(start)
-                refused.append(n > limit)
-            yield pd.DataFrame({key: rows[key], "ts": rows["ts"], "window_start": starts, "refused": refused})
-        state.update((n, start))
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ts timestamp, window_start timestamp, refused boolean", _STATE, "append", "NoTimeout")
