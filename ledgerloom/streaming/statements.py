@@ -34,7 +34,7 @@ class Intake:
         """docs: doc_id, source_file, text, and error_code if there is one."""
         if "error_code" not in docs.columns:
             docs = docs.withColumn("error_code", F.lit(None).cast("string"))
-        docs = job_id(docs).dropDuplicates(["job_id"]).withColumn("slice", F.substring("job_id", 1, 2)).persist()
+        docs = job_id(docs).dropDuplicates(["job_id"]).withColumn("slice", F.concat(F.lit("s"), F.substring("job_id", 1, 2))).persist()
         try:
             jobs = self._read("jobs")
             if jobs is not None:

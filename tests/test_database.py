@@ -55,7 +55,7 @@ def test_bytes_that_are_not_utf8(spark, tmp_path):
     for k, b in enumerate(BYTES[:8]):
         (tmp_path / f"{k}.txt").write_bytes(b)
     read = {r.source_file: r.text for r in sources.read_files(spark, str(tmp_path)).collect()}
-    assert read == {f"{k}.txt": b.decode("utf8", "replace") for k, b in enumerate(BYTES[:8])}
+    assert read == {f"{k}.txt": b.decode("utf8", "replace") for k, b in enumerate(BYTES[:8]) if b}  # the source passes over empty files
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
