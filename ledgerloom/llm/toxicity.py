@@ -11,8 +11,8 @@ by round, on each text's highest window by the network so far, and on random one
 which both labels weigh the same, and words hidden at random. A word's input projections are remembered by worker, so a
 batch of windows costs two small products a step.
 
-Training is bounded: at most MOST labelled rows, the first by a hash of the id, and of each the first BYTES of its text
-(the sample that is fitted, never what is scored). A share CHECK of them is not fitted but sets the threshold, that of
+Training is bounded: at most MOST labelled rows, the first by a hash of the id, a very long text by PIECES
+pieces drawn from all its places (the sample that is fitted, never what is scored). A share CHECK of them is not fitted but sets the threshold, that of
 the highest F-beta (beta 0.5); scores are shifted so that it lies at 0.5.
 
 Defined results: null, empty and wordless texts have one empty window and its score; a very long text is scored whole,
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,9 @@ from .labelled import held_out, training_rows
 WINDOW, STEP = 32, 16
 #: Largest number of labelled rows that a model is fitted on.
 MOST = 3_000
-#: Bytes of a training text at most; 3,000 such texts are 96 MB on the driver.
-BYTES = 32_000
+#: A training text of more characters than PIECE * PIECES is represented by so many pieces of it, drawn from all its places
+#: alike; 3,000 such texts are 96 MB on the driver where letters are ASCII, four times that at most.
+PIECE, PIECES = 4_000, 8
 CHECK = 0.2
 #: Words of at least so many training texts have embeddings of their own.
 TEXTS = 4
@@ -404,8 +405,16 @@ def _fit(texts: list[str | None], y: np.ndarray, rounds: int = 4, passes: int =
     return model
 
 
+def _drawn(text: Column, id_: Column) -> Column:
+    """text, or PIECES of its pieces in order, those with the smallest hashes of id and place."""
+    n = F.ceil(F.char_length(text) / PIECE).cast("int")
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.xxhash64(id_, k).alias("h"), k.alias("k")))
+    drawn = F.array_sort(F.transform(F.slice(F.array_sort(places), 1, PIECES), lambda x: x["k"]))
+    return F.when(n > PIECES, F.array_join(F.transform(drawn, lambda k: F.substr(text, k * PIECE + 1, F.lit(PIECE))), " ")).otherwise(text)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", remainder: int = 0, of: int = 5, most: int = MOST) -> Model:
-    rows = training_rows(docs, labels, label, remainder, of, most).select("doc_id", "y", F.substr("text", F.lit(1), F.lit(BYTES)).alias("text")).toArrow()
+    rows = training_rows(docs, labels, label, remainder, of, most).select("doc_id", "y", _drawn(F.col("text"), F.col("doc_id")).alias("text")).toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")  # the order of collected rows is not fixed
     texts, y = rows.column("text").to_pylist(), rows.column("y").to_numpy()
     return fit([texts[i] for i in order], y[order])
