@@ -17,7 +17,9 @@ def job_id(docs: DataFrame) -> DataFrame:
 
 
 class Intake:
-    """Two tables in a folder: documents (as parse_documents, with job_id, error_code of reading, by batch), and jobs (job_id, by the first signs of it and batch).
+    """Two tables in a folder: documents (as parse_documents, with sent_id and read_error, by batch), and jobs (job_id, by the first signs of it and batch).
+
+    A document's doc_id here is its job id, as the numbers it is sent with (sent_id) may be the same in two batches.
 
     A batch is committed under its number: running it again, as a stream does after a stop, replaces what it wrote. A
     statement whose job id another batch has committed is left out, so a file that comes twice is there once. Ids are
@@ -43,9 +45,9 @@ class Intake:
                 new = docs.join(known, "job_id", "left_anti")
             else:
                 new = docs
-            # A document's number within the batch is its job.
-            parsed = parse_documents(new.select(F.col("job_id").alias("doc_id"), "source_file", "text"))
-            told = parsed.withColumnRenamed("doc_id", "job_id").join(new.select("job_id", "doc_id", F.col("error_code").alias("read_error")), "job_id").withColumn("batch", F.lit(batch_id))
+            job = F.col("job_id").alias("doc_id")
+            parsed = parse_documents(new.select(job, "source_file", "text"))
+            told = parsed.join(new.select(job, F.col("doc_id").alias("sent_id"), F.col("error_code").alias("read_error")), "doc_id").withColumn("batch", F.lit(batch_id))
             self._put(told, "documents", "batch")
             self._put(new.select("job_id", "slice", F.lit(batch_id).alias("batch")), "jobs", "slice", "batch")
         finally:
@@ -60,7 +62,7 @@ class Intake:
         return (writer.trigger(**trigger) if trigger else writer).start()
 
     def documents(self) -> DataFrame | None:
-        """parse_documents' columns, job_id and read_error of all that is committed; null before the first batch."""
+        """parse_documents' columns, sent_id and read_error of all that is committed; null before the first batch."""
         found = self._read("documents")
         return None if found is None else found.drop("batch")
 

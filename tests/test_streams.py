@@ -138,7 +138,7 @@ def test_statements_as_they_arrive(spark, tmp_path):
     new = spark.createDataFrame([(1, "new.txt", "x"), (2, "new.txt", "x"), (3, names[0], texts[names[0]].decode())], "doc_id long, source_file string, text string")
     for _ in range(2):
         intake.commit(new, 99)
-        assert len(table(intake.statements(), told)) == 10
+        assert len(table(intake.statements(), told)) == 10 and intake.documents().where("read_error is not null").count() == 0
 
 
 def test_upsert_of_one_key_writes_one_part(spark, tmp_path):
