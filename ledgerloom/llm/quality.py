@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches
+from .common import slices, small_batches, tidied
 from .labelled import held_out, training_rows
 
 FEATURES = ("log_bytes", "log_words", "word_length", "distinct_words", "top_word", "doubled_words", "upper", "digits", "marks", "stress", "symbols", "beyond_ascii", "line_length", "distinct_lines", "long_words", "distinct_bytes", "sentence_words", "short_words", "links")
@@ -170,7 +170,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", remainder: int = 1, of: int = 3, most: int = MOST) -> Additive:
     small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, label, remainder, of, most).select("y", "text").mapInArrow(_featured, "y int, x array<double>").toArrow()
+    rows = training_rows(docs, labels, label, remainder, of, most).select("y", "text").mapInArrow(lambda b: tidied(_featured(b)), "y int, x array<double>").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(rows.column("y").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # the order of collected rows is not fixed, sums of floats should be
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Additive, score_col: str = "score", text_col:
                 x = np.array(list(map(features, part.column(text_col).to_pylist())), float)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(x))], [*part.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(lambda b: tidied(run(b)), T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(score_col, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **training) -> DataFrame:
