@@ -71,6 +71,21 @@ DISCOVERY_CLIENT = r"((?:Mr|Mrs|Ms|Dr|Prof)[ \t]+[A-Za-z \t]+)"
 DISCOVERY_OPENING, DISCOVERY_CLOSING = (rf"(?i){edge} balance[^\d-]*?{_RAND}" for edge in ("Opening", "Closing"))
 STANDARD_ACCOUNT = r"(?i)account number[ \t]*([\d \t]+)"
 STANDARD_CLIENT = r"(?i)(mr\.[ \t]+[a-z \t]+)"
+# Headers that are read strictly, and in short.
+ABSA_HEADED_CLIENT = r"(?i)Cheque account statement\s+([A-Z][A-Z0-9&.,'/\- ]+?)\s+40-\d{4}-\d{4}"
+STRICT_NAME = r"MR\s+([A-Z]+)\s+([A-Z]+)"
+CAPITEC_STRICT_ACCOUNT = (r"Account\s+(\d{6,})",)
+CAPITEC_STRICT_DATES = tuple(rf"{edge} Date:\s+(\d{{2}}/\d{{2}}/\d{{4}})" for edge in ("From", "To"))
+CAPITEC_STRICT_BALANCES = tuple(rf"{edge} Balance:\s+R([\d,.]+)" for edge in ("Opening", "Closing"))
+FNB_STRICT_ACCOUNT = (r"(?i)Account\s*:\s*(\d{6,})", r"(?i)(\d{6,})\s+FNB")
+FNB_STRICT_PERIOD = r"(?i)Staat Periode\s*:\s*(\d{1,2}\s+\w+\s+\d{4})\s+tot\s+(\d{1,2}\s+\w+\s+\d{4})"
+ABSA_SHORT_ACCOUNT, ABSA_SHORT_CLIENT = r"(\d{2}-\d{4}-\d{4})", r"(?i)(MR\s+[A-Z\s]{2,30})"
+NEDBANK_SHORT_PERIOD = r"(?i)Statement period:\s*([\d/\-]+)\s*[–-]\s*([\d/\-]+)"
+NEDBANK_SHORT_BALANCES = tuple(rf"(?i){edge} balance\s*R?([\d,]+\.\d{{2}})" for edge in ("Opening", "Closing"))
+NEDBANK_SHORT_ACCOUNT, NEDBANK_SHORT_CLIENT, NEDBANK_SHORT_DATE = r"(?i)Account number\s*(\d{8,12})", r"\b((?:Mr|MR|Mrs|Ms)\s+[A-Z\s]+)", r"(?i)Statement date:\s*([\d/\-]+)"
+STANDARD_SHORT_PERIOD = r"(?i)Statement from\s+(.+?)\s+to\s+(.+?)\s+BANK STATEMENT"
+STANDARD_SHORT_ACCOUNT, STANDARD_SHORT_CLIENT, STANDARD_SHORT_DATE = r"(?i)Account Number\s*([\d\s]{10,20})", r"(MR\.\s+[A-Z\s]+)", r"(\d{2}\s+[A-Za-z]+\s+20\d{2})"
+STANDARD_SHORT_BALANCES = (r"BALANCE BROUGHT FORWARD\s+\d+\s+\d+\s+([\d,]+\.\d{2}-?)", r"Balance outstanding at date of statement\s+([\d,]+\.\d{2}-?)")
 # End of fixed values.
 
 
@@ -261,7 +276,7 @@ def account_by_label(lines: DataFrame, first_lines: int = 50) -> DataFrame:
 
 def absa_client(text: Column) -> Column:
     """The name between a heading and a formatted account number."""
-    return F.trim(first_match(text, (r"(?i)Cheque account statement\s+([A-Z][A-Z0-9&.,'/\- ]+?)\s+40-\d{4}-\d{4}",)))
+    return F.trim(first_match(text, (ABSA_HEADED_CLIENT,)))
 
 
 def strict_header(docs: DataFrame, bank: str) -> DataFrame:
@@ -270,16 +285,14 @@ def strict_header(docs: DataFrame, bank: str) -> DataFrame:
     bank: capitec (English dates) or fnb (Afrikaans ones).
     """
     t = F.col("text")
-    name = r"MR\s+([A-Z]+)\s+([A-Z]+)"
-    full = F.when(t.rlike(name), F.concat_ws(" ", F.regexp_extract(t, name, 1), F.regexp_extract(t, name, 2)))
+    full = F.when(t.rlike(STRICT_NAME), F.concat_ws(" ", F.regexp_extract(t, STRICT_NAME, 1), F.regexp_extract(t, STRICT_NAME, 2)))
     if bank == "capitec":
-        account = first_match(t, (r"Account\s+(\d{6,})",))
-        start, end = (dates.slashed(first_match(t, (rf"{edge} Date:\s+(\d{{2}}/\d{{2}}/\d{{4}})",))) for edge in ("From", "To"))
-        opening, closing = (money.plain(first_match(t, (rf"{edge} Balance:\s+R([\d,.]+)",))) for edge in ("Opening", "Closing"))
+        account = first_match(t, CAPITEC_STRICT_ACCOUNT)
+        start, end = (dates.slashed(first_match(t, (p,))) for p in CAPITEC_STRICT_DATES)
+        opening, closing = (money.plain(first_match(t, (p,))) for p in CAPITEC_STRICT_BALANCES)
     elif bank == "fnb":
-        account = first_match(t, (r"(?i)Account\s*:\s*(\d{6,})", r"(?i)(\d{6,})\s+FNB"))
-        p = r"(?i)Staat Periode\s*:\s*(\d{1,2}\s+\w+\s+\d{4})\s+tot\s+(\d{1,2}\s+\w+\s+\d{4})"
-        start, end = dates.worded(first_match(t, (p,), 1)), dates.worded(first_match(t, (p,), 2))
+        account = first_match(t, FNB_STRICT_ACCOUNT)
+        start, end = (dates.worded(first_match(t, (FNB_STRICT_PERIOD,), k)) for k in (1, 2))
         opening = closing = F.lit(None).cast("long")
     else:
         raise ValueError(bank)
@@ -292,20 +305,16 @@ def strict_header(docs: DataFrame, bank: str) -> DataFrame:
 def summary_header(docs: DataFrame, bank: str) -> DataFrame:
     """Header-only extraction without required fields, for absa, nedbank and standard_bank layouts."""
     t = squeeze(F.col("text"))
-    none = F.lit(None).cast("string")
+    none, amount = F.lit(None).cast("string"), F.lit(None).cast("long")
+    one = lambda p, k=1: first_match(t, (p,), k)
     if bank == "absa":
-        parts = (F.regexp_replace(first_match(t, (r"(\d{2}-\d{4}-\d{4})",)), "-", ""), F.trim(first_match(t, (r"(?i)(MR\s+[A-Z\s]{2,30})",))), none, none, none, F.lit(None).cast("long"), F.lit(None).cast("long"))
+        parts = (F.regexp_replace(one(ABSA_SHORT_ACCOUNT), "-", ""), F.trim(one(ABSA_SHORT_CLIENT)), none, none, none, amount, amount)
     elif bank == "nedbank":
-        p = r"(?i)Statement period:\s*([\d/\-]+)\s*[–-]\s*([\d/\-]+)"
-        amount = lambda label: F.coalesce(money.plain(first_match(t, (rf"(?i){label} balance\s*R?([\d,]+\.\d{{2}})",))), F.lit(0))
-        parts = (first_match(t, (r"(?i)Account number\s*(\d{8,12})",)), F.trim(first_match(t, (r"\b((?:Mr|MR|Mrs|Ms)\s+[A-Z\s]+)",))), first_match(t, (r"(?i)Statement date:\s*([\d/\-]+)",)), first_match(t, (p,), 1), first_match(t, (p,), 2), amount("Opening"), amount("Closing"))
+        balances = (F.coalesce(money.plain(one(p)), F.lit(0)) for p in NEDBANK_SHORT_BALANCES)
+        parts = (one(NEDBANK_SHORT_ACCOUNT), F.trim(one(NEDBANK_SHORT_CLIENT)), one(NEDBANK_SHORT_DATE), one(NEDBANK_SHORT_PERIOD), one(NEDBANK_SHORT_PERIOD, 2), *balances)
     elif bank == "standard_bank":
-        p = r"(?i)Statement from\s+(.+?)\s+to\s+(.+?)\s+BANK STATEMENT"
-        signed = lambda pattern: F.coalesce(money.trailing_sign(first_match(t, (pattern,))), F.lit(0))
-        parts = (
-            F.regexp_replace(first_match(t, (r"(?i)Account Number\s*([\d\s]{10,20})",)), r"\s", ""), F.trim(first_match(t, (r"(MR\.\s+[A-Z\s]+)",))), first_match(t, (r"(\d{2}\s+[A-Za-z]+\s+20\d{2})",)), first_match(t, (p,), 1), first_match(t, (p,), 2),
-            signed(r"BALANCE BROUGHT FORWARD\s+\d+\s+\d+\s+([\d,]+\.\d{2}-?)"), signed(r"Balance outstanding at date of statement\s+([\d,]+\.\d{2}-?)"),
-        )
+        balances = (F.coalesce(money.trailing_sign(one(p)), F.lit(0)) for p in STANDARD_SHORT_BALANCES)
+        parts = (F.regexp_replace(one(STANDARD_SHORT_ACCOUNT), r"\s", ""), F.trim(one(STANDARD_SHORT_CLIENT)), one(STANDARD_SHORT_DATE), one(STANDARD_SHORT_PERIOD), one(STANDARD_SHORT_PERIOD, 2), *balances)
     else:
         raise ValueError(bank)
     names = ("account_number", "client_name", "statement_date", "period_start", "period_end", "opening_c", "closing_c")

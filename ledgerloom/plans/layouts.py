@@ -305,8 +305,10 @@ def standard_rows(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return _final(L.carry_dates(L.running(rows), "day").withColumn("date", dates.printed(F.col("day"))), keep)
 
 
-_V2_TOKEN = r"\d{1,3}(?:[ ,]\d{3})*[.,]\d{2}-?"
-# Where a statement of this layout ends, and rows that are dropped.
+# Amounts and row starts of this layout, where its statements end, what is no part of a description, and rows that are dropped.
+_V2_TOKEN, _V2_START = r"\d{1,3}(?:[ ,]\d{3})*[.,]\d{2}-?", r"^\s*(\d{1,2}/\d{1,2}/\d{4})"
+_V2_WORDS = ((r"(?i)\b(Settlement|Headoffice)\b", ""), (r"\b[ACTMS]\b(?=\s*\d|$)", ""), (r"\b\d+\.\d{2}A\b", ""), (r"(?i)SERVICE FEE:.*$", ""), (r"(?i)CREDIT INTEREST RATE.*$", ""))
+_SINGLE = r"(?i)([A-Z\s\-]+)\s+([\d,]+\.\d{2}-?)\s+(\d{2})\s+(\d{2})\s+([\d,]+\.\d{2}-?)"
 _ENDS = [r"SERVICE FEE:", r"CREDIT\s+INTEREST\s+RATE", r"ABSA BUSINESS BANKING WILL BE UPDATING"]
 _DROPPED = r"(?i)^bal brought forward$|^proof of pmt email$|^notific fee sms"
 
@@ -324,13 +326,13 @@ def block_text(text: Column) -> Column:
 def block_rows(lines: DataFrame) -> DataFrame:
     """blocks_v2's rows from lines (doc_id, line_no, line) of block_text."""
     lines = lines.select("doc_id", "line_no", squeeze(F.col("line")).alias("line")).where(~K.noise_line(F.col("line")))
-    start = r"^\s*(\d{1,2}/\d{1,2}/\d{4})"
+    start = _V2_START
     rows = S.blocks(lines, F.col("line").rlike(start))
     found = F.regexp_extract_all(F.regexp_replace("text", start, ""), F.lit(_V2_TOKEN), F.lit(0))
     rows = rows.withColumn("found", found).where(F.size("found") > 0)
     printed = F.when(F.size("found") > 1, F.element_at("found", -2))
     ends = F.instr(F.col("text"), F.coalesce(printed, F.element_at("found", -1)))
-    words = clean(F.regexp_replace(F.substr("text", F.lit(1), ends - 1), start, ""), ((r"(?i)\b(Settlement|Headoffice)\b", ""), (r"\b[ACTMS]\b(?=\s*\d|$)", ""), (r"\b\d+\.\d{2}A\b", ""), (r"(?i)SERVICE FEE:.*$", ""), (r"(?i)CREDIT INTEREST RATE.*$", "")))
+    words = clean(F.regexp_replace(F.substr("text", F.lit(1), ends - 1), start, ""), _V2_WORDS)
     rows = rows.withColumns({"date": F.lpad(F.regexp_extract("text", start, 1), 10, "0"), "description": squeeze(words), "balance_c": money.token(F.element_at("found", -1)), "printed_c": money.token(printed), "opening_c": F.lit(None).cast("long")})
     rows = rows.withColumn("rejected", (F.col("description") == "") | F.col("description").rlike(_DROPPED))
     return _final(L.signed_fold(rows, carry=["date", "description"]))
@@ -338,7 +340,7 @@ def block_rows(lines: DataFrame) -> DataFrame:
 
 def standard_bank_single(docs: DataFrame, default_year: int | None = None) -> DataFrame:
     """The old single-row reading of a Standard Bank text: description, amount, month, day and balance, at most once."""
-    p = r"(?i)([A-Z\s\-]+)\s+([\d,]+\.\d{2}-?)\s+(\d{2})\s+(\d{2})\s+([\d,]+\.\d{2}-?)"
+    p = _SINGLE
     part = lambda k: F.regexp_extract("text", p, k)
     year = F.coalesce(F.nullif(F.regexp_extract("text", r"\b(20\d{2})\b", 1), F.lit("")), F.lit(str(default_year) if default_year else None))
     day = dates.from_parts(part(4), part(3), year)
