@@ -70,15 +70,21 @@ class Workspace:
                 store.delete_dir(where)
 
 
-#: Rows of an Arrow batch at most: texts may be long, and a batch is in memory on both sides.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most: texts and sets may be long, and a batch is in memory on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to BATCH_ROWS where it is larger or unlimited. No result depends on it."""
+    """Lowers the session's Arrow batch size to BATCH_ROWS where it is larger or unlimited, and to BATCH_BYTES where it names none.
+
+    No result depends on either. A row of more bytes is a batch of its own.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def tidied(batches: Iterator) -> Iterator:
