@@ -46,8 +46,11 @@ def ledger_seed_segments(spark, d) -> DataFrame:
 
 
 def ledger_pair_fold(spark, d) -> DataFrame:
-    """Each row has a stray number, its amount and its balance, in one of three orders; every seventh row is rejected."""
-    b, a, s = F.col("balance_c"), F.col("amount_c"), F.col("o_orderkey") * 1_000_000_000_000
+    """Each row has a stray number, its amount and its balance, in one of three orders; every seventh row is rejected.
+
+    Stray numbers are order numbers times 10^12; those of orders whose product would be no 64-bit number begin anew.
+    """
+    b, a, s = F.col("balance_c"), F.col("amount_c"), F.col("o_orderkey") % (L.GREATEST // 1_000_000_000_000) * 1_000_000_000_000
     tokens = F.when(F.col("o_orderkey") % 3 == 0, F.array(s, a, b)).when(F.col("o_orderkey") % 3 == 1, F.array(a, s, b)).otherwise(F.array(a, b, s))
     rows = ledger(spark, d).select("doc_id", "row_idx", tokens.alias("tokens"), F.lit(False).alias("forward"), (F.col("o_orderkey") % 7 == 0).alias("rejected"), F.lit(OPENING_C).cast("long").alias("opening_c"))
     return L.pair_fold(rows)
