@@ -19,6 +19,7 @@ from ..operators import classify as K
 from ..operators import ledger as L
 from ..operators import metadata as M
 from ..operators import segment as S
+from .stages import compiled
 
 COLUMNS = ("doc_id", "row_idx", "date", "description", "amount_c", "balance_c")
 # How rows are led, where a section lies, what a description is not.
@@ -165,6 +166,7 @@ def _by_bank(names: Sequence[str], of: Callable[[str], Column]) -> Column:
 
 def tagged_lines(docs: DataFrame, names: Sequence[str] = tuple(LAYOUTS), default_year: int | None = None) -> DataFrame:
     """doc_id, bank_name, row_idx, FIELDS, opening_c, and source_file and header on row 0: a line for each document's header and its rows. One narrow step over docs."""
+    compiled(docs.sparkSession)
     t = F.col("text")
     header = F.struct(*(f.alias(name) for name, f in M.header_fields("bank_name", names).items()))
     year = _by_bank(names, lambda n: F.coalesce(M.fnb_year(t), F.lit(default_year).cast("int")) if n == "FNB" else F.lit(None).cast("int"))
@@ -283,6 +285,7 @@ def standard_bank(docs: DataFrame) -> DataFrame:
 
 def standard_rows(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """standard_bank's rows from lines (doc_id, line_no, line, and the period's start and end), with the columns named in keep."""
+    compiled(lines.sparkSession)
     w = S.by_line()
     rows = lines.withColumn("line", squeeze(F.col("line"))).where("line <> ''")
     line, plain = F.col("line"), lambda c: c
@@ -325,6 +328,7 @@ def block_text(text: Column) -> Column:
 
 def block_rows(lines: DataFrame) -> DataFrame:
     """blocks_v2's rows from lines (doc_id, line_no, line) of block_text."""
+    compiled(lines.sparkSession)
     lines = lines.select("doc_id", "line_no", squeeze(F.col("line")).alias("line")).where(~K.noise_line(F.col("line")))
     start = _V2_START
     rows = S.blocks(lines, F.col("line").rlike(start))

@@ -25,6 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stages-{uuid.uuid4().hex}"
 
 
+#: The longest method, in bytes, that the JVM compiles; longer ones it interprets.
+COMPILED = 8000
+
+
+def compiled(spark: SparkSession) -> None:
+    """Lets stages whose generated method the JVM would only interpret go without it, several times faster; a session that names a limit keeps it.
+
+    The setting stays in the session, as plans read it when they run.
+    """
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > 65_534:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED)
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The table of files at path; null if there is none yet. Any store that Spark reaches will do."""
     jvm = spark.sparkContext._jvm

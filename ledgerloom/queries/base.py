@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import as_text
+from ..plans.stages import compiled
 
 OPENING_C = 10_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    compiled(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

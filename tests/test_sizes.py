@@ -46,3 +46,20 @@ def test_texts_of_many_layouts_are_rendered_in_one_pass(spark):
     for docs in (layouts._mixed(spark, DATA), layouts._all_banks(spark, DATA)):
         plan = docs._jdf.queryExecution().executedPlan().toString()
         assert "Union" not in plan and len(re.findall("FileScan", plan)) == 1
+
+
+def test_stages_whose_method_is_too_long_to_be_compiled_go_without_it(spark):
+    from ledgerloom.plans import layouts, stages
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    try:
+        spark.conf.unset(name)
+        layouts.standard_bank(docs)
+        assert spark.conf.get(name) == str(stages.COMPILED)
+        spark.conf.set(name, "20000")
+        layouts.blocks_v2(docs)
+        assert spark.conf.get(name) == "20000"
+    finally:
+        spark.conf.set(name, before)
