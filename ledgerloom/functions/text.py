@@ -29,8 +29,8 @@ def bind(value: Column, use) -> Column:
 
 def title_case(c: Column) -> Column:
     """Lower case with a capital wherever a word begins (also after / and -), and bank acronyms in capitals."""
-    word = r"^[A-Za-z0-9_]$"
-    cased = bind(F.split(F.lower(c), ""), lambda letters: F.transform(letters, lambda x, i: F.when(x.rlike(word) & ~F.coalesce(F.get(letters, i - 1).rlike(word), F.lit(False)), F.upper(x)).otherwise(x)))
+    # Cut where a word begins with a letter: by words, not by letters. What stands before the first one may begin with any sign.
+    cased = F.transform(F.split(F.lower(c), "(?<![a-z0-9_])(?=[a-z])"), lambda x: F.when(x.rlike("^[a-z]"), F.concat(F.upper(F.left(x, F.lit(1))), F.substr(x, F.lit(2)))).otherwise(x))
     return F.regexp_replace(F.regexp_replace(F.array_join(cased, ""), r"\bAbsa\b", "ABSA"), r"\bFnb\b", "FNB")
 
 

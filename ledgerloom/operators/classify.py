@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, squeeze
+from ..functions.text import bind, contains_any, squeeze
 
 # Phrases by which documents are told apart, in lower case, in order of precedence.
 UNSUPPORTED_PHRASES = ("standard bank of south africa", "transact@standardbank.co.za", "0860 123 000")
@@ -39,12 +39,15 @@ PIPELINE = "bank_statement_v2"
 
 
 def dispatch_bank(text: Column) -> Column:
-    """The bank whose layout a text has, UNSUPPORTED_BANK or UNKNOWN_BANK."""
-    t = F.lower(squeeze(text))
-    out = F.when(contains_any(t, UNSUPPORTED_PHRASES), "UNSUPPORTED_BANK")
-    for name, phrases in BANK_PHRASES:
-        out = out.when(contains_any(t, phrases), name)
-    return out.when(t.contains("absa") & contains_any(t, ABSA_PHRASES), "ABSA").when(contains_any(t, FNB_PHRASES), "FNB").otherwise("UNKNOWN_BANK")
+    """The bank whose layout a text has, UNSUPPORTED_BANK or UNKNOWN_BANK. The text is squeezed once for all phrases."""
+
+    def bank(t: Column) -> Column:
+        out = F.when(contains_any(t, UNSUPPORTED_PHRASES), "UNSUPPORTED_BANK")
+        for name, phrases in BANK_PHRASES:
+            out = out.when(contains_any(t, phrases), name)
+        return out.when(t.contains("absa") & contains_any(t, ABSA_PHRASES), "ABSA").when(contains_any(t, FNB_PHRASES), "FNB").otherwise("UNKNOWN_BANK")
+
+    return bind(F.lower(squeeze(text)), bank)
 
 
 def brand_in_capitals(text: Column) -> Column:
@@ -147,7 +150,7 @@ def convert_error(path: Column, n_rows: Column) -> Column:
 
 def request_error(n_files: Column, bank: Column, n_transactions: Column) -> Column:
     """Why a request is turned down; null if it isn't."""
-    return F.when(F.coalesce(n_files, F.lit(0)) == 0, "NO_FILES").when(bank.isin("UNSUPPORTED_BANK", "UNKNOWN_BANK"), bank).when(F.coalesce(n_transactions, F.lit(0)) == 0, "NO_TRANSACTIONS")
+    return F.when(F.coalesce(n_files, F.lit(0)) == 0, "NO_FILES").otherwise(bind(bank, lambda b: F.when(b.isin("UNSUPPORTED_BANK", "UNKNOWN_BANK"), b).when(F.coalesce(n_transactions, F.lit(0)) == 0, "NO_TRANSACTIONS")))
 
 
 # Lines that belong to no transaction.

@@ -86,3 +86,25 @@ def test_first_hits_without_a_key_are_one_key(spark):
     df = spark.sql("SELECT id AS event_id, CAST(NULL AS STRING) AS client, timestamp_seconds(id * 400 - 2000) AS ts FROM range(8)")
     got = [(r.event_id, r.refused) for r in streaming.first_hit_windows(df, "client", 2).orderBy("event_id").collect()]
     assert got == [(i, i % 3 == 2) for i in range(8)]
+
+
+def test_squeeze_and_title_case_of_odd_text(spark):
+    from ledgerloom.functions import text
+
+    rng = random.Random(6)
+    signs = "aBz09_ -/\t\n\x0b\x0c\r\x1c\x85\xa0 ᠎ ​   　éÉİ😀."
+    texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(800)] + ["absa/fnb-x absab", "", " ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.squeeze(F.col("t")), F.trim(F.regexp_replace("t", r"(?U)\s+", " ")), text.title_case(F.col("t")), F.lower("t"))
+    for t, squeezed, want, title, low in df.collect():
+        assert squeezed == want, repr(t)
+        if t is not None:
+            cased = "".join(x.upper() if re.match("[a-z0-9_]", x) and not (i and re.match("[a-z0-9_]", low[i - 1])) else x for i, x in enumerate(low))
+            assert re.sub(r"\bFnb\b", "FNB", re.sub(r"\bAbsa\b", "ABSA", title, flags=re.A), flags=re.A) == re.sub(r"\bFnb\b", "FNB", re.sub(r"\bAbsa\b", "ABSA", cased, flags=re.A), flags=re.A), repr(t)
+
+
+def test_a_text_is_squeezed_once_to_tell_its_bank(spark):
+    from ledgerloom.operators import classify
+
+    docs = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    plan = docs.select(classify.request_error(F.lit(1), classify.dispatch_bank(F.col("t")), F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("regexp_replace", plan)) == 1
