@@ -106,5 +106,5 @@ def test_a_text_is_squeezed_once_to_tell_its_bank(spark):
     from ledgerloom.operators import classify
 
     docs = spark.range(1).select(F.col("id").cast("string").alias("t"))
-    plan = docs.select(classify.request_error(F.lit(1), classify.dispatch_bank(F.col("t")), F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    plan = docs.select(classify.request_error(F.lit(1), classify.dispatch_bank(F.col("t")), F.lit(1)).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("regexp_replace", plan)) == 1
